@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from custodia.llm.tokenise import token_ids
 from custodia.llm.topn import top_n_per_group
 from custodia.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+TOKENIZERS = "/opt/tokenizers"
+
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most changed files of each author address."""
@@ -31,9 +34,16 @@ SELECT author_email, file_path, repo_id FROM ranked WHERE place <= 10
 """
 
 
+def p6_ids(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """The token ids of every document by byte_bpe_50k."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_ids(documents, "doc_id", "text", f"{tokenizers}/byte_bpe_50k.tiktoken")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p3_found": p3_found,
+        "p6_ids": p6_ids,
     }
 
 
