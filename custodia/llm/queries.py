@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from custodia.llm.leakage import leaked_items
 from custodia.llm.tokenise import token_ids
 from custodia.llm.topn import top_n_per_group
 from custodia.sources.tables import table
@@ -40,10 +41,18 @@ def p6_ids(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> Da
     return token_ids(documents, "doc_id", "text", f"{tokenizers}/byte_bpe_50k.tiktoken")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in which at least 13 consecutive words of an evaluation item stand."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "eval_items").select("item_id", "text")
+    return leaked_items(documents, "doc_id", "text", items, "item_id", "text", 13).select("item_id", "doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p3_found": p3_found,
         "p6_ids": p6_ids,
+        "p7_found": p7_found,
     }
 
 

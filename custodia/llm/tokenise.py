@@ -14,32 +14,20 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-import sys
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
+from custodia.llm.arrays import SPACE, chunks, code_point_classes, slices, texts_of
+
 CACHE_PIECES = 1_000_000
-CHUNK_CHARS = 4_000_000
-#: The white space of the pattern, and the letters after an apostrophe that are pieces of their own.
-WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: The letters after an apostrophe that are pieces of their own.
 ENDINGS_OF_ONE = "stmd"
 ENDINGS_OF_TWO = ["re", "ve", "ll"]
 
 
-@functools.cache
-def code_point_classes() -> np.ndarray:
-    """The class of every code point."""
-    first = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((first.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)), dtype=np.uint8, count=sys.maxunicode + 1)
-    table[WHITE_SPACE] = SPACE
-    return table
-
-
 def piece_starts(points: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     """Positions at which a piece begins, over the code points of several texts.
 
@@ -181,19 +169,14 @@ def encode_texts(texts: pa.StringArray, voc: Vocabulary) -> tuple[np.ndarray, np
 
     A null text counts as empty.
     """
-    texts = texts.fill_null("").cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = texts.buffers()[2]
-    data = np.frombuffer(raw, dtype=np.uint8)[offsets[0] : offsets[-1]] if raw is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
-    bounds = offsets - offsets[0]
-    if not len(data):
+    held = texts_of(texts)
+    if not len(held.data):
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64)
-    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
-    lead = np.flatnonzero((data & 0xC0) != 0x80)  # byte offset of each code point
+    bounds = held.bounds
     filled = bounds[:-1][np.diff(bounds) > 0]
-    begins = lead[piece_starts(points, np.searchsorted(lead, filled))]
-    cuts = np.append(begins, len(data))
-    pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data.tobytes())])
+    begins = held.lead[piece_starts(held.points, np.searchsorted(held.lead, filled))]
+    cuts = np.append(begins, len(held.data))
+    pieces = slices(held.data, cuts)
     coded = pieces.dictionary_encode()
     ids = voc.encode_pieces(coded.dictionary.to_pylist())
     lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
@@ -212,12 +195,7 @@ def _encode_batches(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
         for batch in batches:
-            start = 0
-            sizes = np.asarray(pa.compute.binary_length(batch.column(1)).fill_null(0))
-            while start < batch.num_rows:  # a slice holds one text at least, and few characters otherwise
-                taken = int(np.searchsorted(np.cumsum(sizes[start:]), CHUNK_CHARS, side="right"))
-                part = batch.slice(start, max(1, taken))
-                start += part.num_rows
+            for part in chunks(batch, 1):
                 ids, bounds, _ = encode_texts(part.column(1), voc)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "ids"])
