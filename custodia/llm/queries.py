@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custodia.llm.leakage import leaked_items
+from custodia.llm.spans import shared_share, shared_spans, shared_windows
 from custodia.llm.tokenise import token_ids
 from custodia.llm.topn import top_n_per_group
 from custodia.sources.tables import table
@@ -48,11 +49,29 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(documents, "doc_id", "text", items, "item_id", "text", 13).select("item_id", "doc_id")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that share at least 400 consecutive code points with another one."""
+    return shared_windows(table(spark, sf_dir, "documents"), "doc_id", "text", 400).select("doc_id").distinct()
+
+
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of at least 400 code points that stand in several documents."""
+    return shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text", 400)
+
+
+def p8_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document stands elsewhere too."""
+    return shared_share(table(spark, sf_dir, "documents"), "doc_id", "text", 400)
+
+
 def queries() -> dict[str, Query]:
     return {
         "p3_found": p3_found,
         "p6_ids": p6_ids,
         "p7_found": p7_found,
+        "p8_found": p8_found,
+        "p8_spans": p8_spans,
+        "p8_shared_share": p8_shared_share,
     }
 
 
