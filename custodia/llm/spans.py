@@ -96,15 +96,17 @@ def anchor_hashes(texts: Texts, min_chars: int) -> tuple[np.ndarray, np.ndarray,
 
 def _tagged(key: np.ndarray, other: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
     """Rows of one chunk, with those known to be shared inside it marked and sent to any place, but for one each."""
-    order = np.lexsort((doc, other, key))
-    key, other, doc, pos = key[order], other[order], doc[order], pos[order]
-    known = np.zeros(len(key), bool)
+    known, spread = np.zeros(len(key), bool), np.zeros(len(key), bool)
     if len(key):
-        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (other[1:] != other[:-1])])
+        order = np.lexsort((doc, other, key))
+        a, b, c = key[order], other[order], doc[order]
+        fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         first = np.flatnonzero(fresh)
-        last = np.append(first[1:], len(key)) - 1
-        known = np.repeat(doc[first] != doc[last], last - first + 1)
-        spread = known & ~fresh
+        last = np.append(first[1:], len(a)) - 1
+        known[order] = np.repeat(c[first] != c[last], last - first + 1)
+        spread[order] = ~fresh
+        spread &= known
+        # rows keep the order of the texts, in which neighbours compress well
         key = np.where(spread, doc * np.int64(0x2545F491) + pos, key)
         other = np.where(spread, np.int64(-1) - pos, other)
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(other), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(known)], ["key", "other", "doc", "pos", "known"])
