@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custodia.llm.leakage import leaked_items
+from custodia.llm.names import name_entities, same_name_pairs
 from custodia.llm.spans import shared_share, shared_spans, shared_windows
 from custodia.llm.tokenise import token_ids
 from custodia.llm.topn import top_n_per_group
+from custodia.session import cut
 from custodia.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +20,20 @@ Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZERS = "/opt/tokenizers"
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of author rows that denote the same person or organisation."""
+    return same_name_pairs(table(spark, sf_dir, "authors"), "author_id", "name", "email")
+
+
+def p1_commit_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each spelling in the commits with its commits and the person or organisation it denotes."""
+    commits = table(spark, sf_dir, "commits").select("hash", "author_name", "author_email").distinct()
+    spellings = commits.groupBy("author_name", "author_email").agg(F.count(F.lit(1)).alias("commits")).withColumn("spelling", F.xxhash64("author_name", "author_email"))
+    spellings = cut(spellings)
+    entities = name_entities(spellings, "spelling", "author_name", "author_email")
+    return spellings.join(entities, "spelling", "left").select("author_name", "author_email", "commits", "entity")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most changed files of each author address."""
     files = table(spark, sf_dir, "changed_files").select("author_email", "file_path", "repo_id", "change_count")
@@ -66,6 +82,8 @@ def p8_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found,
+        "p1_commit_entities": p1_commit_entities,
         "p3_found": p3_found,
         "p6_ids": p6_ids,
         "p7_found": p7_found,
