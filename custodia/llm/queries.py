@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from custodia.llm.leakage import leaked_items
 from custodia.llm.names import name_entities, same_name_pairs
 from custodia.llm.spans import shared_share, shared_spans, shared_windows
+from custodia.llm.syntax import broken_files, broken_rates
 from custodia.llm.tokenise import token_ids
 from custodia.llm.topn import top_n_per_group
 from custodia.session import cut
@@ -34,6 +35,16 @@ def p1_commit_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spellings.join(entities, "spelling", "left").select("author_name", "author_email", "commits", "entity")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source files that are not valid in their language."""
+    return broken_files(table(spark, sf_dir, "source_files"), "file_id", "file_language", "content")
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of such files for each repository and language."""
+    return broken_rates(table(spark, sf_dir, "source_files"), "file_id", "repo_id", "file_language", "content")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most changed files of each author address."""
     files = table(spark, sf_dir, "changed_files").select("author_email", "file_path", "repo_id", "change_count")
@@ -84,6 +95,8 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p1_commit_entities": p1_commit_entities,
+        "p2_found": p2_found,
+        "p2_rates": p2_rates,
         "p3_found": p3_found,
         "p6_ids": p6_ids,
         "p7_found": p7_found,
