@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from custodia.llm.handwritten import unwritten_files
 from custodia.llm.leakage import leaked_items
 from custodia.llm.names import name_entities, same_name_pairs
 from custodia.llm.spans import shared_share, shared_spans, shared_windows
@@ -63,6 +64,16 @@ SELECT author_email, file_path, repo_id FROM ranked WHERE place <= 10
 """
 
 
+def p4_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source files that nobody wrote by hand in their repository, each with the reasons."""
+    return unwritten_files(table(spark, sf_dir, "source_files"), "file_id", "repo_id", "file_path", "content")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source files that nobody wrote by hand in their repository."""
+    return p4_reasons(spark, sf_dir).select("file_id").distinct()
+
+
 def p6_ids(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     """The token ids of every document by byte_bpe_50k."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -98,6 +109,8 @@ def queries() -> dict[str, Query]:
         "p2_found": p2_found,
         "p2_rates": p2_rates,
         "p3_found": p3_found,
+        "p4_found": p4_found,
+        "p4_reasons": p4_reasons,
         "p6_ids": p6_ids,
         "p7_found": p7_found,
         "p8_found": p8_found,
