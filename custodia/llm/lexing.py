@@ -60,10 +60,13 @@ def _here(label: str) -> regex.Pattern:
     return regex.compile(rf"(?m)^[ \t]*{label}\b")
 
 
-def scan(language: str, text: str, state: str, out: list[Token]) -> str:
-    """Appends the tokens of ``text`` to ``out`` and returns the state at its end."""
+def scan(language: str, text: str, state: str, out: list[Token], comments: list[tuple[int, int, int]] | None = None) -> str:
+    """Appends the tokens of ``text`` to ``out`` and returns the state at its end.
+
+    ``comments`` gets the tokens before each comment, and the places where it begins and ends.
+    """
     rules, script = _RULES[language], language in ("JavaScript", "TypeScript")
-    at, size, fresh = 0, len(text), True
+    at, size, fresh, begun = 0, len(text), True, 0
     depth: list[int] = []  # of braces, in each template that is open around the code
     if state.startswith("`") and script:
         for part in state[1:].split("`"):
@@ -75,6 +78,8 @@ def scan(language: str, text: str, state: str, out: list[Token]) -> str:
             found = end.search(text, at) if state in ("/*", "?>") or state.startswith("<<<") else end.match(text, at)
             if not found:
                 return state if not depth else "`" + "`".join("{" * d for d in depth)
+            if state == "/*" and comments is not None:
+                comments.append((len(out), begun, found.end()))
             if state == "?>" and found.group().endswith("="):
                 out.append(Token("w", "echo", at, True))
             if state == "`" and found.group(1) == "${":
@@ -95,13 +100,15 @@ def scan(language: str, text: str, state: str, out: list[Token]) -> str:
             fresh = True
             continue
         if kind in "bc":
+            if kind == "c" and comments is not None:
+                comments.append((len(out), start, at))
             continue
         if kind == "m":
             if token == "?>":
                 out.append(Token("o", ";", start, fresh))
                 state = "?>"
             elif token == "/*":
-                state = "/*"
+                state, begun = "/*", start
             elif token.startswith("<<<"):
                 out.append(Token("s", token, start, fresh))
                 state = "<<<" + token.strip("<'\" \t\r\n")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from custodia.llm.docpairs import documented_functions
 from custodia.llm.handwritten import unwritten_files
 from custodia.llm.leakage import leaked_items
 from custodia.llm.names import name_entities, same_name_pairs
@@ -74,6 +75,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_reasons(spark, sf_dir).select("file_id").distinct()
 
 
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions whose documentation says something, with name, parameters and documentation."""
+    return documented_functions(table(spark, sf_dir, "source_files"), "file_id", "file_language", "content")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File, line and name of these functions."""
+    return p5_pairs(spark, sf_dir).select("file_id", "line_no", "name")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     """The token ids of every document by byte_bpe_50k."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -111,6 +122,8 @@ def queries() -> dict[str, Query]:
         "p3_found": p3_found,
         "p4_found": p4_found,
         "p4_reasons": p4_reasons,
+        "p5_found": p5_found,
+        "p5_pairs": p5_pairs,
         "p6_ids": p6_ids,
         "p7_found": p7_found,
         "p8_found": p8_found,
