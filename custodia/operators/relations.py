@@ -16,7 +16,7 @@ IMPORTS = {
     "TypeScript": r"(?m)^import [^'\"\n]*['\"]([^'\"\n]+)['\"]",
     "Java": r"(?m)^import (?:static )?([A-Za-z_][A-Za-z0-9_.*]*);",
     "PHP": r"(?m)^use ([A-Za-z_][A-Za-z0-9_\\]*);",
-    "Go": r"(?m)^\t\"([^\"\n]+)\"$",
+    "Go": r"(?m)^\t\"([^\"\n]+)\"\r?$",
 }
 FUNCTIONS = {
     "Python": r"(?m)^\s*(?:async )?def ([A-Za-z_][A-Za-z0-9_]*)",
