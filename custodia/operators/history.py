@@ -15,12 +15,12 @@ from custodia.session import cut
 STATUSES = ["added", "modified", "deleted", "renamed", "copied", "other"]
 
 
-def commit_headers(lines: DataFrame, column: str = "value") -> DataFrame:
+def commit_headers(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Commits of a log whose headers separate fields by the unit separator; a message may hold it too."""
     parts = F.split(column, "\x1f")
     field = lambda k: F.try_element_at(parts, F.lit(k))
     message = F.array_join(F.slice(parts, 6, F.greatest(F.size(parts) - 5, F.lit(0))), "\x1f")
-    return lines.where(F.size(parts) >= 6).select(field(1).alias("hash"), field(2).alias("short_hash"), field(3).alias("author_name"), field(4).alias("author_email"), field(5).alias("commit_date"), message.alias("message"))
+    return lines.where(F.size(parts) >= 6).select(*keep, field(1).alias("hash"), field(2).alias("short_hash"), field(3).alias("author_name"), field(4).alias("author_email"), field(5).alias("commit_date"), message.alias("message"))
 
 
 def name_status(lines: DataFrame, column: str = "value") -> DataFrame:

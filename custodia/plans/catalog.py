@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from custodia.plans import histories, sources, trees
+from custodia.plans import histories, reports, sources, trees
 
 Query = Callable[[SparkSession, str], DataFrame]
-ALL = histories.QUERIES | trees.QUERIES | sources.QUERIES
+ALL = histories.QUERIES | trees.QUERIES | sources.QUERIES | reports.QUERIES
 
 
 def _long(query: Query) -> Query:
