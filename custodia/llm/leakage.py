@@ -3,8 +3,8 @@
 The automaton is built over word numbers from all items at once and sent to the executors; its size
 is bounded by twice the items' words, and that many items are taken at a time that the bound holds.
 Documents stream through it: the state after each word gives the length of the longest passage of
-the items that ends there. From ``min_words`` on, the state's suffix-link ancestor that holds exactly
-the last ``min_words`` words names every item in which these words stand.
+the items that ends there. From ``min_words`` on, the state and its suffix-link ancestors that hold at
+least ``min_words`` words name every item in which these words stand, and how long its passage is.
 """
 
 from __future__ import annotations
@@ -48,14 +48,8 @@ class Automaton:
                 holders[last].add(place)
         for state in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
             holders[self.link[state]] |= holders[state]
-        # the ancestor that holds the last min_words words, and the items in which they stand
-        self.named: list[tuple[int, ...]] = [()] * len(self.link)
-        for state in range(1, len(self.link)):
-            if self.length[state] >= min_words:
-                top = state
-                while self.length[self.link[top]] >= min_words:
-                    top = self.link[top]
-                self.named[state] = tuple(sorted(holders[top]))
+        # the items in which the strings of a state stand, where these are long enough
+        self.named = [tuple(sorted(held)) if self.length[state] >= min_words else () for state, held in enumerate(holders)]
         pairs = {(a, b) for _, words in items for a, b in zip(words, words[1:])}
         size = len(self.number)
         self.pairs = np.unique(np.fromiter((self.number[a] * size + self.number[b] for a, b in pairs), dtype=np.int64, count=len(pairs)))
@@ -99,14 +93,12 @@ class Automaton:
             if word in self.next[state]:
                 state, length = self.next[state][word], length + 1
             if length >= self.min_words:
-                # the state reached may hold longer strings than the match; its short ancestor holds the last words
-                for place in self.named[self._shrunk(state, length)]:
-                    found[place] = max(found.get(place, 0), length)
-
-    def _shrunk(self, state: int, length: int) -> int:
-        while self.length[self.link[state]] >= length:
-            state = self.link[state]
-        return state
+                at, longest = state, length
+                while longest >= self.min_words:  # shorter endings of the match stand in more items
+                    for place in self.named[at]:
+                        found[place] = max(found.get(place, 0), longest)
+                    at = self.link[at]
+                    longest = self.length[at]
 
 
 def word_numbers(texts: Texts, automaton: Automaton) -> tuple[np.ndarray, np.ndarray]:
