@@ -28,14 +28,14 @@ def _words(table: str) -> dict[str, str]:
 WORDS = {
     "JavaScript": _words("I=if E=else F=for W=while D=do S=switch K=case d=default T=try H=catch Y=finally R=return t=throw J=break,continue f=function c=class x=extends v=const,let,var m=import q=export p=new,typeof,void,delete,await,yield o=in,instanceof,of y=async g=static,get,set"),
     "TypeScript": _words("I=if E=else F=for W=while D=do S=switch K=case d=default T=try H=catch Y=finally R=return t=throw J=break,continue f=function c=class x=extends h=implements v=const,let,var m=import q=export p=new,typeof,void,delete,await,yield,keyof,infer,unique o=in,instanceof,of,is y=async g=static,get,set w=public,private,protected,readonly,abstract,override,declare z=interface,namespace,module,enum,type j=as,satisfies"),
-    "Java": _words("I=if E=else F=for W=while D=do S=switch K=case d=default T=try H=catch Y=finally R=return,yield t=throw,assert J=break,continue c=class,interface,enum,record x=extends U=super h=implements,permits,throws m=import k=package p=new w=public,private,protected,static,final,abstract,synchronized,native,transient,volatile,strictfp,sealed o=instanceof"),
+    "Java": _words("I=if E=else F=for W=while D=do S=switch K=case d=default T=try H=catch Y=finally R=return,yield t=throw,assert J=break,continue c=class,interface,enum,record x=extends U=super h=implements,permits,throws m=import k=package p=new w=public,private,protected,static,final,abstract,synchronized,native,transient,volatile,strictfp,sealed O=instanceof"),
     "Go": _words("I=if E=else F=for S=switch,select K=case d=default R=return J=break,continue,goto,fallthrough f=func v=var,const z=type t=struct,interface m=import k=package g=go,defer M=map N=chan l=range"),
     "PHP": _words("I=if,elseif E=else F=for,foreach W=while D=do S=switch,match,declare K=case d=default T=try H=catch Y=finally R=return,echo,print,break,continue,yield,goto t=throw f=function l=fn c=class,interface,trait,enum x=extends h=implements m=use k=namespace v=const,global p=new,clone,include,require,include_once,require_once w=public,private,protected,static,final,abstract,readonly,var j=as,insteadof o=instanceof,and,or,xor"),
 }
 _SCRIPT = r"""
 (?<seq>(?&expr)(?:,(?&expr))*+)
 (?<expr>(?&un)(?:(?:j(?&type)|(?:[oa=L*&|@]|G{1,3}=?)(?&un)|\?(?&expr):(?&expr)))*+)
-(?<un>(?:[p!au]|L(?&type)G(?=[iP]))*+(?&prim)(?&post)*+u?+)
+(?<un>(?:p\*?|[!au]|L(?&type)G(?=[iP]))*+(?&prim)(?&post)*+u?+)
 (?<prim>(?&arrow)|(?&func)|c(?&ident)?+(?&heads)C|[nrBC]|P|s(?:Xs?)*+|m(?=[P.])|(?&ident))
 (?<arrow>y?+(?:(?&targs)?P(?::(?&type))?|(?&ident))A(?:C(?![.PB])|(?&expr)))
 (?<func>y?f\*?(?&ident)?(?&targs)?P(?::(?&type))?C)
@@ -43,14 +43,14 @@ _SCRIPT = r"""
 (?<ident>[iygwzjo#])
 (?<heads>(?&targs)?(?:x(?&un)(?&targs)?)?(?:h(?&type)(?:,(?&type))*)?)
 (?<type>[|&]?(?&ty)(?:[|&](?&ty))*+(?:x(?&type)\?(?&type):(?&type))?+)
-(?<ty>(?:p(?&ty)|(?:[wg]|a)*(?:(?&targs)?P(?:A(?&type))|P|(?:m P)?(?&ident)(?:\.(?&ident))*+(?&targs)?|[sn](?:Xs?)*|C|B))B*+(?:o(?&type))?)
+(?<ty>(?:p(?&ty)?+|(?:[wg]|a)*(?:(?&targs)?P(?:A(?&type))|P|(?:m P)?(?&ident)(?:\.(?&ident))*+(?&targs)?|[sn](?:Xs?)*|C|B))B*+(?:o(?&type))?)
 (?<targs>L(?&targ)(?:,(?&targ))*,?G)
 (?<targ>(?:v|[|&])?(?&type)(?:x(?&type))?(?:=(?&type))?)
 (?<end>;|(?=E|$))
 (?<decl>v(?&target)(?:=(?&expr))?(?:,(?&target)(?:=(?&expr))?)*)
 (?<target>(?:(?&ident)|B|C)!?(?::(?&type))?)
 (?<deco>@(?&ident)(?:\.(?&ident))*P?;?)
-(?<st>;|C|IP(?&st);?(?:E(?&st))?|Fp?P(?&st)|WP(?&st)|D(?&st)WP(?&end)|SPC|TC(?:;?H(?:P)?C;?(?:YC)?|;?YC)|[Rt](?&seq)?(?&end)|J(?&ident)?(?&end)|(?:w)?(?&decl)(?&end)|(?:w)?(?&funcst)|(?&deco)*(?:[w])*c(?&ident)(?&heads)C|(?&imp)|(?&exp)|(?&named)|(?&ident):(?&st)|(?![C])(?&seq)(?&end))
+(?<st>;|C|IP(?&st);?(?:E(?&st))?|Fp?P(?&st)|WP(?&st)|D(?&st)WP;?|SPC|TC(?:;?H(?:P)?C;?(?:YC)?|;?YC)|[Rt](?&seq)?(?&end)|J(?&ident)?(?&end)|(?:w)?(?&decl)(?&end)|(?:w)?(?&funcst)|(?&deco)*(?:[w])*c(?&ident)(?&heads)C|(?&imp)|(?&exp)|(?&named)|(?&ident):(?&st)|(?![C])(?&seq)(?&end))
 (?<funcst>y?f\*?(?&ident)(?&targs)?P(?::(?&type))?(?:C|(?&end)))
 (?<imp>m(?:z)?(?:s|(?&ident)=(?&un)|(?:(?:(?&ident)|C|\*j(?&ident)|\*i i)(?:,(?:C|\*j?i?(?&ident)))?)is)(?:iC)?(?&end))
 (?<exp>q(?:d(?:(?:w)*c(?&ident)?(?&heads)C|y?f\*?(?&ident)?(?&targs)?P(?::(?&type))?C|(?&expr)(?&end))|=(?&expr)(?&end)|z?C(?:is)?(?&end)|\*(?:[ij](?&ident))?is(?&end)|(?=[vyfcwz@])(?&st)))
@@ -66,7 +66,7 @@ _SCRIPT = r"""
 (?<object>(?:(?:e(?&expr)|[gy]*\*?(?&key)P C|(?&key):(?&expr)|(?&ident)(?:=(?&expr))?)(?:,|$))*+)
 (?<class>(?:;|(?&deco)|[wg]+C|(?:[wgy]*)\*?(?&key)[?!]?(?:(?&targs)?P(?::(?&type))?(?:C|;|$)|(?::(?&type))?(?:=(?&expr))?(?:;|$)))*+)
 (?<body>(?:(?:[wga]*(?&key)?[?a]*\??(?:(?&targs)?P)?(?::(?&type))?)(?:[;,]+|$))*+)
-(?<names>(?:z?[a-zA-Zs](?:j[a-zA-Z])?(?:,|$))*+)
+(?<names>(?:z?[a-zA-Zs](?:[ij][a-zA-Zs])?(?:,|$))*+)
 (?<enum>(?:(?&key)(?:=(?&expr))?(?:,|$))*+)
 """
 _UNTYPED = regex.sub(r"\(\?:L\(\?&type\)G\(\?=\[iP\]\)\)|\|L\(\?&type\)G\(\?=\[iP\]\)|\|j\(\?&type\)|j\(\?&type\)\|", "", _SCRIPT)
@@ -80,7 +80,7 @@ _JAVA = r"""
 (?<targ>(?:\?|(?&type))(?:[xU](?&type)(?:&(?&type))*)?)
 (?<anno>@(?&name)P?)
 (?<mods>(?:w|d(?!:|A)|(?&anno))*+)
-(?<expr>(?&un)(?:o(?&mods)(?&type)i?|(?:[oa=L*&|]|G{1,3}=?)(?&un)|\?(?&expr):(?&expr))*+)
+(?<expr>(?&un)(?:O(?&mods)(?&type)(?:i|P)?|(?:[oa=L*&|]|G{1,3}=?)(?&un)|\?(?&expr):(?&expr))*+)
 (?<un>(?:[!au]|P(?=[in!sPpUSf]))*+(?&prim)(?&post)*+u?+)
 (?<prim>(?:P|i)A(?:C|(?&expr))|p(?&mods)(?&name)(?&targs)?(?:\.i(?&targs)?)*(?:PC?|B+C?)|SPC|[insPU]|(?&type)(?=\.))
 (?<post>P|B|\.(?&targs)?(?:i|p P?C?|p|U)|(?&targs)\.i)
@@ -134,7 +134,7 @@ _GO = (
 (?<types>(?:iB?=?(?&type)(?&end)|;)*+)
 (?<block>(?&st)*+)
 (?<switch>;?(?:(?:K(?:(?&simple)|(?&type)(?:,(?&type))*)|d):(?&block))*+)
-(?<args>(?:(?&arg)(?:,(?&arg))*+,?)?e?,?)
+(?<args>(?:(?&arg)(?:,(?&arg))*+,?)?e?,?|z)
 (?<arg>(?:(?&expr)|(?&type))e?)
 (?<list>(?:(?:(?:C|(?&expr)):)?(?:C|(?&expr))(?:,|;?$))*+)
 (?<params>(?:(?:i(?:,i)*e?(?&type)|e?(?&type))(?:,|$))*+)
@@ -153,7 +153,7 @@ _PHP = r"""
 (?<prim>w?f&?P(?:mP)?(?::(?&type))?C|w?l&?P(?::(?&type))?A(?&expr)|SPC|cP?(?:x i)?(?:h i(?:,i)*)?C|t(?&expr)|R(?&expr)?|(?:\#B)+(?&prim)|[Vinswm]|[PB])
 (?<post>P|B|C|\:(?:i|V|C|c)|i(?!.))
 (?<end>;|$)
-(?<st>;|C|IP(?&st)(?:E(?:IP)?(?&st))*|FP(?&st)|WP(?&st)|D(?&st)WP(?&end)|SP(?:C|;)|TC(?:HPC)*(?:YC)?|R(?&seq)?(?&end)|v(?:[iV](?:=(?&expr))?)(?:,[iV](?:=(?&expr))?)*(?&end)|wV(?:=(?&expr))?(?:,V(?:=(?&expr))?)*(?&end)|(?:\#B)*f&?iP(?::(?&type))?C|(?:\#B)*w*(?&kind)|k i?(?:;|C)|m[fv]?i(?:C|j i)?(?:,i(?:j i)?)*(?&end)|i:|(?&seq)(?&end))
+(?<st>;|C|IP(?&st)(?:E(?:IP)?(?&st))*|FP(?&st)|WP(?&st)|D(?&st)WP(?&end)|SP(?:C|;)|TC(?:HPC)*(?:YC)?|R(?&seq)?(?&end)|v(?:[iV](?:=(?&expr))?)(?:,[iV](?:=(?&expr))?)*(?&end)|wV(?:=(?&expr))?(?:,V(?:=(?&expr))?)*(?&end)|(?:\#B)*f&?iP(?::(?&type))?C|(?:\#B)*w*(?&kind)|k i?(?:;|C)|m[fv]?i\\?(?:C|j i)?(?:,i(?:j i)?)*(?&end)|i:|(?&seq)(?&end))
 (?<kind>c i(?::(?&type))?(?:x i(?:,i)*)?(?:h i(?:,i)*)?C)
 (?<block>(?&st)*+)
 (?<switch>(?:(?:K(?&expr)|d)[:;](?&block))*+)
@@ -220,6 +220,8 @@ def words_of(language: str, tokens: list[Token]) -> list[tuple[str, str]]:
                     symbol = "V"
                 elif before == ":" and len(word) > 1 and tokens[place - 1].text != ":":
                     symbol = "i"
+            elif language == "TypeScript" and token.text == "void" and before in (":", "A", "|"):
+                symbol = "i"
             elif symbol != "i" and before == "." and not (language == "Java" and token.text in ("new", "super")):
                 symbol = "i"
             if token.text == "record" and language == "Java" and not (place + 1 < size and tokens[place + 1].kind == "w"):
