@@ -126,7 +126,7 @@ def dependency_count(content: Column, name: Column) -> Column:
     counted = lambda pattern: F.regexp_count(content, F.lit(pattern))
     plain = F.size(F.filter(lines, lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#")))
     block = F.coalesce(F.regexp_extract(content, r"(?s)require\s*\((.*?)\)", 1), F.lit(""))
-    go = F.size(F.filter(F.split(block, "\n"), lambda x: F.trim(x).rlike(r"^[^/\s]\S* v\S+"))) + counted(r"(?m)^require [^(\s]\S* v\S+")
+    go = F.size(F.filter(F.split(block, "\n"), lambda x: x.rlike(r"^\s*[^/\s]\S* v\S+"))) + counted(r"(?m)^require [^(\s]\S* v\S+")
     return (
         F.when(name == "package.json", keys("dependencies"))
         .when(name == "composer.json", keys("require"))
