@@ -43,6 +43,12 @@ def occurrences(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def logic_notes(text: Column, most: int = 8) -> Column:
+    """Codes of what a piece of code does, in a fixed order, at most ``most``."""
+    found = F.array_compact(F.array(*(F.when(text.rlike(pattern), F.lit(code)) for code, pattern in DETECTORS.items())))
+    return F.slice(found, 1, most)
+
+
 def line_count(text: Column) -> Column:
     """Lines of a text, a last one without line end included; 0 for an empty text."""
     return F.when(F.length(text) == 0, F.lit(0)).otherwise(F.regexp_count(text, F.lit("\n")) + (~text.endswith("\n")).cast("int"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from custodia.functions import text
+from custodia.functions.bodies import body_lengths
 from custodia.operators import relations, scope
 from custodia.plans import sql
 from custodia.sources.tables import table
@@ -20,6 +21,18 @@ def source_signals(spark, d):
     return _sources(spark, d).select("file_id", text.line_count(F.col("content")).alias("lines"), *(c.alias(n) for n, c in hits.items()))
 
 
+def source_notes(spark, d):
+    """What the code of each file does, as codes."""
+    return _sources(spark, d).select("file_id", F.array_join(text.logic_notes(F.col("content")), ",").alias("notes"))
+
+
+def function_bodies(spark, d):
+    """Characters in the body of each function of the languages with braces."""
+    declared = relations.symbols(_sources(spark, d).where("file_language in ('JavaScript', 'TypeScript', 'Go', 'Java', 'PHP')")).where("kind = 'function'")
+    joined = declared.join(_sources(spark, d).select("repo_id", "file_path", "content"), ["repo_id", "file_path"])
+    return joined.select("repo_id", "file_path", "name", body_lengths("content", "name").alias("chars"))
+
+
 def source_routes(spark, d):
     found = _sources(spark, d).select("repo_id", "file_path", F.posexplode(text.routes(F.col("content"))).alias("ordinal", "route"))
     return found
@@ -141,6 +154,8 @@ _LINE = "trim(regexp_replace(replace(text, '`', ''''), '[ \\t\\r\\n]+', ' ', 'g'
 
 QUERIES = {
     "source_signals": (source_signals, f"WITH {sql.SOURCES} SELECT file_id, {_LINES.format('content')} AS lines, " + ", ".join(f"len(regexp_extract_all(content, {sql.quoted(p)}))::BIGINT AS {n}" for n, p in text.DETECTORS.items()) + " FROM sources"),
+    "source_notes": (source_notes, f"WITH {sql.SOURCES} SELECT file_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(content, {sql.quoted(p)}) THEN '{n}' END" for n, p in text.DETECTORS.items()) + ") AS notes FROM sources"),
+    "function_bodies": (function_bodies, None),
     "source_routes": (source_routes, f"WITH {sql.SOURCES}, {_ordered('routes', 'sources', _routes_sql('content'), 'route')} SELECT repo_id, file_path, ordinal, route FROM routes"),
     "function_intents": (function_intents, f"WITH {sql.SOURCES}, {_FUNCTIONS} SELECT repo_id, {_INTENT} AS intent, count(*) AS functions FROM functions GROUP BY ALL"),
     "symbol_counts": (symbol_counts, f"WITH {sql.SOURCES}, {_FUNCTIONS}, {_TYPES} SELECT repo_id, kind, count(*) AS symbols, count(DISTINCT name) AS names FROM (SELECT *, 'function' AS kind FROM functions UNION ALL SELECT *, 'class' FROM types) GROUP BY ALL"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from custodia.functions import paths
-from custodia.operators import authors, frameworks, inventory, scope
+from custodia.operators import authors, frameworks, inventory, projects, scope
 from custodia.plans import sql
 from custodia.rules import files as rules
 from custodia.rules.frameworks import INDICATORS, MODULES, REGISTRY, THRESHOLDS
@@ -85,6 +85,15 @@ def personal_modules(spark, d):
     return scope.personal_modules(table(spark, d, "modules"), _files(spark, d))
 
 
+def author_hints(spark, d):
+    return projects.author_hints(authors.with_risk(_files(spark, d)))
+
+
+def project_commands(spark, d):
+    """Start commands that the files of each repository imply or its manifests declare."""
+    return projects.start_commands(table(spark, d, "source_files").select("file_id", "repo_id", "file_path", "content").dropDuplicates(["file_id"]))
+
+
 def framework_score(spark, d):
     files = table(spark, d, "source_files").select("file_id", "repo_id", "file_path", "content")
     return frameworks.framework_scores(files)
@@ -111,6 +120,10 @@ _FLAGS = {
     "ignored": _IGNORED,
     "source": "(NOT suffix(file_path, '.lock')" + "".join(f" AND NOT contains(file_path, {sql.quoted(x)})" for x in rules.EXCLUDED_SOURCE) + ")",
 }
+_HINTS = {
+    "risky_files": "risk = 'high'", "migrations": "contains(file_path, 'migrations/')", "configuration": _FLAGS["config"], "routes": "prefix(file_path, 'routes/') OR contains(file_path, 'router')",
+    "background_jobs": f"contains({_LOW}, 'jobs/') OR contains({_LOW}, 'commands/')", "deleted_files": "status = 'deleted'", "renamed_files": "status = 'renamed'",
+}
 _RULES = ", ".join(f"({sql.quoted(i.framework)}, {REGISTRY.index(i.framework)}, {i.ordinal}, {sql.quoted(i.path)}, [{', '.join(map(sql.quoted, i.needles))}]::VARCHAR[], {i.weight}, {THRESHOLDS[i.framework]})" for i in INDICATORS)
 _MODULES = ", ".join(f"({sql.quoted(m.framework)}, {m.ordinal}, {sql.quoted(m.name)}, {sql.quoted(m.kind)}, {sql.quoted(m.directory)})" for m in MODULES)
 _SCORES = f"""{sql.SOURCES}, rules(framework, registry, ordinal, path, needles, weight, threshold) AS (VALUES {_RULES}),
@@ -142,6 +155,8 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY directory,
     "personal_scope": (personal_scope, f"WITH {sql.FILES}, {sql.INVENTORY}, touched AS (SELECT DISTINCT repo_id, author, file_path FROM files_once WHERE author IS NOT NULL AND coalesce(file_exists, true)) SELECT repo_id, author, count(*) AS file_count, sum(size_bytes)::BIGINT AS size_bytes, min(file_path) AS first_path FROM inventory JOIN touched USING (repo_id, file_path) GROUP BY ALL"),
     "personal_modules": (personal_modules, f"""WITH {sql.FILES}, touched AS (SELECT DISTINCT repo_id, author, file_path FROM files_once WHERE author IS NOT NULL), listed AS (SELECT repo_id, ordinal, name, module_type, file_path, min(place) AS place FROM (SELECT repo_id, ordinal, name, module_type, unnest(files) AS file_path, generate_subscripts(files, 1) AS place FROM modules) GROUP BY ALL)
 SELECT repo_id, author, ordinal, name, module_type, count(*) AS file_count, string_agg(file_path, '|' ORDER BY place) AS files FROM listed JOIN touched USING (repo_id, file_path) GROUP BY ALL"""),
+    "author_hints": (author_hints, f"WITH {sql.RISK} SELECT repo_id, author, concat_ws(',', " + ", ".join(f"CASE WHEN bool_or({t}) THEN '{n}' END" for n, t in _HINTS.items()) + ") AS hints FROM risked GROUP BY ALL"),
+    "project_commands": (project_commands, None),
     "framework_score": (framework_score, f"WITH {_SCORES} SELECT repo_id, framework, confidence, evidence, place FROM frameworks"),
     "module_scan": (module_scan, f"""WITH {_SCORES}, module_rules(framework, ordinal, name, kind, directory) AS (VALUES {_MODULES}), placed AS (SELECT DISTINCT repo_id, file_path, list_aggregate(p[1:n], 'string_agg', '/') AS directory FROM (SELECT repo_id, file_path, p, unnest(range(1, len(p) + 1)) AS n FROM (SELECT repo_id, file_path, string_split({sql.directory('file_path')}, '/') AS p FROM sources WHERE contains(file_path, '/')))),
 found AS (SELECT DISTINCT repo_id, framework, ordinal, name, kind, file_path FROM placed JOIN frameworks USING (repo_id) JOIN module_rules USING (framework, directory) WHERE place = 1)
