@@ -11,15 +11,15 @@ from __future__ import annotations
 import ast
 import bisect
 import re
-import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from custodia.llm.lexing import FIRST, Token, scan
-from custodia.llm.syntax import parses, spoken
+from custodia.llm.grammars import offending
+from custodia.llm.lexing import FIRST, Token, brackets, scan
+from custodia.llm.syntax import ends_well, python_tree, spoken
 
 LEAST_WORDS = 5
 LEAST_HAN = 10
@@ -337,10 +337,7 @@ def _add_bound(tokens, first, match, add, name, head, out, line_of) -> None:
         out.append(Function(tokens[name].text, tokens[head].at, head, name, line_of(name), [tokens[first].text]))
 
 
-def _python_spans(text: str) -> tuple[list[tuple], list[tuple]]:
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        tree = ast.parse(text)
+def _python_spans(tree: ast.Module) -> tuple[list[tuple], list[tuple]]:
     docs, functions = [], []
     order = {id(node): k for k, node in enumerate(n for n in ast.walk(tree) if isinstance(n, ast.stmt))}
     for node in ast.walk(tree):
@@ -360,13 +357,16 @@ def _cleaned(doc: str) -> str:
     return "\n".join([lines[0].strip(), *(x[margin:].rstrip() for x in lines[1:])]).strip()
 
 
-def spans_of(language: str, text: str) -> tuple[list[tuple], list[tuple]]:
-    """Comments (at, tokens before, last line, text) and functions (at, tokens before, tokens before the name, line, name, its line, parameters)."""
+def spans_of(language: str, text: str) -> tuple[list[tuple], list[tuple]] | None:
+    """Comments (at, tokens before, last line, text) and functions (at, tokens before, tokens before the name, line, name, its line, parameters); nothing for a text that does not parse."""
     if language == "Python":
-        return _python_spans(text)
+        tree = python_tree(text)
+        return _python_spans(tree) if tree else None
     tokens: list[Token] = []
     comments: list[tuple[int, int, int]] = []
-    scan(language, text, FIRST[language], tokens, comments)
+    state = scan(language, text, FIRST[language], tokens, comments)
+    if not ends_well(language, state) or brackets(tokens) or offending(language, tokens):
+        return None
     lines = [0, *(m.end() for m in re.finditer("\n", text))]
     line_of = lambda at: bisect.bisect_right(lines, at)
     docs: list[tuple] = []
@@ -388,9 +388,10 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for key, language, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            if not parses(language, text):
+            spans = spans_of(language, text)
+            if spans is None:
                 continue
-            docs, functions = spans_of(language, text.removeprefix("﻿") if language == "Python" else text)
+            docs, functions = spans
             rows.extend((key, language, 0, at, place, None, line, None, None, None, doc) for at, place, line, doc in docs)
             rows.extend((key, language, 1, at, place, own, line, name, number, params, None) for at, place, own, line, name, number, params in functions)
         columns = list(zip(*rows)) or [()] * 11

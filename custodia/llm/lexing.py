@@ -24,8 +24,12 @@ class Token(NamedTuple):
     fresh: bool  #: whether it is the first on its line
 
 
+_BLANK = r"[ \t\r\f\v\u00a0\ufeff]*+"
+_BLANKS = regex.compile(_BLANK)
+
+
 def _compiled(strings: str, comments: str, word: str, multi: str, operators: str = _OPERATORS) -> regex.Pattern:
-    return regex.compile(rf"(?P<b>[ \t\r\f\v ﻿]+)|(?P<n>\n)|(?P<c>{comments})|(?P<m>{multi})|(?P<s>{strings})|(?P<d>{_NUMBER})|(?P<w>{word})|(?P<k>[()\[\]{{}}])|(?P<o>{operators})")
+    return regex.compile(rf"{_BLANK}(?:(?P<n>\n)|(?P<w>{word})|(?P<c>{comments})|(?P<m>{multi})|(?P<s>{strings})|(?P<d>{_NUMBER})|(?P<k>[()\[\]{{}}])|(?P<o>{operators}))")
 
 
 _WORD = r"[\p{L}_$][\p{L}\p{N}\p{M}_$]*"
@@ -91,16 +95,19 @@ def scan(language: str, text: str, state: str, out: list[Token], comments: list[
             continue
         found = rules.match(text, at)
         if not found:
-            out.append(Token("!", text[at], at, fresh))
-            at, fresh = at + 1, False
+            at = _BLANKS.match(text, at).end()
+            if at < size:
+                out.append(Token("!", text[at], at, fresh))
+                at, fresh = at + 1, False
             continue
-        kind, token, start = found.lastgroup, found.group(), at
-        at = found.end()
+        kind = found.lastgroup
+        start, at = found.span(kind)
+        token = text[start:at]
         if kind == "n":
             fresh = True
             continue
-        if kind in "bc":
-            if kind == "c" and comments is not None:
+        if kind == "c":
+            if comments is not None:
                 comments.append((len(out), start, at))
             continue
         if kind == "m":
