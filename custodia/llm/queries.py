@@ -113,6 +113,23 @@ def p8_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(table(spark, sf_dir, "documents"), "doc_id", "text", 400)
 
 
+P7_FOUND = r"""
+WITH doc_words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+doc_grams AS (SELECT doc_id, list_aggregate(w[i:i + 12], 'string_agg', ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM doc_words)),
+item_words AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+item_grams AS (SELECT item_id, list_aggregate(w[i:i + 12], 'string_agg', ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM item_words))
+SELECT DISTINCT item_id, doc_id FROM doc_grams JOIN item_grams USING (g)
+"""
+
+P8_FOUND = """
+WITH windows AS (
+  SELECT doc_id, hash(substring(text, i, 400)) AS h
+  FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400)
+), shared AS (SELECT h FROM windows GROUP BY h HAVING min(doc_id) <> max(doc_id))
+SELECT DISTINCT doc_id FROM windows JOIN shared USING (h)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -135,4 +152,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": P3_FOUND,
+        "p7_found": P7_FOUND,
+        "p8_found": P8_FOUND,
     }

@@ -26,7 +26,7 @@ from custodia.llm.arrays import Texts, chunks, texts_of
 from custodia.session import cut
 
 MIN_CHARS = 400
-BROADCAST_ROWS = 200_000
+BROADCAST_ANCHORS = 500_000
 _BASE = 0x5851F42D4C957F2D
 _LAYOUT = "key long, other long, doc long, pos int, known boolean"
 
@@ -196,11 +196,11 @@ def _in_two(tagged: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(_shared, "doc long, pos int")
 
 
-def shared_windows(df: DataFrame, key: str, text: str, min_chars: int = MIN_CHARS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def shared_windows(df: DataFrame, key: str, text: str, min_chars: int = MIN_CHARS, broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
     """``key`` and ``start`` of each window of ``min_chars`` code points that stands in another record as well.
 
-    The records with shared anchors are counted; up to ``broadcast_rows`` their anchors are broadcast to the
-    scan of the texts, beyond that both are shuffled by ``key``.
+    The shared anchors are counted; up to ``broadcast_anchors`` they are broadcast to the scan of the texts
+    (some ten bytes each), beyond that both are shuffled by ``key``.
 
     Defined cases: ``key`` is a whole number; rows that repeat a key are one record, and what they share among
     themselves does not count. Null keys and null texts are left out; texts shorter than ``min_chars`` share nothing.
@@ -209,7 +209,7 @@ def shared_windows(df: DataFrame, key: str, text: str, min_chars: int = MIN_CHAR
     texts = df.select(df[key].cast("long").alias("doc"), df[text].cast("string").alias("text")).where("doc is not null and length(text) >= %d" % min_chars)
     anchors = _in_two(texts.mapInArrow(_anchors(min_chars), _LAYOUT)).groupBy("doc").agg(F.collect_set("pos").alias("anchors"))
     anchors = cut(anchors)
-    if anchors.count() <= broadcast_rows:
+    if (anchors.agg(F.sum(F.size("anchors")).alias("n")).first()["n"] or 0) <= broadcast_anchors:
         anchors = F.broadcast(anchors)
     windows = texts.join(anchors, "doc").select("doc", "text", "anchors").mapInArrow(_windows(min_chars), _LAYOUT)
     return _in_two(windows).distinct().select(F.col("doc").alias(key), F.col("pos").alias("start"))

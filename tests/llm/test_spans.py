@@ -49,7 +49,7 @@ def test_windows_like_brute_force(spark, seed):
     df = spark.createDataFrame([(a, b, "x") for a, b in docs], "doc long, text string, pos string")
     assert cover_for(40)[0] > 1
     for most in (0, 10_000):  # shuffled and broadcast anchors
-        got = {(r["doc"], r["start"]) for r in shared_windows(df, "doc", "text", 40, broadcast_rows=most).collect()}
+        got = {(r["doc"], r["start"]) for r in shared_windows(df, "doc", "text", 40, broadcast_anchors=most).collect()}
         assert got == brute(docs, 40)
 
 
