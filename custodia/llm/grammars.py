@@ -278,9 +278,37 @@ def words_of(language: str, tokens: list[Token]) -> list[tuple[str, str]]:
 
 
 _REPEATS = regex.compile(r"((?:[^,;]{1,16}[,;]))\1{2,}")
+_STATEMENTS = regex.compile(r"(?<=;)|(?<=C)(?=[IFWSTRvfcwJt])")
+#: What is a sequence of any number of parts: valid parts in a row are valid.
+_SEQUENCES = {"JavaScript": ["block"], "TypeScript": ["block"], "Java": ["block", "class"], "Go": ["block"], "PHP": ["block", "class"]}
+
+
+@functools.cache
+def _sequence(language: str, name: str) -> regex.Pattern:
+    return regex.compile(rf"(?x)(?(DEFINE){_RULES[language]})(?&{name})$")
+
+
+@functools.lru_cache(maxsize=100_000)
+def _part(language: str, name: str, word: str) -> bool:
+    try:
+        return _sequence(language, name).match(word, timeout=5) is not None
+    except TimeoutError:
+        return False
+
+
+def _in_parts(language: str, word: str) -> bool:
+    """Whether the word can be cut into statements or members that are each valid; if not, it may still be allowed as a whole."""
+    parts = _STATEMENTS.split(word)
+    return len(parts) > 2 and any(all(_part(language, name, p) for p in parts) for name in _SEQUENCES[language])
 
 
 def offending(language: str, tokens: list[Token]) -> list[tuple[str, str]]:
     """The contents of brackets that no grammar allows; brackets must match. Equal entries in a row count as two."""
-    contents = ((pair, _REPEATS.sub(r"\1\1", word) if len(word) > 48 else word) for pair, word in words_of(language, tokens))
-    return [(pair, word) for pair, word in contents if not allowed(language, pair, word)]
+    out = []
+    for pair, word in words_of(language, tokens):
+        if (pair == "C" or (pair == "" and language not in ("Java", "Go"))) and _in_parts(language, word):
+            continue
+        word = _REPEATS.sub(r"\1\1", word) if len(word) > 48 else word
+        if not allowed(language, pair, word):
+            out.append((pair, word))
+    return out

@@ -103,6 +103,10 @@ def scan(language: str, text: str, state: str, out: list[Token], comments: list[
         kind = found.lastgroup
         start, at = found.span(kind)
         token = text[start:at]
+        if kind == "w" or (kind == "o" and token[0] != "/"):
+            out.append(Token(kind, token, start, fresh))
+            fresh = False
+            continue
         if kind == "n":
             fresh = True
             continue
