@@ -4,7 +4,7 @@ Windows are hashed only at positions that lie in a difference cover modulo a per
 places i and j there is an offset below v at which both lie in the cover. Two records that share
 ``min_chars`` code points therefore share the hash of at least one window of ``min_chars - v + 1``
 code points, wherever the span begins in each. Such anchors are then extended: around each shared
-anchor every window of the full length is hashed from its own bytes (128 bits) and must be shared too.
+anchor every window of the full length is hashed from its own bytes (96 bits) and must be shared too.
 
 Neither step forms pairs. Both ask which hashes occur in two records, by one shuffle on the hash and
 one pass over sorted rows. A hash that many records of one chunk hold is settled inside the chunk
@@ -28,7 +28,7 @@ from custodia.session import cut
 MIN_CHARS = 400
 BROADCAST_ANCHORS = 500_000
 _BASE = 0x5851F42D4C957F2D
-_LAYOUT = "key long, other long, doc long, pos int, known boolean"
+_LAYOUT = "key long, other int, doc long, pos int, known boolean"
 
 
 @functools.cache
@@ -109,7 +109,7 @@ def _tagged(key: np.ndarray, other: np.ndarray, doc: np.ndarray, pos: np.ndarray
         # rows keep the order of the texts, in which neighbours compress well
         key = np.where(spread, doc * np.int64(0x2545F491) + pos, key)
         other = np.where(spread, np.int64(-1) - pos, other)
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(other), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(known)], ["key", "other", "doc", "pos", "known"])
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(other.astype(np.int32)), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(known)], ["key", "other", "doc", "pos", "known"])
 
 
 def _anchors(min_chars: int):
@@ -149,7 +149,7 @@ def _windows(min_chars: int):
                     doc.append(np.full(len(starts), ids[row], np.int64))
                     pos.append(starts)
                 halves = np.frombuffer(b"".join(key), dtype=np.int64).reshape(-1, 2)
-                yield _tagged(halves[:, 0], halves[:, 1], np.concatenate(doc or [np.zeros(0, np.int64)]), np.concatenate(pos or [np.zeros(0, np.int64)]))
+                yield _tagged(halves[:, 0], halves[:, 1] >> 32, np.concatenate(doc or [np.zeros(0, np.int64)]), np.concatenate(pos or [np.zeros(0, np.int64)]))
 
     return windows
 
