@@ -137,8 +137,8 @@ def _params(tokens: list[Token], start: int, stop: int, match: dict[int, int], l
 def _body_after(tokens: list[Token], k: int, match: dict[int, int], language: str) -> bool:
     """Whether a body follows the parameters that end at ``k``, behind a type, a throws clause or captured names."""
     k += 1
-    steps = 0
-    while k < len(tokens) and steps < 60:
+    first = k
+    while k < len(tokens):
         token = tokens[k]
         if token.text == "{":
             before = tokens[k - 1].text
@@ -146,15 +146,14 @@ def _body_after(tokens: list[Token], k: int, match: dict[int, int], language: st
                 k = match[k] + 1
                 continue
             if language == "Go" and before in ("struct", "interface"):
-                k = match[k] + 1
+                k = first = match[k] + 1
                 continue
             return True
-        if token.text in (";", "}", ")", "]", "=", "=>") or (token.fresh and language == "Go" and steps == 0):
+        if token.text in (";", "}", ")", "]", "=", "=>") or (token.fresh and language == "Go" and k == first):
             return False
         if token.kind == "(":
             k = match[k]
         k += 1
-        steps += 1
     return False
 
 

@@ -12,6 +12,7 @@ import functools
 import regex
 
 from custodia.llm.lexing import Token
+from custodia.llm.recognise import matches
 
 # Symbols of all languages: i name, n number, s string, r pattern, P () B [] C {} X ${}, = assigning, a plus or minus, u ++ or --,
 # ! not, o other operator between two values, L < G >, A arrow, e ..., and . : ? ; , * & | @ ~ themselves.
@@ -187,11 +188,11 @@ def _entry(language: str, pair: str) -> regex.Pattern:
 
 @functools.lru_cache(maxsize=200_000)
 def allowed(language: str, pair: str, word: str) -> bool:
-    """Whether ``word`` may stand in ``pair``. What takes too long to decide is let pass."""
+    """Whether ``word`` may stand in ``pair``. What takes backtracking too long is decided without it."""
     try:
         return _entry(language, pair).match(word, timeout=5) is not None
     except TimeoutError:
-        return True
+        return matches(_RULES[language], tuple(ENTRIES[language][pair].split()), word)
 
 
 #: Symbols after which, and before which, a line end may end a statement.
@@ -281,11 +282,13 @@ _REPEATS = regex.compile(r"((?:[^,;]{1,16}[,;]))\1{2,}")
 _STATEMENTS = regex.compile(r"(?<=;)|(?<=C)(?=[IFWSTRvfcwJt])")
 #: What is a sequence of any number of parts: valid parts in a row are valid.
 _SEQUENCES = {"JavaScript": ["block"], "TypeScript": ["block"], "Java": ["block", "class"], "Go": ["block"], "PHP": ["block", "class"]}
+#: Stands behind a part that is not the last one, where no statement may end as at the end of all.
+_MORE = "\0"
 
 
 @functools.cache
 def _sequence(language: str, name: str) -> regex.Pattern:
-    return regex.compile(rf"(?x)(?(DEFINE){_RULES[language]})(?&{name})$")
+    return regex.compile(rf"(?x)(?(DEFINE){_RULES[language]})(?&{name})(?:{_MORE})?$")
 
 
 @functools.lru_cache(maxsize=100_000)
@@ -293,20 +296,24 @@ def _part(language: str, name: str, word: str) -> bool:
     try:
         return _sequence(language, name).match(word, timeout=5) is not None
     except TimeoutError:
-        return False
+        return matches(_RULES[language], (name,), word, len(word.removesuffix(_MORE)))
 
 
-def _in_parts(language: str, word: str) -> bool:
-    """Whether the word can be cut into statements or members that are each valid; if not, it may still be allowed as a whole."""
+def _in_parts(language: str, pair: str, word: str) -> bool:
+    """Whether the word can be cut into statements or members that are each valid and closed before the next; if not, it may still be allowed as a whole."""
     parts = _STATEMENTS.split(word)
-    return len(parts) > 2 and any(all(_part(language, name, p) for p in parts) for name in _SEQUENCES[language])
+    if len(parts) < 3:
+        return False
+    parts = [p + _MORE for p in parts[:-1]] + parts[-1:]
+    allowed_here = ENTRIES[language][pair].split()
+    return any(all(_part(language, name, p) for p in parts) for name in _SEQUENCES[language] if name in allowed_here)
 
 
 def offending(language: str, tokens: list[Token]) -> list[tuple[str, str]]:
     """The contents of brackets that no grammar allows; brackets must match. Equal entries in a row count as two."""
     out = []
     for pair, word in words_of(language, tokens):
-        if (pair == "C" or (pair == "" and language not in ("Java", "Go"))) and _in_parts(language, word):
+        if (pair == "C" or (pair == "" and language not in ("Java", "Go"))) and _in_parts(language, pair, word):
             continue
         word = _REPEATS.sub(r"\1\1", word) if len(word) > 48 else word
         if not allowed(language, pair, word):

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from custodia.llm.docpairs import description, documented_functions, trivial
+from custodia.llm.docpairs import description, documented_functions, spans_of, trivial
 
 SAY = "Walks over the rows in id order and stops."
 FILES = {
@@ -177,3 +177,10 @@ def test_trivial(text, name, empty):
 def test_sections_are_left_out():
     text = "Reads.\n\nArgs:\n    a: one two three\n    b: four\n\nMore words here.\n:param c: five six seven\n:return: whatever"
     assert description(text, "Python").split() == "Reads. More words here.".split()
+
+
+def test_a_body_far_behind_the_parameters():
+    thrown = ", ".join(f"a.b.E{k}" for k in range(40))
+    text = f"class A {{\n    /** Reads every row of the given table in order. */\n    void f(int x) throws {thrown} {{ }}\n}}\n"
+    docs, functions = spans_of("Java", text)
+    assert [f[4] for f in functions] == ["f"] and len(docs) == 1

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from custodia.llm import grammars
 from custodia.llm.lexing import FIRST, Token, brackets, followed, joined, pieces, scan, summary
 from custodia.llm.syntax import broken_files, broken_rates, parses
 
@@ -88,3 +89,38 @@ def test_files(spark):
     rates = {(r["repo"], r["language"]): (r["files"], r["broken_files"], r["rate"]) for r in broken_rates(df, "file_id", "repo", "lang", "content").collect()}
     assert rates[("r", "Python")] == (2, 1, 0.5) and rates[("s", "TypeScript")] == (1, 1, 1.0) and rates[("s", "JavaScript")] == (1, 0, 0.0)
     assert broken_files(df.limit(0), "file_id", "lang", "content").collect() == []
+
+
+OPEN_PARTS = {
+    "PHP": ["<?php\n$f = function () { g(); } return $f;\n$a = 1;\n", "<?php\n$x = match (1) { 1 => 2 } if ($x) { f(); }\n$a = 1;\n", "<?php\npublic function a() { }\npublic function b() { }\npublic function c() { }\n"],
+    "JavaScript": ["let a = {} let b = 1; c();\n"],
+    "TypeScript": ["let a = {} let b = 1; c();\n"],
+}
+
+
+@pytest.mark.parametrize("language", OPEN_PARTS)
+def test_a_part_before_another_must_be_closed(language):
+    for text in OPEN_PARTS[language]:
+        assert not parses(language, text), text
+        assert parses(language, text.replace("} return", "}; return").replace("} if", "}; if").replace("} let", "}; let").replace("public ", "")), text
+
+
+def test_words_that_take_backtracking_too_long_are_decided(monkeypatch):
+    class Slow:
+        def match(self, word, timeout):
+            raise TimeoutError
+
+    grammars.allowed.cache_clear()
+    grammars._part.cache_clear()
+    monkeypatch.setattr(grammars, "_entry", lambda language, pair: Slow())
+    monkeypatch.setattr(grammars, "_sequence", lambda language, name: Slow())
+    try:
+        for language in grammars.ENTRIES:
+            for text in GOOD[language]:
+                assert parses(language, text), text
+            for text in BAD[language] + OPEN_PARTS.get(language, []):
+                assert not parses(language, text), text
+        assert parses("JavaScript", "if (a) { b() } " + "else if (a) { b() } " * 3_000)
+    finally:
+        grammars.allowed.cache_clear()
+        grammars._part.cache_clear()
