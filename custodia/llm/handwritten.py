@@ -40,6 +40,7 @@ HOLDER = re.compile(r"(?:\(c\)|©|\bcopyright\b)[\s\d,–-]*(?:by |the )*([\w&.\
 FOLDERS = re.compile(r"(?:^|/)(?:node_modules|bower_components|third_party|third-party|external|site-packages)/|(?:^|/)vendor/[^/]+/|(?:^|/)deps/[^/]+-\d[\d.]*/", re.IGNORECASE)
 OUTPUT_FOLDERS = re.compile(r"(?:^|/)(?:autogen|generated|__generated__|gen)/|_pb2(?:_grpc)?\.py$|\.pb\.go$|\.g\.[cd]?ts$|\.gen\.\w+$|\.generated\.\w+$|Grpc\.java$")
 _COMMENT = re.compile(r"\s*(?://|#(?!\[)|/\*|\*|<!--|--|\"\"\"|'''|<\?php\s*$|$)")
+_BLOCKS = {"/*": "*/", '"""': '"""', "'''": "'''", "<!--": "-->"}
 _SCRIPT_HEAD = re.compile(r"\s*(?:<\?php|package\b|#!|import\b|from\b|namespace\b|use\b|declare\b)")
 _FUNCTION = re.compile(
     r"^[ \t]*(?:(?:export|default|async|public|private|protected|static|final|abstract|override|synchronized|def|func|function)\b[ \t]*\*?[ \t]*|\([^()\n]*\)[ \t]*|@\w+[ \t]+)*"
@@ -53,19 +54,23 @@ _REMARK = re.compile(r"/\*[\s\S]*?\*/|(?<![:\"'\w])//[^\n]*|^[ \t]*#(?!\[)[^\n]*
 _QUOTED = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 
 
-def leading_comments(text: str, most: int = 15) -> list[str]:
+def leading_comments(text: str) -> list[str]:
     """The comment lines at the top of a file, before its first code besides imports and the like."""
-    out = []
-    for line in text.split("\n", 80)[:80]:
-        if _COMMENT.match(line):
-            if line.strip():
+    out, until = [], ""
+    for line in text.split("\n"):
+        bare = line.strip()
+        if until:  # inside a block
+            if bare:
+                out.append(line)
+            until = "" if until in bare else until
+        elif _COMMENT.match(line):
+            if bare:
                 out.append(line)
-        elif out and (out[-1].lstrip().startswith(("/*", "*", '"""', "'''")) and not out[-1].rstrip().endswith(("*/", '"""', "'''"))):
-            out.append(line)  # inside a block
+            mark = next((m for m in _BLOCKS if bare.startswith(m)), "")
+            if mark and _BLOCKS[mark] not in bare[len(mark) :]:
+                until = _BLOCKS[mark]
         elif not _SCRIPT_HEAD.match(line):
             break
-        if len(out) >= most:
-            break
     return out
 
 

@@ -58,3 +58,11 @@ def test_copies_across_repositories_with_edits(spark):
     assert counts[0] == (58, 58) and counts[60] == (28, 0) and counts[50][0] == 60 and 54 <= counts[50][1] < 60
     assert len(line_hashes("a\nb\nc\n")) == 0
     assert unwritten_files(df.limit(0), "file_id", "repo", "path", "content").collect() == []
+
+
+def test_notices_behind_a_long_head_are_read():
+    licence = "".join(f"// line {k} of the header\n" for k in range(30))
+    assert reasons_of("a.go", licence + "// Code generated by schemac v1.2. DO NOT EDIT.\npackage a\n", "own") == ["generated"]
+    block = "/*\n" + "".join(f"  line {k} of the header\n" for k in range(100)) + "  (c) the plaingrid contributors, released under the Open Fold terms\n*/\nf()\n"
+    assert reasons_of("lib/a.js", block, "own") == ["vendored"]
+    assert reasons_of("lib/a.js", licence + "f()\n// Code generated by schemac v1.2. DO NOT EDIT.\n", "own") == []
