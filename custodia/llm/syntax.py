@@ -1,17 +1,13 @@
 """Source files that do not parse in the language of their extension.
 
-A file is cut into chunks of lines. A chunk is summed up by a map from each lexer state in which it may
-begin to the state in which it ends, together with the brackets it leaves open or closes. Summaries are
-composed associatively over the chunks of a file, wherever these were read, which tells open comments,
-strings and templates, crossed and missing brackets. What is balanced is then parsed with local grammars:
-the content between two brackets must be a word that the language allows there. For Python the
-interpreter's own parser decides.
+A file is scanned whole: no comment, string or template may be open at its end, no bracket crossed or
+missing. What is balanced is then parsed with local grammars: the content between two brackets must be a
+word that the language allows there. For Python the interpreter's own parser decides.
 """
 
 from __future__ import annotations
 
 import ast
-import json
 import warnings
 from collections.abc import Iterator
 
@@ -20,9 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custodia.llm.grammars import offending
-from custodia.llm.lexing import FIRST, LANGUAGES, Token, brackets, followed, pieces, scan, summary
-
-CHUNK_CHARS = 32_768
+from custodia.llm.lexing import FIRST, LANGUAGES, Token, brackets, scan
 
 
 def python_tree(text: str) -> ast.Module | None:
@@ -56,62 +50,10 @@ def parses(language: str, text: str) -> bool:
     return ends_well(language, state) and not brackets(tokens) and not offending(language, tokens)
 
 
-def _read(chunk_chars: int):
-    """For each file the summaries of its chunks, and a row numbered -1 if what is balanced does not parse or the whole of several chunks is not closed."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for key, language, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if language == "Python":
-                    if not python_parses(text):
-                        rows.append((key, language, -1, ""))
-                    continue
-                tokens: list[Token] = []
-                state = scan(language, text, FIRST[language], tokens)
-                left = brackets(tokens)
-                chunks = pieces(text, chunk_chars)
-                if len(chunks) == 1:  # the summary of a single chunk is that of the text
-                    rows.append((key, language, 0, json.dumps({FIRST[language]: (state, left)})))
-                else:
-                    rows.extend((key, language, number, json.dumps(summary(language, piece, number == 0))) for number, piece in enumerate(chunks))
-                closed = ends_well(language, state) and not left
-                if (closed and offending(language, tokens)) or (not closed and len(chunks) > 1):
-                    rows.append((key, language, -1, ""))
-            columns = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.string()))], ["id", "language", "number", "map"])
-
-    return read
-
-
-def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the rows sorted by file and chunk, the files that do not parse, or are open or crossed at the end."""
-    file, language, last, state, held, bad, known = None, "", -2, "", "", False, True
-
-    def verdict() -> bool:
-        return file is not None and (bad or (known and (held != "" or (language != "Python" and not ends_well(language, state)))))
-
+def _broken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for key, spoken_in, number, found in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            if key != file:
-                if verdict():
-                    out.append(file)
-                file, language, last, state, held, bad, known = key, spoken_in, -2, FIRST[spoken_in], "", False, True
-            if number == last:
-                continue  # delivered twice
-            last = number
-            if number < 0:
-                bad = True
-            elif known:
-                step = followed(state, held, json.loads(found))
-                if step:
-                    state, held = step
-                else:  # a template nested deeper than the maps know: the scan of the whole text decides
-                    known = False
+        out = [key for key, language, text in zip(*(batch.column(k).to_pylist() for k in range(3))) if not parses(language, text)]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["id"])
-    if verdict():
-        yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64())], ["id"])
 
 
 def spoken(language: Column) -> Column:
@@ -124,7 +66,7 @@ def spoken(language: Column) -> Column:
     return out
 
 
-def broken_files(df: DataFrame, key: str, language: str, content: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def broken_files(df: DataFrame, key: str, language: str, content: str) -> DataFrame:
     """``key`` of each file whose content is no valid source of its language.
 
     Defined cases: ``key`` is a whole number; rows that repeat it are one file. Null keys, null content and
@@ -133,9 +75,7 @@ def broken_files(df: DataFrame, key: str, language: str, content: str, chunk_cha
     Other columns are never read.
     """
     files = df.select(df[key].cast("long").alias("id"), spoken(df[language]).alias("language"), df[content].cast("string").alias("content")).where("id is not null and language is not null and content is not null")
-    rows = files.mapInArrow(_read(chunk_chars), "id long, language string, number int, map string")
-    found = rows.repartition("id").sortWithinPartitions("id", "number").mapInArrow(_composed, "id long")
-    return found.withColumnRenamed("id", key)
+    return files.mapInArrow(_broken, "id long").distinct().withColumnRenamed("id", key)
 
 
 def broken_rates(df: DataFrame, key: str, repository: str, language: str, content: str) -> DataFrame:

@@ -124,3 +124,10 @@ def test_words_that_take_backtracking_too_long_are_decided(monkeypatch):
     finally:
         grammars.allowed.cache_clear()
         grammars._part.cache_clear()
+
+
+def test_long_files_are_judged_whole(spark):
+    head = "f(1);\n" * 5_461  # up to just below 32,768 characters, so that the next line end is the edge of a chunk
+    rows = [(1, "JavaScript", head + 'const s = "a\\\nb";\nf();\n'), (2, "JavaScript", head + "const t = a +\nb\n/ c / d;\n"), (3, "JavaScript", head + 'const s = "a\nb";\n')]
+    df = spark.createDataFrame(rows + rows, "file_id long, lang string, content string")
+    assert [r["file_id"] for r in broken_files(df, "file_id", "lang", "content").collect()] == [3]
