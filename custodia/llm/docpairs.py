@@ -11,15 +11,16 @@ from __future__ import annotations
 import ast
 import bisect
 import re
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from custodia.llm.grammars import offending
-from custodia.llm.lexing import FIRST, Token, brackets, scan
-from custodia.llm.syntax import ends_well, python_tree, spoken
+from custodia.llm.lexing import FIRST, Token, scan
+from custodia.llm.summaries import tokens_stand
+from custodia.llm.syntax import spoken
 
 LEAST_WORDS = 5
 LEAST_HAN = 10
@@ -336,17 +337,54 @@ def _add_bound(tokens, first, match, add, name, head, out, line_of) -> None:
         out.append(Function(tokens[name].text, tokens[head].at, head, name, line_of(name), [tokens[first].text]))
 
 
-def _python_spans(tree: ast.Module) -> tuple[list[tuple], list[tuple]]:
-    docs, functions = [], []
-    order = {id(node): k for k, node in enumerate(n for n in ast.walk(tree) if isinstance(n, ast.stmt))}
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Expr) and isinstance(node.value, ast.Constant) and isinstance(node.value.value, str):
-            at = (node.lineno << 20) + node.col_offset
-            docs.append((-at, order[id(node)], node.lineno, _cleaned(node.value.value)))
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            first = node.body[0]
-            names = [a.arg for a in [*node.args.posonlyargs, *node.args.args, *filter(None, [node.args.vararg]), *node.args.kwonlyargs, *filter(None, [node.args.kwarg])]]
-            functions.append((-((first.lineno << 20) + first.col_offset), order[id(first)], order[id(first)], first.lineno, node.name, node.lineno, names))
+def _python_params(tokens: list[Token], start: int, stop: int, match: dict[int, int]) -> list[str]:
+    out, k, first = [], start + 1, True
+    while k < stop:
+        token = tokens[k]
+        if token.kind == "(":
+            k = match[k]
+        elif token.text == ",":
+            first = True
+        elif first and token.kind == "w":
+            out.append(token.text)
+            first = False
+        k += 1
+    return out
+
+
+def _python_spans(tokens: list[Token], text: str, ends: dict[int, int], lines: list[int]) -> tuple[list[tuple], list[tuple]]:
+    """Strings that are statements, and functions with the token at which the body begins. Places count backwards, so that what is nearest before is the first of the body."""
+    match, docs, functions = _matching(tokens), [], []
+    size = len(tokens)
+    line_of = lambda at: bisect.bisect_right(lines, at)
+    for k, token in enumerate(tokens):
+        if token.kind == "s" and (token.fresh or tokens[k - 1].text == ":"):
+            stop = k + 1
+            while stop < size and tokens[stop].kind == "s" and not tokens[stop].fresh:
+                stop += 1
+            alone = stop == size or tokens[stop].fresh or tokens[stop].text == ";"
+            marks = token.text[: token.text.find(token.text[-1])].lower()
+            if not alone or "f" in marks or "b" in marks:
+                continue
+            last = tokens[stop - 1]
+            end = ends.get(last.at, last.at + len(last.text))
+            try:
+                with warnings.catch_warnings():
+                    warnings.simplefilter("ignore")
+                    value = ast.literal_eval(text[token.at : end])
+            except (SyntaxError, ValueError):
+                continue
+            docs.append((-token.at, k, line_of(token.at), _cleaned(value)))
+        elif token.kind == "w" and token.text == "def" and k + 2 < size and tokens[k + 1].kind == "w":
+            first = match.get(k + 2, 0) + 1 if tokens[k + 2].text == "[" else k + 2
+            if first not in match or tokens[first].text != "(":
+                continue
+            colon = match[first] + 1
+            while colon < size and tokens[colon].text != ":":
+                colon = match[colon] + 1 if tokens[colon].kind == "(" else colon + 1
+            if colon + 1 < size:
+                body = colon + 1
+                functions.append((-tokens[body].at, body, body, line_of(tokens[body].at), tokens[k + 1].text, line_of(tokens[k + 1].at), _python_params(tokens, first, match[first], match)))
     return docs, functions
 
 
@@ -358,15 +396,15 @@ def _cleaned(doc: str) -> str:
 
 def spans_of(language: str, text: str) -> tuple[list[tuple], list[tuple]] | None:
     """Comments (at, tokens before, last line, text) and functions (at, tokens before, tokens before the name, line, name, its line, parameters); nothing for a text that does not parse."""
-    if language == "Python":
-        tree = python_tree(text)
-        return _python_spans(tree) if tree else None
     tokens: list[Token] = []
     comments: list[tuple[int, int, int]] = []
-    state = scan(language, text, FIRST[language], tokens, comments)
-    if not ends_well(language, state) or brackets(tokens) or offending(language, tokens):
+    ends: dict[int, int] = {}
+    state, stop = scan(language, text, FIRST[language], tokens, comments, 0, ends)
+    if stop < len(text) or not tokens_stand(language, text, tokens, state):
         return None
     lines = [0, *(m.end() for m in re.finditer("\n", text))]
+    if language == "Python":
+        return _python_spans(tokens, text, ends, lines)
     line_of = lambda at: bisect.bisect_right(lines, at)
     docs: list[tuple] = []
     for place, start, stop in comments:
@@ -414,11 +452,12 @@ def documented_functions(df: DataFrame, key: str, language: str, content: str) -
     """``key``, ``line_no``, ``name``, ``params`` and ``doc`` of each function whose documentation says something.
 
     Defined cases: ``key`` is a whole number; rows that repeat it are one file. Null keys, null content, other
-    languages and files that do not parse give no row, nor do empty files. Functions of one name on different
-    lines are different rows. Files are read whole. Other columns are never read.
+    languages and files that do not parse (as in ``broken_files``) give no row, nor do empty files. Functions of one name on different
+    lines are different rows. Files are read whole. Other columns are never read. The text is shuffled once, by
+    ``key``, so that a large block of a table is not read by one task.
     """
     files = df.select(df[key].cast("long").alias("id"), spoken(df[language]).alias("language"), df[content].cast("string").alias("content")).where("id is not null and language is not null and content is not null")
-    spans = files.mapInArrow(_spans, _LAYOUT)
+    spans = files.repartition("id").mapInArrow(_spans, _LAYOUT)
     by_place = Window.partitionBy("id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     nearest = F.last(F.when(F.col("kind") == 0, F.struct("place", "line", "doc")), ignorenulls=True).over(by_place)
     joined = spans.withColumn("near", nearest).where("kind = 1 and near is not null")

@@ -3,6 +3,10 @@
 Once brackets match, each pair is one symbol, and the content of a pair is a word over symbols, one for
 each class of token. A grammar says which words a block, an argument list or a class body may be. Each is
 a set of rules in the notation of regular expressions with named rules; a word is looked up once.
+
+A token is first written as a code that does not depend on what stands around it: ``\\n`` if it is the first on
+its line (in Python with its margin), a symbol, and its text where that matters. ``word_of`` makes a word of the
+codes of one content.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ import functools
 
 import regex
 
-from custodia.llm.lexing import Token
+from custodia.llm.lexing import SCRIPTS, Token
 from custodia.llm.recognise import matches
 
 # Symbols of all languages: i name, n number, s string, r pattern, P () B [] C {} X ${}, = assigning, a plus or minus, u ++ or --,
@@ -33,6 +37,45 @@ WORDS = {
     "Go": _words("I=if E=else F=for S=switch,select K=case d=default R=return J=break,continue,goto,fallthrough f=func v=var,const z=type t=struct,interface m=import k=package g=go,defer M=map N=chan l=range"),
     "PHP": _words("I=if,elseif E=else F=for,foreach W=while D=do S=switch,match,declare K=case d=default T=try H=catch Y=finally R=return,echo,print,break,continue,yield,goto t=throw f=function l=fn c=class,interface,trait,enum x=extends h=implements m=use k=namespace v=const,global p=new,clone,include,require,include_once,require_once w=public,private,protected,static,final,abstract,readonly,var j=as,insteadof o=instanceof,and,or,xor"),
 }
+WORDS["Python"] = _words("I=if E=else Q=elif W=while f=for T=try X=except Y=finally h=with d=def c=class l=lambda R=return t=raise A=assert D=del J=break,continue p=pass G=global,nonlocal m=import F=from j=as y=async v=await N=yield q=in k=is o=and,or !=not n=None,True,False")
+_PYTHON = r"""
+(?<expr>l(?:(?&lparam)(?:,(?&lparam))*+,?)?:(?&expr)|(?&or)(?:I(?&or)E(?&expr))?+)
+(?<lparam>(?:\*|S)i|\*|/|i(?:=(?&expr))?)
+(?<or>(?&un)(?:(?:[oa*S@/q]|!q|k!?)(?&un))*+)
+(?<post>\.i|[PuBx])
+(?<un>(?:[a~!v])*+(?&prim)(?&post)*+)
+(?<prim>[inPBCb]|s++)
+(?<named>iw(?&expr)|(?&expr))
+(?<item>\*(?&or)|(?&expr))
+(?<some>(?:\*(?&or)|(?&named))(?:,(?:\*(?&or)|(?&named)))*+,?)
+(?<seq>(?&item)(?:,(?&item))*+,?)
+(?<value>N(?:F(?&expr)|(?&seq)?)|(?&seq))
+(?<target>\*?(?&prim)(?&post)*+)
+(?<targets>(?&target)(?:,(?&target))*+,?)
+(?<comp>(?:y?f(?&targets)q(?&or)(?:I(?:l(?&expr)|iw(?&or)|(?&or)))*+)++)
+(?<single>(?&prim)(?&post)*(?:\.i|[Bx])|i|P)
+(?<tgt>\*?(?:(?&single)|[Bb]))
+(?<tgts>(?&tgt)(?:,(?&tgt))*+,?)
+(?<dotted>i(?:\.i)*+)
+(?<simple>R(?&seq)?|t(?:(?&expr)(?:F(?&expr))?)?|A(?&expr)(?:,(?&expr))?|D(?&targets)|[Jp]|Gi(?:,i)*+|m(?&dotted)(?:ji)?(?:,(?&dotted)(?:ji)?)*+|F(?:[.n]++(?&dotted)?|(?&dotted))m(?:\*|[Pr]|i(?:ji)?(?:,i(?:ji)?)*+)|zi[Bx]?=(?&expr)|(?&single):(?&expr)(?:=(?&value))?|(?&single)g(?&value)|(?:(?&tgts)=)*+(?&value))
+(?<with>r|(?&expr)(?:j(?&target))?)
+(?<pat>\*?(?:(?&dotted)?r|(?&or))(?:ji)?)
+(?<head>[IQW](?&named)|[ETY]|y?f(?&targets)q(?&seq)|X\*?(?:(?&expr)(?:ji)?)?|y?h(?&with)(?:,(?&with))*+|y?di[Bx]?[Pur](?:>(?&expr))?|ci[Bx]?[Pu]?|M(?&some)|K(?&pat)(?:,(?&pat))*+,?(?:I(?&named))?)
+(?<line>(?&simple)(?:;(?&simple))*+;?|(?&head):(?:(?&simple)(?:;(?&simple))*+;?)?|@(?&named))
+(?<arg>(?:\*|S)(?&expr)|i=(?&expr)|(?&named)(?&comp)?)
+(?<args>(?:(?&arg)(?:,(?&arg))*+,?)?)
+(?<group>(?:(?&named)(?&comp)|N(?:F(?&expr)|(?&seq)?)|(?&some))?)
+(?<param>(?:\*|S)i(?::\*?(?&expr))?|\*|/|i(?::(?&expr))?(?:=(?&expr))?)
+(?<params>(?:(?&param)(?:,(?&param))*+,?)?)
+(?<names>i(?:ji)?(?:,i(?:ji)?)*+,?)
+(?<withs>(?&with)(?:,(?&with))*+,?)
+(?<pats>(?:i=)?(?:\*|S)?(?&or)(?:ji)?(?:,(?:i=)?(?:\*|S)?(?&or)(?:ji)?)*+,?)
+(?<slice>(?&expr)?:(?&expr)?(?::(?&expr)?)?|(?:\*|S)(?&or)|(?&named)(?:=(?&expr))?|i:(?&expr)=(?&expr))
+(?<index>(?&slice)(?:,(?&slice))*+,?)
+(?<list>(?:(?&named)(?&comp)|(?&some)|(?&pats))?)
+(?<pair>S(?&or)|(?&expr):(?&expr)(?:ji)?)
+(?<dict>(?:(?&expr):(?&expr)(?&comp)|(?&pair)(?:,(?&pair))*+,?)?)
+"""
 _SCRIPT = r"""
 (?<seq>(?&expr)(?:,(?&expr))*+)
 (?<expr>(?&un)(?:(?:j(?&type)|(?:[oa=L*&|@]|G{1,3}=?)(?&un)|\?(?&expr):(?&expr)))*+)
@@ -176,8 +219,9 @@ ENTRIES = {
     "Java": {"P": "args params loop res catch annos type", "B": "args", "C": "block class list switch enum annos", "": "file"},
     "Go": {"P": "args params specs types imports head", "B": "index args", "C": "block list switch struct", "": "file"},
     "PHP": {"P": "args params loop catch list type", "B": "list args", "C": "block class switch match traits names seq", "": "block"},
+    "Python": {"P": "group args params names withs pats", "B": "list index", "C": "dict list", "": "line"},
 }
-_RULES = {"JavaScript": _PLAIN_RULES, "TypeScript": _SCRIPT + r"(?<index>(?&ident):(?&type)|(?&ident)o(?&type)|p(?&ty))", "Java": _JAVA, "Go": _GO, "PHP": _PHP}
+_RULES = {"JavaScript": _PLAIN_RULES, "TypeScript": _SCRIPT + r"(?<index>(?&ident):(?&type)|(?&ident)o(?&type)|p(?&ty))", "Java": _JAVA, "Go": _GO, "PHP": _PHP, "Python": _PYTHON}
 
 
 @functools.cache
@@ -186,99 +230,130 @@ def _entry(language: str, pair: str) -> regex.Pattern:
     return regex.compile(rf"(?x)(?(DEFINE){_RULES[language]})(?:{choice})")
 
 
+#: Symbols that begin what may be read in two ways; reading back and forth costs up to two to the power of their number.
+_TWO_WAYS = regex.compile(r"[L?]|[Pi]A")
+_FEW = 8
+
+
+def _few_readings(word: str) -> bool:
+    """Whether backtracking ends soon. If not, a slower way with the same answer, in time polynomial in the length, is taken."""
+    return len(_TWO_WAYS.findall(word)) <= _FEW
+
+
 @functools.lru_cache(maxsize=200_000)
 def allowed(language: str, pair: str, word: str) -> bool:
-    """Whether ``word`` may stand in ``pair``. What takes backtracking too long is decided without it."""
-    try:
-        return _entry(language, pair).match(word, timeout=5) is not None
-    except TimeoutError:
-        return matches(_RULES[language], tuple(ENTRIES[language][pair].split()), word)
+    """Whether ``word`` may stand in ``pair``."""
+    if _few_readings(word):
+        return _entry(language, pair).match(word) is not None
+    return matches(_RULES[language], tuple(ENTRIES[language][pair].split()), word)
 
 
 #: Symbols after which, and before which, a line end may end a statement.
 _ENDING, _BEGINNING = frozenset("insrPBCXuygwzjJRVdUG!"), frozenset("insruCvfcmqpyRtIFWDSTJ!@wzgKd#jh")
 
 
-def words_of(language: str, tokens: list[Token]) -> list[tuple[str, str]]:
-    """The pair and the word of each content of brackets, the file last. Brackets must match."""
-    table = WORDS[language]
-    script, go = language in ("JavaScript", "TypeScript"), language == "Go"
-    stack: list[tuple[str, list[str]]] = [("", [])]
-    out: list[tuple[str, str]] = []
-    heads: list[bool] = [False]
-    size = len(tokens)
-    for place, token in enumerate(tokens):
-        pair, word = stack[-1]
+def _operator(language: str, text: str) -> str:
+    if language == "Python":
+        fixed = {"+": "a", "-": "a", "**": "S", ":=": "w", "->": ">", "...": "n"}
+        return fixed.get(text) or (text if text in "*/@~:;,.=" else "g" if text.endswith("=") and text not in ("==", "!=", "<=", ">=") else "o")
+    if language == "PHP" and text in ("->", "?->", "::"):
+        return ":"
+    if language == "PHP" and text == ".":
+        return "."
+    if language == "Java" and text in ("<>", "->", "::"):
+        return {"<>": "L", "->": "A", "::": "."}[text]
+    if language == "Go" and text == "<-":
+        return "o"
+    return _OPERATORS.get(text) or (text if text in _KEPT else "=" if text.endswith("=") and text not in ("==", "===", "!=", "!==", "<=", ">=") else "o")
+
+
+@functools.lru_cache(maxsize=10_000)
+def _operator_code(language: str, text: str) -> str:
+    return _operator(language, text) + text
+
+
+def code_of(language: str, token: Token, margin: str = "") -> str:
+    """The code of a token that is no closing bracket."""
+    if token.kind == "w":
+        text = token.text
+        symbol = WORDS[language].get(text.lower() if language == "PHP" else text)
+        if symbol is not None:
+            code = symbol + text
+        elif text[0] == "$" and language == "PHP":
+            code = "V"
+        else:
+            code = "i" + text if language == "Python" and text in ("match", "case", "type") else "i"
+    elif token.kind == "o":
+        code = _operator_code(language, token.text)
+    elif token.kind == "(":
+        code = _OPEN[token.text] + token.text
+    elif token.kind == "s" and language == "Python" and token.text[-3:] not in ("'''", '"""') and "f" in token.text[:2].lower().split(token.text[-1])[0]:
+        code = "s" if _braces_match(token.text) else "\0"
+    else:
+        code = token.kind if token.kind in "nsr" else "\0"
+    if not token.fresh:
+        return code
+    return f"\n{margin}\n{code}" if language == "Python" else "\n" + code
+
+
+def _plain_code(code: str) -> str:
+    return code.rpartition("\n")[2]
+
+
+def word_of(language: str, pair: str, codes: tuple[str, ...]) -> str:
+    """The word of one content of brackets or, with an empty ``pair``, of a file."""
+    script, go = language in SCRIPTS, language == "Go"
+    if language == "Python":
+        return "".join(_plain_code(c)[0] for c in codes)
+    word: list[str] = []
+    head, size = False, len(codes)
+    for place, code in enumerate(codes):
+        fresh = code[0] == "\n"
+        if fresh:
+            code = code[1:]
+        symbol, text = code[:1], code[1:]
+        opens = symbol in "PBCX" and text != ""
         before = word[-1] if word else ""
-        if token.kind == "(":
-            symbol = _OPEN[token.text]
-        elif token.kind == ")":
-            symbol = ""
-        elif token.kind == "w":
-            symbol = table.get(token.text.lower() if language == "PHP" else token.text, "i")
+        if text == "<>":
+            symbol = "LG" if language == "Java" else symbol
+        elif text and text[0].isalpha():
+            following = _plain_code(codes[place + 1]) if place + 1 < size else ""
             if language == "PHP":
-                if token.text.startswith("$"):
-                    symbol = "V"
-                elif before == ":" and len(word) > 1 and tokens[place - 1].text != ":":
+                if before == ":" and len(word) > 1 and _plain_code(codes[place - 1]) != "::":
                     symbol = "i"
-            elif language == "TypeScript" and token.text == "void" and before in (":", "A", "|"):
+            elif language == "TypeScript" and text == "void" and before in (":", "A", "|"):
                 symbol = "i"
-            elif symbol != "i" and before == "." and not (language == "Java" and token.text in ("new", "super")):
+            elif before == "." and not (language == "Java" and text in ("new", "super")):
                 symbol = "i"
-            if token.text == "record" and language == "Java" and not (place + 1 < size and tokens[place + 1].kind == "w"):
+            if text == "record" and language == "Java" and not (following and (following[0] == "i" or following[1:2].isalpha())):
                 symbol = "i"
-            if symbol in "zjwgyo" and token.text not in ("in", "instanceof") and script:
+            if script and symbol in "zjwgyo" and text not in ("in", "instanceof"):
                 # words with a meaning in some places only
-                follows = tokens[place + 1] if place + 1 < size else None
-                if follows is None or (follows.kind == "o" and follows.text not in ("#", "@", "*", "...")) or follows.kind == ")" or (follows.kind == "(" and follows.text == "(" and symbol not in "oy" and token.text not in ("as",)):
+                closed = not following  # by a bracket, or by the end of the file
+                operator = bool(following[1:]) and not following[1].isalpha() and following[0] not in "PBCX"
+                bracket = following[:2] == "P("
+                if closed or (operator and following[1:] not in ("#", "@", "*", "...")) or (bracket and symbol not in "oy" and text != "as"):
                     symbol = "i"
-                elif symbol == "o" and token.text == "of" and pair != "P":
+                elif symbol == "o" and text == "of" and pair != "P":
                     symbol = "i"
-                elif symbol in "zw" and pair == "P" and symbol == "z":
+                elif symbol == "z" and pair == "P":
                     symbol = "i"
-        elif token.kind == "o":
-            text = token.text
-            if language == "PHP" and text in ("->", "?->", "::"):
-                symbol = ":"
-            elif language == "PHP" and text == ".":
-                symbol = "."
-            elif language == "Java" and text == "<>":
-                symbol = "LG"
-            elif language == "Java" and text in ("->", "::"):
-                symbol = "A" if text == "->" else "."
-            elif language == "Go" and text == "<-":
-                symbol = "o"
-            elif go and text in ("=", ":="):
-                symbol = "="
-            else:
-                symbol = _OPERATORS.get(text) or (text if text in _KEPT else "=" if text.endswith("=") and text not in ("==", "===", "!=", "!==", "<=", ">=") else "o")
-        else:
-            symbol = {"n": "n", "s": "s", "r": "r"}.get(token.kind, "\0")
-        if token.fresh and word and pair in ("", "C"):
-            if script and before in _ENDING and (symbol in _BEGINNING or not symbol) and not (symbol == "C" and before in "PiGBC") and not (before == "P" and heads[-1]) and symbol not in ("o", "j", "h"):
-                if symbol:
-                    word.append(";")
-        if go and token.fresh and word and before in "insrPBCuJRG" and pair in ("", "C") and before != ";":
-            word.append(";")
-        if go and token.fresh and pair == "P" and word and before in "insPBC" and token.kind != ")":
+        if fresh and word and pair in ("", "C"):
+            if script and before in _ENDING and symbol in _BEGINNING and not (symbol == "C" and before in "PiGBC") and not (before == "P" and head) and symbol not in ("o", "j", "h"):
+                word.append(";")
+            if go and before in "insrPBCuJRG":
+                word.append(";")
+        if go and fresh and pair == "P" and word and before in "insPBC" and symbol:
             word.append(";")
-        if token.kind == "(":
-            if script:
-                heads[-1] = bool(symbol == "P" and before and before in "IFWp")
-            stack.append((symbol, []))
-            heads.append(False)
-        elif token.kind == ")":
-            stack.pop()
-            heads.pop()
-            out.append((pair, "".join(word)))
-            stack[-1][1].append(pair)
-        else:
+        if script and opens:
+            before = word[-1] if word else ""
+            head = symbol == "P" and before in ("I", "F", "W", "p")
+        if symbol:
             word.append(symbol)
-    out.append(("", "".join(stack[0][1])))
-    return out
+    return "".join(word)
 
 
-_REPEATS = regex.compile(r"((?:[^,;]{1,16}[,;]))\1{2,}")
+_REPEATS = regex.compile(r"((?:[^,;]{1,16},))\1{2,}")
 _STATEMENTS = regex.compile(r"(?<=;)|(?<=C)(?=[IFWSTRvfcwJt])")
 #: What is a sequence of any number of parts: valid parts in a row are valid.
 _SEQUENCES = {"JavaScript": ["block"], "TypeScript": ["block"], "Java": ["block", "class"], "Go": ["block"], "PHP": ["block", "class"]}
@@ -293,10 +368,9 @@ def _sequence(language: str, name: str) -> regex.Pattern:
 
 @functools.lru_cache(maxsize=100_000)
 def _part(language: str, name: str, word: str) -> bool:
-    try:
-        return _sequence(language, name).match(word, timeout=5) is not None
-    except TimeoutError:
-        return matches(_RULES[language], (name,), word, len(word.removesuffix(_MORE)))
+    if _few_readings(word):
+        return _sequence(language, name).match(word) is not None
+    return matches(_RULES[language], (name,), word, len(word.removesuffix(_MORE)))
 
 
 def _in_parts(language: str, pair: str, word: str) -> bool:
@@ -309,13 +383,109 @@ def _in_parts(language: str, pair: str, word: str) -> bool:
     return any(all(_part(language, name, p) for p in parts) for name in _SEQUENCES[language] if name in allowed_here)
 
 
-def offending(language: str, tokens: list[Token]) -> list[tuple[str, str]]:
-    """The contents of brackets that no grammar allows; brackets must match. Equal entries in a row count as two."""
-    out = []
-    for pair, word in words_of(language, tokens):
-        if (pair == "C" or (pair == "" and language not in ("Java", "Go"))) and _in_parts(language, pair, word):
-            continue
-        word = _REPEATS.sub(r"\1\1", word) if len(word) > 48 else word
-        if not allowed(language, pair, word):
-            out.append((pair, word))
-    return out
+@functools.lru_cache(maxsize=200_000)
+def content_allowed(language: str, pair: str, codes: tuple[str, ...]) -> bool:
+    """Whether the content with these codes may stand in ``pair``. Of equal entries in a row, two count."""
+    if language == "Python" and pair == "":
+        return python_file_allowed(codes)
+    word = word_of(language, pair, codes)
+    if language != "Python" and (pair == "C" or (pair == "" and language not in ("Java", "Go"))) and _in_parts(language, pair, word):
+        return True
+    return allowed(language, pair, _REPEATS.sub(r"\1\1", word))
+
+
+@functools.cache
+def _python_rule(name: str) -> regex.Pattern:
+    return regex.compile(rf"(?x)(?(DEFINE){_PYTHON})(?&{name})$")
+
+
+@functools.lru_cache(maxsize=200_000)
+def python_pair(pair: str, codes: tuple[str, ...]) -> str:
+    """The symbol of a Python pair with this content: ``P``, ``u`` arguments only, ``r`` neither; ``B``, ``b`` list only, ``x`` index only; ``C``."""
+    word = word_of("Python", pair, codes)
+    if not (word or pair == "B"):
+        return pair
+    word = _REPEATS.sub(r"\1\1", word)
+    if pair == "P":
+        return "P" if _python_rule("group").match(word) else "u" if _python_rule("args").match(word) else "r"
+    if pair == "B":
+        listed, index = (bool(_python_rule(rule).match(word)) for rule in ("list", "index"))
+        return "B" if listed and index else "b" if listed else "x"
+    return pair
+
+
+def _braces_match(text: str) -> bool:
+    """Whether the braces in a formatted string do."""
+    depth = at = 0
+    while at < len(text):
+        if not depth and text[at : at + 2] in ("{{", "}}"):
+            at += 1
+        elif text[at] in "{}":
+            depth += 1 if text[at] == "{" else -1
+            if depth < 0:
+                return False
+        at += 1
+    return not depth
+
+
+_CLAUSES = {"E": "IQWfTX", "Q": "IQ", "X": "TX", "Y": "TXE"}  #: after which statement of the same margin each may stand
+
+
+def python_file_allowed(codes: tuple[str, ...]) -> bool:
+    """Whether logical lines and their margins make a Python file.
+
+    Each line is a word of its own; a header without a body opens a block, a margin that becomes smaller closes
+    blocks. Returns, breaks and clauses must stand where they may.
+    """
+    lines: list[tuple[str, str]] = []
+    for code in codes:
+        _, margin, plain = code.split("\n") if code[0] == "\n" else ("", None, code)
+        if margin is not None or not lines:
+            lines.append((margin or "", plain[0]))
+            if plain in ("imatch", "icase", "itype"):
+                lines[-1] = (margin or "", plain[1] + "\0")
+        else:
+            lines[-1] = (lines[-1][0], lines[-1][1] + plain[0])
+    blocks: list[list] = [[0, "", ""]]  # margin, kind of what opened it, kind of the last statement in it
+    opened = ""
+    for margin, word in lines:
+        width = len(margin.expandtabs(8))
+        if word[1:2] == "\0":  # match, case or type: a word of the language or a name
+            soft, word = {"m": "M", "c": "K", "t": "z"}[word[0]] + word[2:], "i" + word[2:]
+            if allowed("Python", "", _REPEATS.sub(r"\1\1", soft)) and not (soft[0] in "MK" and not soft.endswith(":") and allowed("Python", "", word)):
+                word = soft
+        if not allowed("Python", "", _REPEATS.sub(r"\1\1", word)):
+            return False
+        if opened and width <= blocks[-1][0]:
+            return False
+        if opened:
+            blocks.append([width, opened, ""])
+        while width < blocks[-1][0]:
+            if blocks.pop()[2] in ("T", "@"):
+                return False
+        if width != blocks[-1][0]:
+            return False
+        kind = word[1] if word[0] == "y" and len(word) > 1 else word[0]
+        last = blocks[-1][2]
+        if kind in _CLAUSES:
+            if not last or last not in _CLAUSES[kind] or (kind == "E" and last == "T"):
+                return False
+        elif last == "T" or (last == "@" and kind not in "dc@"):
+            return False
+        if kind == "K" and blocks[-1][1] != "M" or blocks[-1][1] == "M" and kind != "K":
+            return False
+        blocks[-1][2] = kind
+        around = [b[1] for b in blocks[1:]]
+        scopes = [k for k in [*around, "a" if word.startswith("yd") else kind if kind == "d" else ""] if k and k in "dac"]
+        if any(part[:1] == "R" for part in regex.split("[:;]", word)) and (not scopes or scopes[-1] == "c"):
+            return False
+        if "J" in word:
+            inner = next((k for k in reversed(around) if k in "dacWf"), "")
+            if inner not in ("W", "f") and kind not in "Wf":
+                return False
+        if ("N" in word and (not scopes or scopes[-1] == "c")) or ("v" in word and "l" not in word and (not scopes or scopes[-1] != "a")):
+            return False
+        opened = ""
+        if word.endswith(":"):
+            opened = "a" if word.startswith("yd") else kind
+    return not opened and all(b[2] not in ("T", "@") for b in blocks)

@@ -1,8 +1,11 @@
-"""Lexers of six languages whose state can be summarised chunk by chunk.
+"""Lexers of six languages whose work on a chunk can be summarised and composed.
 
-``scan`` yields the tokens of a piece of source from a given state and ends with the state after it.
-A state is a string: empty in code, else what has been opened and not closed (a comment, a string that
-may run over lines, the text outside a script, a template with the code inside it).
+``scan`` yields the tokens of a piece of source from a given state and ends with the state after it. A state is
+a string: empty in code, else what has been opened and not closed (a comment, a string that may run over lines,
+the text outside a script). In scripts ``v`` before it says that a value stands last, so that a slash divides.
+
+What a closing brace of a script ends, a block or the code inside a template, is told by the bracket it matches.
+If that stands in an earlier chunk, the scan of the chunk stops there and goes on in both ways.
 """
 
 from __future__ import annotations
@@ -12,9 +15,13 @@ from typing import NamedTuple
 import regex
 
 LANGUAGES = ("Python", "JavaScript", "TypeScript", "Go", "Java", "PHP")
+SCRIPTS = ("JavaScript", "TypeScript")
 _NUMBER = r"0[xX][\da-fA-F_]+[nLl]?|0[bB][01_]+[nLl]?|0[oO][0-7_]+n?|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?[\d_]+)?[nLlfFdDij]?"
 _OPERATORS = r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|<=>|\?->|=>|->|::|\?\.(?!\d)|\?\?|&&|\|\||\+\+|--|==|!=|<>|<=|>=|<<|<-|:=|[-+*/%&|^.]=|&\^=?|\*\*|[-+*/%&|^~!?:;,.=<>@#\\]"
+_PYTHON_OPERATORS = r"\.\.\.|\*\*=?|//=?|<<=?|>>=?|!=|==|<=|>=|->|:=|[-+*/%&|^@]=|[-+*/%&|^~:;,.=<>@]"
 _SIMPLE = {"'": r"'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*'", '"': r'"(?:[^"\\\n]|\\(?:\r\n|[\s\S]))*"'}
+_PREFIX = r"(?:[rR][bBfF]?|[bBfF][rR]?|[uU])"
+_FORMATTED = "|".join(rf"(?:[fF][rR]?|[rR][fF]){q}(?:[^{q}\\\n{{}}]|\\[\s\S]|\{{\{{|\}}\}}|\{{(?:[^{{}}'\"\n]|'[^'\n]*'|\"[^\"\n]*\"|\{{[^{{}}\n]*\}})*\}})*{q}" for q in "'\"")
 
 
 class Token(NamedTuple):
@@ -34,7 +41,7 @@ def _compiled(strings: str, comments: str, word: str, multi: str, operators: str
 
 _WORD = r"[\p{L}_$][\p{L}\p{N}\p{M}_$]*"
 _RULES = {
-    "Python": _compiled("|".join(_SIMPLE.values()), r"\#[^\n]*", r"[\p{L}_][\p{L}\p{N}\p{M}_]*", r"'''|\"\"\""),
+    "Python": _compiled(rf"{_FORMATTED}|{_PREFIX}?(?:{'|'.join(_SIMPLE.values())})", r"\#[^\n]*|\\\r?\n", rf"(?!{_PREFIX}['\"])[\p{{L}}_][\p{{L}}\p{{N}}\p{{M}}_]*", rf"{_PREFIX}?(?:'''|\"\"\")", _PYTHON_OPERATORS),
     "JavaScript": _compiled("|".join(_SIMPLE.values()), r"//[^\n]*", rf"\#?{_WORD}", r"/\*|`"),
     "Go": _compiled(_SIMPLE['"'] + r"|'(?:[^'\\\n]|\\(?:x[\da-fA-F]{2}|u[\da-fA-F]{4}|U[\da-fA-F]{8}|[0-7]{3}|[abfnrtv\\'\"]))'", r"//[^\n]*", r"[\p{L}_][\p{L}\p{N}_]*", r"/\*|`"),
     "Java": _compiled(_SIMPLE['"'] + r"|'(?:[^'\\\n]|\\(?:u+[\da-fA-F]{4}|[0-7]{1,3}|[btnfrs\"'\\]))'", r"//[^\n]*", _WORD, r'/\*|"""'),
@@ -54,43 +61,61 @@ _ENDS = {
     "`php": regex.compile(r"(?:[^`\\]|\\[\s\S])*+`"),
     "?>": regex.compile(r"<\?(?:php(?=\s|$)|=)"),
 }
-#: The states in which a chunk of each language may begin, besides those of a here-document.
-STARTS = {"Python": ["", "'''", '"""'], "JavaScript": ["", "/*", "`", "`{"], "TypeScript": ["", "/*", "`", "`{"], "Go": ["", "/*", "`go"], "Java": ["", "/*", '"""'], "PHP": ["?>", "", "/*", "'", '"', "`php"]}
+#: The states in which a chunk of each language may begin, besides those of a here-document, and that of a file.
+STARTS = {"Python": ("", "'''", '"""'), "JavaScript": ("", "v", "/*", "v/*", "`"), "TypeScript": ("", "v", "/*", "v/*", "`"), "Go": ("", "/*", "`go"), "Java": ("", "/*", '"""'), "PHP": ("?>", "", "/*", "'", '"', "`php")}
 FIRST = {x: "?>" if x == "PHP" else "" for x in LANGUAGES}
 _VALUES = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "instanceof", "yield", "await"}
+_LABEL = regex.compile(r"<<<[ \t]*['\"]?(\w+)")
 
 
 def _here(label: str) -> regex.Pattern:
     return regex.compile(rf"(?m)^[ \t]*{label}\b")
 
 
-def scan(language: str, text: str, state: str, out: list[Token], comments: list[tuple[int, int, int]] | None = None) -> str:
-    """Appends the tokens of ``text`` to ``out`` and returns the state at its end.
+def _wants_value(out: list[Token]) -> bool:
+    last = out[-1]
+    return last.kind in "o(" or (last.kind == "w" and last.text in _VALUES)
+
+
+def scan(language: str, text: str, state: str, out: list[Token], comments: list[tuple[int, int, int]] | None = None, at: int = 0, ends: dict[int, int] | None = None) -> tuple[str, int]:
+    """Appends the tokens of ``text`` from ``at`` on to ``out``; returns the state and the place where the scan ends.
 
-    ``comments`` gets the tokens before each comment, and the places where it begins and ends.
+    That is the end of the text, or in a script the place after a closing brace that nothing scanned here opens; the
+    brace is the last token then. ``comments`` gets the tokens before each comment and the places where it begins and
+    ends, ``ends`` the place after each string that may run over lines.
     """
-    rules, script = _RULES[language], language in ("JavaScript", "TypeScript")
-    at, size, fresh, begun = 0, len(text), True, 0
-    depth: list[int] = []  # of braces, in each template that is open around the code
-    if state.startswith("`") and script:
-        for part in state[1:].split("`"):
-            depth.append(len(part))
-        state = "`" if depth[-1] == 0 else ""
+    rules, script = _RULES[language], language in SCRIPTS
+    size, first, begun, opened = len(text), len(out), 0, 0
+    value = state.startswith("v")
+    state = state.removeprefix("v")
+    fresh = not at and state in ("", "?>")
+    braces: list[str] = []  # of scripts, opened here
+
+    def after(state: str) -> str:
+        wants = _wants_value(out) if len(out) > first else not value
+        return "v" + state if script and state != "`" and not wants else state
+
     while at < size:
         if state:
-            end = (_here(state[3:]) if state.startswith("<<<") else _ENDS[state])
+            end = _here(state[3:]) if state.startswith("<<<") else _ENDS[state]
             found = end.search(text, at) if state in ("/*", "?>") or state.startswith("<<<") else end.match(text, at)
             if not found:
-                return state if not depth else "`" + "`".join("{" * d for d in depth)
-            if state == "/*" and comments is not None:
-                comments.append((len(out), begun, found.end()))
-            if state == "?>" and found.group().endswith("="):
-                out.append(Token("w", "echo", at, True))
+                return after(state), size
+            if state == "/*":
+                fresh = fresh or text.find("\n", at, found.end()) >= 0
+                if comments is not None:
+                    comments.append((len(out), begun, found.end()))
+            elif state == "?>":
+                fresh = True
+                if found.group().endswith("="):
+                    out.append(Token("w", "echo", at, True))
+            elif ends is not None and len(out) > first:
+                ends[opened] = found.end()
             if state == "`" and found.group(1) == "${":
                 out.append(Token("(", "${", found.end() - 2, False))
-                depth[-1] = 1
+                braces.append("${")
             elif state == "`":
-                depth.pop()
+                value = True
             at, state = found.end(), ""
             continue
         found = rules.match(text, at)
@@ -115,30 +140,32 @@ def scan(language: str, text: str, state: str, out: list[Token], comments: list[
                 comments.append((len(out), start, at))
             continue
         if kind == "m":
+            opened = start
             if token == "?>":
                 out.append(Token("o", ";", start, fresh))
                 state = "?>"
             elif token == "/*":
                 state, begun = "/*", start
+                continue
             elif token.startswith("<<<"):
                 out.append(Token("s", token, start, fresh))
                 state = "<<<" + token.strip("<'\" \t\r\n")
             else:
                 out.append(Token("s", token, start, fresh))
-                if token == "`" and script:
-                    depth.append(0)
-                    state = "`"
-                else:
-                    state = {"Go": "`go", "PHP": "`php"}.get(language, "`") if token == "`" else token
+                state = {"Go": "`go", "PHP": "`php"}.get(language, "`") if token == "`" else token[-3:]
             fresh = False
             continue
-        if kind == "o" and token[0] == "/" and script and _begins_pattern(out) and (pattern := _PATTERN.match(text, start)):
+        if kind == "o" and token[0] == "/" and script and (_wants_value(out) if len(out) > first else not value) and (pattern := _PATTERN.match(text, start)):
             kind, token, at = "r", pattern.group(), pattern.end()
         elif kind == "k":
             kind = "(" if token in "([{" else ")"
-            if depth and token in "{}":
-                depth[-1] += 1 if token == "{" else -1
-                if depth[-1] == 0:
+            if script and token == "{":
+                braces.append("{")
+            elif script and token == "}":
+                if not braces:
+                    out.append(Token(")", "}", start, fresh))
+                    return "}", at
+                if braces.pop() == "${":
                     out.append(Token(")", "}", start, False))
                     state = "`"
                     continue
@@ -148,81 +175,26 @@ def scan(language: str, text: str, state: str, out: list[Token], comments: list[
                 kind = "!"
         out.append(Token(kind, token, start, fresh))
         fresh = False
-    if depth:
-        return "`" + "`".join("{" * d for d in depth)
-    return state
+    return after(state), size
 
 
-def _begins_pattern(out: list[Token]) -> bool:
-    if not out:
-        return True
-    last = out[-1]
-    return last.kind in "o(" or (last.kind == "w" and last.text in _VALUES)
-
-
-_CLOSES = {")": "(", "]": "[", "}": "{"}
-
-
-def brackets(tokens: list[Token]) -> str:
-    """What is left of the brackets after matching ones cancel: closing ones, then opening ones; ``!`` if some cross or no token begins somewhere."""
-    left: list[str] = []
-    for token in tokens:
-        if token.kind == "!":
-            return "!"
-        if token.kind == "(":
-            left.append(token.text[-1])
-        elif token.kind == ")":
-            if left and left[-1] not in _CLOSES:
-                if left.pop() != _CLOSES[token.text]:
-                    return "!"
-            else:
-                left.append(token.text)
-    return "".join(left)
-
-
-def joined(a: str, b: str) -> str:
-    """The summary of two pieces in a row; associative."""
-    if "!" in (a[:1], b[:1]):
-        return "!"
-    left = list(a)
-    for c in b:
-        if c in _CLOSES and left and left[-1] not in _CLOSES:
-            if left.pop() != _CLOSES[c]:
-                return "!"
-        else:
-            left.append(c)
-    return "".join(left)
-
-
-def summary(language: str, chunk: str, first: bool) -> dict[str, tuple[str, str]]:
-    """For each state in which ``chunk`` may begin, the state in which it ends and its brackets; the first of a file has one."""
-    starts = [FIRST[language]] if first else list(STARTS[language])
-    if language == "PHP" and not first:
-        starts += sorted({"<<<" + m for m in regex.findall(r"(?m)^[ \t]*([A-Za-z_]\w*)\b", chunk)}) if "<<<" in chunk or regex.search(r"(?m)^[ \t]*[A-Z][A-Z_]*;?$", chunk) else []
-    out = {}
-    for state in starts:
-        tokens: list[Token] = []
-        end = scan(language, chunk, state, tokens)
-        out[state] = (end, brackets(tokens))
+def states_of(language: str, text: str) -> list[str]:
+    """What a text can open that runs over lines: the states in which one of its chunks may begin."""
+    out = [s for s in STARTS[language] if (opener := s.removeprefix("v")) in ("", "?>") or ("`" if opener[0] == "`" else opener) in text]
+    if language == "PHP":
+        out += sorted({"<<<" + m for m in _LABEL.findall(text)})
     return out
 
 
-def followed(state: str, held: str, chunk: dict[str, tuple[str, str]]) -> tuple[str, str] | None:
-    """State and brackets after one more chunk; nothing if the chunk was not read from this state."""
-    if state.startswith("<<<") and state not in chunk:
-        return state, held
-    if state not in chunk:
-        return None
-    end, more = chunk[state]
-    return end, joined(held, more)
+_LINE_END = regex.compile(r"(?<!\\)(?<!\\\r)\n")
 
 
 def pieces(text: str, size: int) -> list[str]:
-    """``text`` cut at line ends into chunks of ``size`` characters or a little more."""
+    """``text`` cut at line ends into chunks of ``size`` characters or a little more; no cut follows a backslash."""
     out, at = [], 0
     while at < len(text):
-        stop = text.find("\n", min(at + size, len(text)))
-        stop = len(text) if stop < 0 else stop + 1
+        found = _LINE_END.search(text, min(at + size, len(text)))
+        stop = found.end() if found else len(text)
         out.append(text[at:stop])
         at = stop
     return out

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import ast
 import random
 
 import pytest
 
 from custodia.llm import grammars
-from custodia.llm.lexing import FIRST, Token, brackets, followed, joined, pieces, scan, summary
+from custodia.llm.lexing import FIRST, pieces, states_of
+from custodia.llm.summaries import joined, packed, stands, summarise, unpacked
 from custodia.llm.syntax import broken_files, broken_rates, parses
 
 GOOD = {
@@ -56,30 +58,75 @@ def test_broken_sources(language):
         assert not parses(language, text), text
 
 
-@pytest.mark.parametrize("language", ["JavaScript", "Go", "Java", "PHP"])
-def test_summaries_of_chunks_compose_to_the_whole(language):
-    text = GOOD[language][-1] * 3 + BAD[language][-1]
-    tokens: list[Token] = []
-    end = scan(language, text, FIRST[language], tokens)
-    for size in (1, 20, 60, 10_000):
-        state, held = FIRST[language], ""
-        for k, chunk in enumerate(pieces(text, size)):
-            step = followed(state, held, summary(language, chunk, k == 0))
-            if step is None:  # deeper than the map knows
-                break
-            state, held = step
-        else:
-            assert (state, held) == (end, brackets(tokens))
+def _chunks(language, text, size):
+    states = states_of(language, text)
+    return [summarise(language, c, states if k else [FIRST[language]]) for k, c in enumerate(pieces(text, size))]
 
 
-def test_bracket_summaries_are_associative():
+@pytest.mark.parametrize("language", GOOD)
+def test_the_size_of_chunks_changes_no_verdict(language):
+    for texts, verdict in ((GOOD[language], True), (BAD[language], False)):
+        for text in texts:
+            assert {parses(language, text, size) for size in (1, 9, 40, 10_000)} == {verdict}, text
+
+
+@pytest.mark.parametrize("language", GOOD)
+def test_summaries_may_be_joined_in_any_grouping(language):
     random.seed(5)
-    one = lambda: "".join(random.choice("()[]{}") for _ in range(random.randint(0, 4)))
-    whole = lambda s: brackets([Token("(" if c in "([{" else ")", c, 0, False) for c in s])
-    for _ in range(500):
-        a, b, c = one(), one(), one()
-        x, y, z = whole(a), whole(b), whole(c)
-        assert joined(joined(x, y), z) == joined(x, joined(y, z)) == whole(a + b + c)
+    for text in (GOOD[language][-1] * 2, GOOD[language][-1] + BAD[language][0]):
+        verdicts = set()
+        for _ in range(8):
+            parts = _chunks(language, text, 12)
+            while len(parts) > 1:
+                k = random.randrange(len(parts) - 1)
+                parts[k : k + 2] = [unpacked(packed(joined(language, parts[k], parts[k + 1])))]
+            verdicts.add(stands(language, parts[0]))
+        assert verdicts == {parses(language, text)}, text
+
+
+def test_templates_and_here_documents_over_chunks():
+    nested = "const a = `x ${f({\nb: `y ${[1,\n2].map((z) => {\nreturn `}${z\n}`\n})}\n`\n})} }\n`\nlet c = 1\n"
+    here = "<?php\n$a = <<<SQL\n it's {\n SQL;\n$b = [\n<<<'X'\n ( \n X,\n];\n"
+    for language, text in (("JavaScript", nested), ("TypeScript", nested), ("PHP", here)):
+        for size in (1, 10, 25):
+            assert parses(language, text, size)
+            assert not parses(language, text.replace("]", ")", 1), size)
+    assert not parses("JavaScript", nested.replace("})}\n`\n", "})\n`\n"), 1)
+
+
+def test_a_verdict_that_only_the_reduction_can_give(spark):
+    lines = "x = 1;\n" * 40
+    rows = [(1, "JavaScript", "f(function () {\n" + lines + "})\n"), (2, "JavaScript", "f(function () {\n" + lines + ")}\n"), (3, "JavaScript", "f([1,\n" + "2,\n" * 60 + "3 4])\n"), (4, "JavaScript", "/*\n" + "( ` '\n" * 60 + "*/ f()\n"), (5, "PHP", "<?php\n$a = '\n" + "x )\n" * 60)]
+    df = spark.createDataFrame(rows + rows[:2], "file_id long, lang string, content string")
+    for chunk, run in ((20, 2), (20, 64), (32_768, 64)):
+        assert sorted(r["file_id"] for r in broken_files(df, "file_id", "lang", "content", chunk, run).collect()) == [2, 3, 5]
+
+
+def test_deep_and_long_texts_are_decided():
+    assert parses("Python", "x = " + "-" * 200_000 + "1\n") and not parses("Python", "x = " + "-" * 200_000 + "1 1 1 (\n")
+    assert parses("Python", "x = " + "(" * 50_000 + "1" + ")" * 50_000 + "\n") and not parses("Python", "x = " + "(" * 50_000 + "1" + ")" * 49_999 + "\n")
+    assert parses("JavaScript", "for (;;) {}\n") and not parses("JavaScript", "for (i;i;i;i) {}\n")
+    assert not parses("JavaScript", "for (" + "i; " * 60 + "i) {}\n")
+
+
+PYTHON = [
+    ("def f(a, /, b=1, *c: int, d, **e) -> x:\n    return\n", True), ("async def f():\n    async with a as b, c:\n        await d\n    return [x async for x in y if z]\n", True), ("def f():\n    await x\n", False),
+    ("return 1\n", False), ("for x in y:\n    break\nelse:\n    pass\n", True), ("break\n", False), ("try:\n    pass\nx = 1\n", False), ("try:\n    pass\nexcept* (A, B) as e:\n    pass\nelse:\n    pass\nfinally:\n    pass\n", True),
+    ("if x:\n    pass\nelif y: pass\nelse:\n\tpass\n", True), ("if x:\npass\n", False), ("if x:\n    a\n  b\n", False), ("else:\n    pass\n", False), ("@a.b(c)\nclass D(E, metaclass=F): x: int = 1; y = 2\n", True), ("@a\nx = 1\n", False),
+    ("match(x)\nmatch = type = case = 1\n", True), ("match x, y:\n    case {'a': 1, **r} if r:\n        pass\n    case A(b=0) | [_, *_]:\n        pass\n", True), ("match x:\n    y = 1\n", False), ("print 'x'\n", False), ("x = [i for i in range(3) if i if not i]\n", True),
+    ("from . import (a as b, c,)\nfrom ...x import *\nimport a.b as c, d\n", True), ("from import x\n", False), ("f(*b, c=1, **a)\nx = lambda *a, b=1: (a, b)\n", True), ("a[1:2, ::3, ...] = b[()] = *c, d\n", True), ("x = a[]\n", False), ("x = (a, b=1)\n", False), ("f() = 1\n", False), ("x += y := 1\n", False),
+    ("if (n := 10) > 5: print(f'{n!r:>{w}} {{}}')\n", True), ("x = f'{n'\n", False), ("type A[T: int, *U, **V] = dict[T, U]\ndef g[T](x: T): ...\n", True), ("x = 1 \\\n  + 2\n", True), ("del a, b[0]\nglobal c\nassert x, 'y'\nraise A from b\n", True), ("class A:\n    '''doc\n  text'''\n    def f(self): return 'a' \"b\" r'\\c'\n", True),
+]
+
+
+@pytest.mark.parametrize("text,verdict", PYTHON)
+def test_python_agrees_with_the_interpreter(text, verdict):
+    try:
+        compile(ast.parse(text), "file", "exec", dont_inherit=True)
+        told = True
+    except SyntaxError:
+        told = False
+    assert parses("Python", text) == told == verdict
 
 
 def test_files(spark):
@@ -105,15 +152,13 @@ def test_a_part_before_another_must_be_closed(language):
         assert parses(language, text.replace("} return", "}; return").replace("} if", "}; if").replace("} let", "}; let").replace("public ", "")), text
 
 
-def test_words_that_take_backtracking_too_long_are_decided(monkeypatch):
-    class Slow:
-        def match(self, word, timeout):
-            raise TimeoutError
+def test_both_ways_of_deciding_agree(monkeypatch):
+    def clear():
+        for known in (grammars.allowed, grammars._part, grammars.content_allowed):
+            known.cache_clear()
 
-    grammars.allowed.cache_clear()
-    grammars._part.cache_clear()
-    monkeypatch.setattr(grammars, "_entry", lambda language, pair: Slow())
-    monkeypatch.setattr(grammars, "_sequence", lambda language, name: Slow())
+    clear()
+    monkeypatch.setattr(grammars, "_few_readings", lambda word: False)
     try:
         for language in grammars.ENTRIES:
             for text in GOOD[language]:
@@ -122,8 +167,7 @@ def test_words_that_take_backtracking_too_long_are_decided(monkeypatch):
                 assert not parses(language, text), text
         assert parses("JavaScript", "if (a) { b() } " + "else if (a) { b() } " * 3_000)
     finally:
-        grammars.allowed.cache_clear()
-        grammars._part.cache_clear()
+        clear()
 
 
 def test_long_files_are_judged_whole(spark):
