@@ -1,10 +1,13 @@
 """Source files that nobody wrote by hand in their repository.
 
-Copies of libraries are found across repositories: an inverted index holds the hash of each line together
-with the two lines before it, which makes lines rare that are common by themselves, and the repositories
-it occurs in. The share of a file's hashes that the index knows from another repository is its containment,
-which edits to a copy lower by little. The other files are told by rules on notices and on the composition
-of their tokens: accessors written in pairs, lines without blanks, literals in place of code.
+One scan reads each file once. It gives the hashes of the lines, each together with the two before it, and what rules on
+notices and on the composition of the tokens tell: accessors written in pairs, functions that are numbered, lines
+without blanks, literals in place of code.
+
+The hashes make an inverted index of repositories. A hash that few repositories hold is rare: its posting names them, and
+each file that holds it counts one for each *other* repository there, so the containment of the file in every single
+other repository is exact. A hash that more repositories hold is common, tells no repository apart, and counts for all.
+A file contained in one other repository to the given share is a copy; edits to a copy lower that by little.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -21,7 +25,12 @@ CONTAINMENT = 0.8
 LEAST_LINES = 5
 LINES_TOGETHER = 3
 LEAST_CHARS = 40
+RARE = 16  #: repositories that hold a rare hash, at most
+ACCESSOR_SHARE = 0.4
+NUMBERED = 8
+NUMBERED_SHARE = 0.5
 LITERAL_SHARE = 0.7
+REASONS = ("generated", "vendored", "data", "minified")
 LITERAL_CHARS = 300
 CODE_LINE_CHARS = 160
 BLANK_SHARE = 0.1
@@ -74,24 +83,36 @@ def leading_comments(text: str) -> list[str]:
     return out
 
 
-def accessor_pairs(text: str) -> tuple[int, int]:
-    """Functions that come as getter and setter of one thing, and all functions."""
-    names = [a or b for a, b in _FUNCTION.findall(text)]
-    names = [n for n in names if n not in _NO_NAMES]
+def function_names(text: str) -> list[str]:
+    return [n for a, b in _FUNCTION.findall(text) if (n := a or b) not in _NO_NAMES]
+
+
+def accessor_pairs(names: list[str]) -> int:
+    """How many of these functions come as getter and setter of one thing."""
     kinds: dict[str, set[str]] = {}
     for name in names:
         if found := _ACCESSOR.fullmatch(name):
             kinds.setdefault(found[2].strip("_").lower(), set()).add(found[1].lower())
-    paired = sum(1 for n in names if (found := _ACCESSOR.fullmatch(n)) and len(kinds[found[2].strip("_").lower()]) == 2)
-    return paired, len(names)
+    return sum(1 for n in names if (found := _ACCESSOR.fullmatch(n)) and len(kinds[found[2].strip("_").lower()]) == 2)
+
+
+def numbered(names: list[str]) -> int:
+    """The size of the largest family of functions of which the names differ in one number of three digits or more only."""
+    families: dict[str, set[str]] = {}
+    for name in names:
+        for found in re.finditer(r"\d{3,}", name):
+            families.setdefault(f"{name[: found.start()]}#{name[found.end() :]}", set()).add(found.group())
+    return max(map(len, families.values()), default=0)
 
 
 def reasons_of(path: str, text: str, owner: str) -> list[str]:
     """What the notices and the composition of one file tell: ``generated``, ``minified``, ``data`` or ``vendored``."""
     out = []
     head = leading_comments(text)
-    paired, functions = accessor_pairs(text)
-    if any(MARKS.search(line) for line in head) or (paired >= 2 and paired >= 0.5 * functions) or (paired and OUTPUT_FOLDERS.search(path)):
+    names = function_names(text)
+    paired, family = accessor_pairs(names), numbered(names)
+    written_out = (paired >= 2 and paired >= ACCESSOR_SHARE * len(names)) or (family >= NUMBERED and family >= NUMBERED_SHARE * len(names))
+    if any(MARKS.search(line) for line in head) or written_out or (paired and OUTPUT_FOLDERS.search(path)):
         out.append("generated")
     if FOLDERS.search(path):
         out.append("vendored")
@@ -115,16 +136,6 @@ def reasons_of(path: str, text: str, owner: str) -> list[str]:
     return out
 
 
-def _reasons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, found = [], []
-        for key, repository, path, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            for reason in reasons_of(path or "", text, (repository or "").split("/")[0]):
-                ids.append(key)
-                found.append(reason)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["id", "reason"])
-
-
 def line_hashes(text: str) -> set[int]:
     """The hash of each line together with those before it, blank ones and margins left out."""
     lines = [line for raw in text.split("\n") if (line := raw.strip())]
@@ -136,35 +147,143 @@ def line_hashes(text: str) -> set[int]:
     return out
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hashes, ids, repositories = [], [], []
-        for key, repository, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            found = line_hashes(text)
-            hashes.extend(found)
-            ids.extend([key] * len(found))
-            repositories.extend([xxhash.xxh3_64_intdigest((repository or "").encode()) - (1 << 63)] * len(found))
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(ids, pa.int64()), pa.array(repositories, pa.int64())], ["hash", "id", "repository"])
+#: Kinds of rows: a line of a file; a line that only stands for others; a common line of a file; a file, its lines and reasons.
+_LINE, _WITNESS, _COMMON, _FILE = 0, 1, 2, 3
+_TAGGED = "key long, repository long, id long, kind int, number int"
+
+
+def _read(rare: int):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files, lines = [], []
+            for key, repository, path, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                reasons = sum(1 << REASONS.index(r) for r in set(reasons_of(path or "", text, (repository or "").split("/")[0])))
+                hashes = np.fromiter(line_hashes(text), np.int64)
+                files.append((key, reasons, len(hashes)))
+                lines.append((hashes, key, xxhash.xxh3_64_intdigest((repository or "").encode()) - (1 << 63)))
+            if not files:
+                continue
+            hashes = np.concatenate([h for h, _, _ in lines])
+            ids = np.concatenate([np.full(len(h), key, np.int64) for h, key, _ in lines])
+            repositories = np.concatenate([np.full(len(h), r, np.int64) for h, _, r in lines])
+            kinds = np.zeros(len(hashes), np.int32)
+            # what is common within this batch is settled here; one line of each of a few repositories tells the others
+            order = np.lexsort((repositories, hashes))
+            h, r = hashes[order], repositories[order]
+            new_hash = np.ones(len(h), bool)
+            new_hash[1:] = h[1:] != h[:-1]
+            new_repository = new_hash.copy()
+            new_repository[1:] |= r[1:] != r[:-1]
+            group = np.cumsum(new_hash) - 1
+            common = np.bincount(group, weights=new_repository)[group] > rare if len(h) else np.zeros(0, bool)
+            rank = np.cumsum(new_repository)
+            rank = rank - rank[np.flatnonzero(new_hash)][group] if len(h) else rank
+            kinds[order[common & new_repository & (rank <= rare)]] = _WITNESS
+            kept = np.ones(len(h), bool)
+            kept[order[common]] = kinds[order[common]] == _WITNESS
+            settled, lines_of = ids[order[common]], h[common]
+            keys, reasons, sizes = (np.array(x, np.int64) for x in zip(*files))
+            spread = lambda x: (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            columns = [
+                np.concatenate([hashes[kept], spread(settled ^ lines_of), spread(keys)]),
+                np.concatenate([repositories[kept], lines_of, reasons]),
+                np.concatenate([ids[kept], settled, keys]),
+                np.concatenate([kinds[kept], np.full(len(settled), _COMMON, np.int32), np.full(len(keys), _FILE, np.int32)]),
+                np.concatenate([np.zeros(kept.sum() + len(settled), np.int32), sizes.astype(np.int32)]),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "repository", "id", "kind", "number"])
+
+    return read
+
+
+_COUNTED = "id long, partner long, common boolean, lines int, reasons int"
 
 
-def containment(df: DataFrame, key: str, repository: str, content: str) -> DataFrame:
-    """``key``, ``lines`` and ``elsewhere``: the hashed lines of each file and how many of them another repository holds."""
-    files = df.select(df[key].cast("long").alias("id"), df[repository].cast("string").alias("repository"), df[content].cast("string").alias("content")).where("id is not null and content is not null")
-    lines = files.mapInArrow(_hashed, "hash long, id long, repository long")
-    # one row a hash, combined before the shuffle, however many files hold it
-    index = lines.groupBy("hash").agg(F.min("repository").alias("one"), F.max("repository").alias("other")).select("hash", (F.col("one") != F.col("other")).cast("int").alias("shared"))
-    return lines.select("hash", "id").distinct().join(index, "hash").groupBy("id").agg(F.count(F.lit(1)).alias("lines"), F.sum("shared").alias("elsewhere")).withColumnRenamed("id", key)
+def _postings(rare: int):
+    """Of rows sorted by hash and repository, one for each rare line of a file and each other repository that holds it, and one for each common line.
 
+    Of a hash, what is held are the rows of its first ``rare`` repositories; once there are more, it is common and its
+    rows go straight through.
+    """
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[], [], [], [], []]
+        open_key, repositories, held, is_common = None, [], [], False
+        last = None
+
+        def put(key: int, partner, common, lines, reasons) -> None:
+            for column, value in zip(out, (key, partner, common, lines, reasons)):
+                column.append(value)
+
+        def close() -> None:
+            if not is_common and len(repositories) > 1:
+                for repository, key in held:
+                    for other in repositories:
+                        if other != repository:
+                            put(key, other, False, None, None)
+
+        def flush() -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()]
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["id", "partner", "common", "lines", "reasons"])
+            for column in out:
+                column.clear()
+            return made
+
+        for batch in batches:
+            for key, repository, file, kind, number in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if kind == _FILE:
+                    put(file, None, None, number, repository)
+                elif kind == _COMMON:
+                    put(file, repository, True, None, None)
+                else:
+                    if key != open_key:
+                        close()
+                        open_key, repositories, held, is_common, last = key, [], [], False, None
+                    if not repositories or repository != repositories[-1]:
+                        if not is_common:
+                            repositories.append(repository)
+                        if len(repositories) > rare and not is_common:
+                            is_common = True
+                            for _, earlier in held:
+                                put(earlier, key, True, None, None)
+                            held = []
+                    if kind == _WITNESS or (repository, file) == last:
+                        continue
+                    last = (repository, file)
+                    if is_common:
+                        put(file, key, True, None, None)
+                    else:
+                        held.append(last)
+            if len(out[0]) > 50_000:
+                yield flush()
+        close()
+        yield flush()
+
+    return postings
 
-def unwritten_files(df: DataFrame, key: str, repository: str, path: str, content: str, least: float = CONTAINMENT) -> DataFrame:
+
+def containment(df: DataFrame, key: str, repository: str, path: str, content: str, rare: int = RARE) -> DataFrame:
+    """One row a file: ``key``, its ``reasons`` by rule as bits, its hashed ``lines``, and how many of these one other repository ``holds`` at most."""
+    files = df.select(df[key].cast("long").alias("id"), df[repository].cast("string").alias("repository"), df[path].cast("string").alias("path"), df[content].cast("string").alias("content")).where("id is not null and content is not null")
+    tagged = files.mapInArrow(_read(rare), _TAGGED)
+    counted = tagged.repartition("key").sortWithinPartitions("key", "repository", "id").mapInArrow(_postings(rare), _COUNTED)
+    by_partner = counted.repartition("id").groupBy("id", "partner", "common").agg(F.count(F.lit(1)).alias("held"), F.max("lines").alias("lines"), F.max("reasons").alias("reasons"))
+    rare_ones, common_ones = F.max(F.when(~F.col("common"), F.col("held"))), F.count(F.when(F.col("common"), 1))
+    by_file = by_partner.groupBy("id").agg(F.max("reasons").alias("reasons"), F.max("lines").alias("lines"), (F.coalesce(rare_ones, F.lit(0)) + common_ones).alias("holds"))
+    return by_file.withColumnRenamed("id", key)
+
+
+def unwritten_files(df: DataFrame, key: str, repository: str, path: str, content: str, least: float = CONTAINMENT, rare: int = RARE) -> DataFrame:
     """``key`` and ``reason`` of each file that is generated, minified, vendored or data; a file may have several reasons.
 
+    ``copied`` is the reason of the index: one other repository holds the share ``least`` of the file's hashed lines.
+
     Defined cases: ``key`` is a whole number; rows that repeat it are one file. Null keys and null content are
     left out; a null path or repository tells nothing. Empty files, and files of fewer than ``LEAST_LINES``
-    hashed lines, are no copies. A file that many repositories hold counts like one that two hold. Files are
-    read whole. Other columns are never read.
+    hashed lines, are no copies. Copies count as such wherever the original stands, if it stands in one of the
+    repositories at all. A line that several files of one repository hold is no evidence. Files are read whole and
+    once. Other columns are never read.
     """
-    files = df.select(df[key].cast("long").alias("id"), df[repository].cast("string").alias("repository"), df[path].cast("string").alias("path"), df[content].cast("string").alias("content")).where("id is not null and content is not null")
-    told = files.mapInArrow(_reasons, "id long, reason string")
-    copies = containment(df, key, repository, content).where((F.col("lines") >= LEAST_LINES) & (F.col("elsewhere") >= least * F.col("lines")))
-    return told.unionAll(copies.select(F.col(key), F.lit("vendored"))).distinct().withColumnRenamed("id", key)
+    files = containment(df, key, repository, path, content, rare)
+    names = F.array(*(F.when(F.col("reasons").bitwiseAND(1 << k) > 0, F.lit(r)) for k, r in enumerate(REASONS)), F.when((F.col("lines") >= LEAST_LINES) & (F.col("holds") >= least * F.col("lines")), F.lit("copied")))
+    return files.select(key, F.explode(F.array_compact(names)).alias("reason"))
