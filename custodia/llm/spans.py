@@ -4,7 +4,11 @@ Windows are hashed only at positions that lie in a difference cover modulo a per
 places i and j there is an offset below v at which both lie in the cover. Two records that share
 ``min_chars`` code points therefore share the hash of at least one window of ``min_chars - v + 1``
 code points, wherever the span begins in each. Such anchors are then extended: around each shared
-anchor every window of the full length is hashed from its own bytes (96 bits) and must be shared too.
+anchor every window of the full length is hashed from its own bytes (128 bits) and must be shared too.
+
+Only records with a shared anchor need their text again. A filter of fixed size over their keys, made of
+bitmaps that Spark combines, goes to the scan and lets few others through; what passes meets its anchors in
+a join by key. The plan is the same at every size.
 
 Neither step forms pairs. Both ask which hashes occur in two records, by one shuffle on the hash and
 one pass over sorted rows. A hash that many records of one chunk hold is settled inside the chunk
@@ -26,9 +30,11 @@ from custodia.llm.arrays import Texts, chunks, texts_of
 from custodia.session import cut
 
 MIN_CHARS = 400
-BROADCAST_ANCHORS = 500_000
+FILTER_BITS = 1 << 26  #: of the filter that is broadcast, 8 MB
+FILTER_HASHES = 3
+BITMAP_BITS = 32_768  #: of one bitmap of Spark
 _BASE = 0x5851F42D4C957F2D
-_LAYOUT = "key long, other int, doc long, pos int, known boolean"
+_ANCHORS, _WINDOWS = "key long, doc long, pos int", "key long, other long, doc long, pos int"
 
 
 @functools.cache
@@ -94,22 +100,26 @@ def anchor_hashes(texts: Texts, min_chars: int) -> tuple[np.ndarray, np.ndarray,
     return (hashed * np.uint64(0x94D049BB133111EB)).view(np.int64), rows, local
 
 
-def _tagged(key: np.ndarray, other: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """Rows of one chunk, with those known to be shared inside it marked and sent to any place, but for one each."""
-    known, spread = np.zeros(len(key), bool), np.zeros(len(key), bool)
-    if len(key):
-        order = np.lexsort((doc, other, key))
-        a, b, c = key[order], other[order], doc[order]
-        fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+def _tagged(hashes: list[np.ndarray], doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    """Rows of one chunk. Those known to be shared inside it get ``-1 - pos`` and are sent to any place, but for one each."""
+    pos = pos.astype(np.int32)
+    if len(doc):
+        order = np.lexsort((doc, *hashes))
+        sorted_ones = [h[order] for h in hashes]
+        fresh = np.ones(len(doc), bool)
+        fresh[1:] = np.logical_or.reduce([h[1:] != h[:-1] for h in sorted_ones])
         first = np.flatnonzero(fresh)
-        last = np.append(first[1:], len(a)) - 1
-        known[order] = np.repeat(c[first] != c[last], last - first + 1)
+        last = np.append(first[1:], len(doc)) - 1
+        known, spread = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
+        docs = doc[order]
+        known[order] = np.repeat(docs[first] != docs[last], last - first + 1)
         spread[order] = ~fresh
         spread &= known
         # rows keep the order of the texts, in which neighbours compress well
-        key = np.where(spread, doc * np.int64(0x2545F491) + pos, key)
-        other = np.where(spread, np.int64(-1) - pos, other)
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(other.astype(np.int32)), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(known)], ["key", "other", "doc", "pos", "known"])
+        hashes = [np.where(spread, doc * np.int64(0x2545F491) + pos, hashes[0]), *(np.where(spread, np.int64(-1) - pos, h) for h in hashes[1:])]
+        pos = np.where(known, -1 - pos, pos)
+    names = ["key", "other"][: len(hashes)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, hashes), pa.array(doc), pa.array(pos)], [*names, "doc", "pos"])
 
 
 def _anchors(min_chars: int):
@@ -118,7 +128,7 @@ def _anchors(min_chars: int):
             for part in chunks(batch, 1):
                 hashed, rows, local = anchor_hashes(texts_of(part.column(1)), min_chars)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                yield _tagged(hashed, np.zeros(len(hashed), np.int64), ids[rows] if len(rows) else rows, local)
+                yield _tagged([hashed], ids[rows] if len(rows) else rows, local)
 
     return anchors
 
@@ -149,70 +159,109 @@ def _windows(min_chars: int):
                     doc.append(np.full(len(starts), ids[row], np.int64))
                     pos.append(starts)
                 halves = np.frombuffer(b"".join(key), dtype=np.int64).reshape(-1, 2)
-                yield _tagged(halves[:, 0], halves[:, 1] >> 32, np.concatenate(doc or [np.zeros(0, np.int64)]), np.concatenate(pos or [np.zeros(0, np.int64)]))
+                yield _tagged([halves[:, 0].copy(), halves[:, 1].copy()], np.concatenate(doc or [np.zeros(0, np.int64)]), np.concatenate(pos or [np.zeros(0, np.int64)]))
 
     return windows
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(hashes: int):
     """Of rows sorted by hash and document, those of which the hash occurs in two documents.
 
     Between batches only the open hash and the rows of its first document are held.
     """
-    names = ["key", "other", "doc", "pos", "known"]
-    pending: list[np.ndarray] | None = None
-    open_hash: tuple | None = None
-
-    def out(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos)], ["doc", "pos"])
-
-    for batch in batches:
-        columns = [batch.column(x).to_numpy(zero_copy_only=False) for x in names]
-        if not len(columns[0]):
-            continue
-        if pending is not None:
-            columns = [np.concatenate(x) for x in zip(pending, columns)]
-        key, other, doc, pos, known = columns
-        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (other[1:] != other[:-1])]))
-        last = np.append(first[1:], len(key)) - 1
-        shared = doc[first] != doc[last]
-        if open_hash == (key[0], other[0]):
-            shared[0] = True
-        rows = np.repeat(shared, last - first + 1)
-        tail = first[-1]
-        settled = bool(shared[-1])
-        open_hash = (key[-1], other[-1]) if settled else None
-        pending = None if settled else [x[tail:].copy() for x in columns]
-        keep = rows | known
-        if not settled:
-            keep[tail:] = False
-        yield out(doc[keep], pos[keep])
-    if pending is not None and pending[4].any():
-        yield out(pending[2][pending[4]], pending[3][pending[4]])
-
-
-def _in_two(tagged: DataFrame) -> DataFrame:
-    sorted_rows = tagged.repartition("key", "other").sortWithinPartitions("key", "other", "doc", "pos")
-    return sorted_rows.mapInArrow(_shared, "doc long, pos int")
-
-
-def shared_windows(df: DataFrame, key: str, text: str, min_chars: int = MIN_CHARS, broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
-    """``key`` and ``start`` of each window of ``min_chars`` code points that stands in another record as well.
 
-    The shared anchors are counted; up to ``broadcast_anchors`` they are broadcast to the scan of the texts
-    (some ten bytes each), beyond that both are shuffled by ``key``.
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending: list[np.ndarray] | None = None
+        open_hash: tuple | None = None
+
+        def out(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.where(pos < 0, -1 - pos, pos))], ["doc", "pos"])
+
+        for batch in batches:
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(hashes + 2)]
+            if not len(columns[0]):
+                continue
+            if pending is not None:
+                columns = [np.concatenate(x) for x in zip(pending, columns)]
+            keys, (doc, pos) = columns[:hashes], columns[hashes:]
+            fresh = np.ones(len(doc), bool)
+            fresh[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+            first = np.flatnonzero(fresh)
+            last = np.append(first[1:], len(doc)) - 1
+            found = doc[first] != doc[last]
+            if open_hash == tuple(k[0] for k in keys):
+                found[0] = True
+            rows = np.repeat(found, last - first + 1)
+            tail = first[-1]
+            settled = bool(found[-1])
+            open_hash = tuple(k[-1] for k in keys) if settled else None
+            pending = None if settled else [x[tail:].copy() for x in columns]
+            keep = rows | (pos < 0)
+            if not settled:
+                keep[tail:] = False
+            yield out(doc[keep], pos[keep])
+        if pending is not None and (pending[-1] < 0).any():
+            known = pending[-1] < 0
+            yield out(pending[-2][known], pending[-1][known])
+
+    return shared
+
+
+def _in_two(tagged: DataFrame, hashes: list[str]) -> DataFrame:
+    sorted_rows = tagged.repartition(*hashes).sortWithinPartitions(*hashes, "doc")
+    return sorted_rows.mapInArrow(_shared(len(hashes)), "doc long, pos int")
+
+
+def _places(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The places of each key in a filter of ``bits`` bits, a power of two."""
+    mixed = keys.astype(np.int64).view(np.uint64)
+    with np.errstate(over="ignore"):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+        step = (mixed >> np.uint64(32)) | np.uint64(1)
+        return (np.stack([mixed + np.uint64(k) * step for k in range(FILTER_HASHES)], axis=1) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def key_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """A Bloom filter over whole numbers: ``bits`` bits in bytes, however many keys there are.
+
+    Tasks set bits in bitmaps of a fixed size, Spark combines these, and the driver puts at most ``bits / 32,768`` of
+    them in a row. Keys beyond what the filter holds well only make it let more through.
+    """
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_places(batch.column(0).to_numpy(zero_copy_only=False), bits).ravel())], ["place"])
+
+    marked = keys.select(F.col(key).cast("long")).mapInArrow(places, "place long")
+    bitmaps = marked.groupBy(F.expr(f"place div {BITMAP_BITS}").alias("bitmap")).agg(F.bitmap_construct_agg(F.col("place") % BITMAP_BITS).alias("bits"))
+    out = np.zeros((max(bits // BITMAP_BITS, 1), BITMAP_BITS // 8), np.uint8)
+    for row in bitmaps.toLocalIterator():
+        out[row["bitmap"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return out.ravel()[: bits // 8]
+
+
+def _passing(bits: np.ndarray):
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = _places(batch.column(0).to_numpy(zero_copy_only=False), len(bits) * 8)
+            yield batch.filter(pa.array(((bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1).all(axis=1)))
+
+    return passing
+
+
+def shared_windows(df: DataFrame, key: str, text: str, min_chars: int = MIN_CHARS, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """``key`` and ``start`` of each window of ``min_chars`` code points that stands in another record as well.
 
     Defined cases: ``key`` is a whole number; rows that repeat a key are one record, and what they share among
     themselves does not count. Null keys and null texts are left out; texts shorter than ``min_chars`` share nothing.
     Texts are compared as stored, whole, by code point. Other columns are never read.
     """
     texts = df.select(df[key].cast("long").alias("doc"), df[text].cast("string").alias("text")).where("doc is not null and length(text) >= %d" % min_chars)
-    anchors = _in_two(texts.mapInArrow(_anchors(min_chars), _LAYOUT)).groupBy("doc").agg(F.collect_set("pos").alias("anchors"))
-    anchors = cut(anchors)
-    if (anchors.agg(F.sum(F.size("anchors")).alias("n")).first()["n"] or 0) <= broadcast_anchors:
-        anchors = F.broadcast(anchors)
-    windows = texts.join(anchors, "doc").select("doc", "text", "anchors").mapInArrow(_windows(min_chars), _LAYOUT)
-    return _in_two(windows).distinct().select(F.col("doc").alias(key), F.col("pos").alias("start"))
+    anchors = cut(_in_two(texts.mapInArrow(_anchors(min_chars), _ANCHORS), ["key"]).groupBy("doc").agg(F.collect_set("pos").alias("anchors")))
+    passing = texts.mapInArrow(_passing(key_filter(anchors, "doc", filter_bits)), "doc long, text string")
+    windows = passing.join(anchors, "doc").select("doc", "text", "anchors").mapInArrow(_windows(min_chars), _WINDOWS)
+    return _in_two(windows, ["key", "other"]).distinct().select(F.col("doc").alias(key), F.col("pos").alias("start"))
 
 
 def shared_spans(df: DataFrame, key: str, text: str, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from custodia.llm.spans import cover_for, difference_cover, shared_share, shared_spans, shared_windows
+from custodia.llm.spans import _places, cover_for, difference_cover, key_filter, shared_share, shared_spans, shared_windows
 
 
 def brute(docs, n):
@@ -48,11 +50,20 @@ def test_windows_like_brute_force(spark, seed):
     docs = make(seed)
     df = spark.createDataFrame([(a, b, "x") for a, b in docs], "doc long, text string, pos string")
     assert cover_for(40)[0] > 1
-    for most in (0, 10_000):  # shuffled and broadcast anchors
-        got = {(r["doc"], r["start"]) for r in shared_windows(df, "doc", "text", 40, broadcast_anchors=most).collect()}
+    for bits in (1 << 10, 1 << 26):  # a filter that lets nearly all through, and one that lets few
+        got = {(r["doc"], r["start"]) for r in shared_windows(df, "doc", "text", 40, filter_bits=bits).collect()}
         assert got == brute(docs, 40)
 
 
+def test_the_filter_holds_every_key(spark):
+    keys = spark.range(0, 40_000, 7).select((F.col("id") * 1_000_003 - 5).alias("key"))
+    bits = key_filter(keys, "key", 1 << 20)
+    assert len(bits) == 1 << 17
+    inside = lambda k: bool(((bits[p >> 3] >> (p & 7).astype("uint8")) & 1).all()) if (p := _places(np.array([k]), 1 << 20)[0]) is not None else False
+    assert all(inside(r["key"]) for r in keys.collect())
+    assert sum(inside(k) for k in range(10_000)) < 200
+
+
 def test_exactly_the_length_and_a_hot_piece(spark):
     piece = "0123456789" * 4
     docs = [(k, f"{k:05d}" * 3 + piece + f"{k * 7:05d}") for k in range(300)] + [(900, piece[1:]), (901, piece[:-1])]
