@@ -1,13 +1,8 @@
-"""Bodies between braces: the one text function that has no column form."""
+"""Bodies between braces, which have no column form."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 import regex
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType
 
 _SKIPPED = regex.compile(r"\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+'|`(?:[^`\\]|\\.)*+`|//[^\n]*|/\*.*?\*/|[{}]", regex.S)
 
@@ -28,12 +23,10 @@ def body_from(text: str, start: int) -> str:
     return text[begin:] if begin >= 0 else ""
 
 
-@pandas_udf(LongType())
-def body_lengths(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Characters of the body of the first function called by each name."""
-    for texts, names in batches:
-        out = []
-        for text, name in zip(texts, names):
-            at = text.find(f"{name}(") if text and name else -1
-            out.append(len(body_from(text, at)) if at >= 0 else 0)
-        yield pd.Series(out)
+def declared_bodies(text: str, pattern: str) -> list[tuple[int, str, int]]:
+    """Ordinal, name and characters of the body of each function that ``pattern`` finds, of each name the first."""
+    out: dict[str, int] = {}
+    for found in regex.finditer(pattern, text):
+        if found[1] not in out:
+            out[found[1]] = len(body_from(text, found.end(1)))
+    return [(k, name, size) for k, (name, size) in enumerate(out.items())]

@@ -75,13 +75,24 @@ def business_area(path: Column) -> Column:
     return F.coalesce(found, root, F.nullif(F.concat_ws("/", first, second), F.lit("")), F.lit("Other"))
 
 
-#: Codes of the kind of a file, in the order in which the tests are made.
+# Codes of the kind of a file, in the order in which the tests are made.
 CATEGORIES = [
-    ("controller", "contains", "Controllers/"), ("controller", "contains", "/controller/"), ("handler", "contains", "handler/"), ("service", "contains", "Services/"), ("service", "contains", "services/"),
-    ("service", "contains", "/service/"), ("model", "contains", "Models/"), ("model", "contains", "models/"), ("model", "contains", "entity/"), ("command", "contains", "Commands/"), ("job", "contains", "Jobs/"),
-    ("job", "contains", "jobs/"), ("middleware", "contains", "Middleware/"), ("migration", "contains", "migrations/"), ("route", "startswith", "routes/"), ("route", "contains", "router"), ("config", "startswith", "config/"),
-    ("view", "endswith", ".vue"), ("component", "contains", "components/"), ("store", "contains", "store/"), ("api", "contains", "api/"), ("test", "contains", "test"), ("style", "endswith", ".css"), ("document", "endswith", ".md"),
+    ("controller", "contains", "/Controllers/"), ("controller", "contains", "/controller/"), ("controller", "contains", "/controllers/"), ("controller", "contains", "/handler/"), ("controller", "contains", "/handlers/"),
+    ("service", "contains", "/Services/"), ("service", "contains", "/Service/"), ("service", "contains", "/service/"), ("service", "contains", "/services/"),
+    ("model", "contains", "/Models/"), ("model", "contains", "/model/"), ("model", "contains", "/models/"), ("model", "contains", "/entity/"), ("model", "contains", "/entities/"),
+    ("artisan_command", "contains", "/Commands/"), ("command", "contains", "/command/"), ("command", "contains", "/commands/"), ("command", "contains", "/cron/"),
+    ("job", "contains", "/Jobs/"), ("job", "contains", "/job/"), ("job", "contains", "/jobs/"), ("job", "contains", "/worker/"), ("job", "contains", "/consumer/"),
+    ("middleware", "contains", "/Middleware/"), ("middleware", "contains", "/middleware/"), ("data_access", "contains", "/repository/"), ("data_access", "contains", "/repositories/"), ("data_access", "contains", "/mapper/"),
+    ("component", "contains", "/component/"), ("component", "contains", "/components/"), ("page", "contains", "/view/"), ("page", "contains", "/views/"), ("page", "contains", "/page/"), ("page", "contains", "/pages/"),
+    ("api", "contains", "/api/"), ("store", "contains", "/store/"), ("store", "contains", "/stores/"), ("utility", "contains", "/utils/"), ("utility", "contains", "/util/"), ("utility", "contains", "/composables/"),
+    ("route", "startswith", "routes/"), ("route", "startswith", "router/"), ("config", "startswith", "config/"), ("config", "contains", "/config/"), ("migration", "startswith", "database/migrations/"), ("sql_script", "endswith", ".sql"),
 ]
+#: What a file of each kind is responsible for; ``{}`` stands for its area.
+DUTIES = {
+    "controller": "takes requests of {} and directs the work", "service": "holds reusable logic of {}", "model": "maps the tables and queries of {}", "artisan_command": "runs commands and batches of {}", "command": "runs commands and batches of {}", "job": "works in the background for {}",
+    "middleware": "checks and prepares requests of {}", "data_access": "stores and queries the data of {}", "component": "holds reusable interface parts of {}", "page": "shows the pages of {}", "api": "wraps the requests of {}", "store": "keeps shared state of {}", "utility": "offers tools to {}",
+    "sql_script": "sets up or repairs the tables of {}", "route": "defines routes", "config": "configures the program and what it uses",
+}
 
 
 def category(path: Column) -> Column:
@@ -91,6 +102,16 @@ def category(path: Column) -> Column:
     return out
 
 
+def responsibility(path: Column) -> Column:
+    """What a file is responsible for, by its kind and area."""
+    kind, area = category(path), business_area(path)
+    out = F.concat(F.lit("belongs to "), area)
+    for code, duty in DUTIES.items():
+        before, _, after = duty.partition("{}")
+        out = F.when(kind == code, F.concat(F.lit(before), area, F.lit(after)) if "{}" in duty else F.lit(duty)).otherwise(out)
+    return out
+
+
 def in_ignored_directory(path: Column) -> Column:
     return F.arrays_overlap(F.split(directory(path), "/"), F.array(*(F.lit(d) for d in files.IGNORED_DIRECTORIES)))
 

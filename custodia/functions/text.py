@@ -9,20 +9,24 @@ from pyspark.sql import functions as F
 ENTITIES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")]
 #: Names of annotations by request method.
 METHODS = {"getmapping": "GET", "postmapping": "POST", "putmapping": "PUT", "deletemapping": "DELETE", "patchmapping": "PATCH", "requestmapping": "ANY", "any": "ANY", "all": "ANY"}
-#: What the start of a method's lower-case name says it does; the first that fits holds.
-INTENTS = [("create", "create|add|insert|store|register|build|assemble"), ("delete", "delete|remove|drop|clear|cancel|reject"), ("update", "update|set|change|merge|settle|refresh|rank|restore"), ("read", "get|find|load|fetch|list|query|search|count|resolve"), ("send", "send|publish|notify|dispatch|emit|push"), ("check", "check|validate|verify|approve|is|has|can"), ("convert", "parse|convert|render|format|expand|compact|reduce|split"), ("run", "run|handle|process|execute|schedule|sync|replay")]
-BRANCH = r"\b(if|else if|elif|switch|case|for|foreach|while|catch)\b"
-EARLY_EXIT = r"\b(return|throw|continue|break|raise)\b"
-DETECTORS = {
-    "branching": BRANCH,
-    "validation": r"(validate|assert|require)\w*\(",
-    "transaction": r"(DB::transaction|beginTransaction|commit\(|rollback\()",
-    "data_read": r"\b(select|find|query|fetch)\b",
-    "data_write": r"\b(insert|update|delete|save|store)\w*\(",
-    "async": r"\b(async|await|go func|defer)\b",
-    "exception": r"\b(try|catch|except|throw|raise|recover)\b",
-    "logging": r"\b(log|logger|console|Log)\b",
+#: What a method's lower-case name says it does: words it holds, and names it is; the first that fits holds.
+INTENTS = [
+    ("list", ("list", "index", "search"), ()), ("read", ("detail", "get"), ("show",)), ("create", ("add", "create", "store"), ()), ("update", ("edit", "update", "save", "modify"), ()), ("delete", ("delete", "destroy", "remove"), ()),
+    ("approve", ("approve", "examine", "audit"), ()), ("sign_in", ("login", "logout", "auth"), ()), ("check", ("validate", "check"), ()), ("import", ("import", "upload"), ()), ("export", ("export", "download"), ()), ("sync", ("sync", "pull", "fetch"), ()),
+    ("command", (), ("handle",)), ("handle", ("handler",), ("handle",)), ("render", ("render", "mounted", "setup"), ()), ("route", ("route", "router"), ()), ("convert", ("format", "normalize", "parse", "transform"), ()), ("send", ("send", "request", "call"), ()),
+]
+#: What the body of a method does, in the order of the notes.
+BODY_NOTES = {
+    "branching": r"\b(if|switch|match)\b",
+    "validation": r"(?i)(validate\s*\(|rules\s*\(|shouldbind\w*\s*\(|bindjson\s*\(|empty\s*\([^)]|isset\s*\([^)]|@valid|@validated|required)",
+    "transaction": r"(?i)(transaction|commit\s*\(|rollback\s*\()",
+    "data_access": r"(?i)((?:select|find|first|get|pluck|where|query)\s*\(|\b(?:repository|mapper|dao)\b|(?:->|::|\.)(?:insert|update|delete|save|create|upsert|firstorcreate|forcedelete)\s*\(|\bgorm\b|\bdb\.)",
+    "dependencies": r"(?i)((?:redis|cache)(?:::|->|\.|\s)|(?:http|axios|fetch|curl|guzzle|resttemplate|webclient|grpc|client)(?:::|->|\.|\s|\()|(?:auth|permission|policy|gate|middleware|token|jwt|role)(?:::|->|\.|\s|\())",
+    "async": r"(?i)(queue|dispatch\s*\(|job|chan\s|go\s+func|goroutine|waitgroup|async\s+|await\s+)",
+    "exceptions": r"(?i)(try\s*\{|catch\s*\(|finally\s*\{|defer\s+|panic\s*\(|recover\s*\(|throw\s+)",
+    "files": r"(?i)(excel|csv|upload|download|multipart|file)",
 }
+DETECTORS = BODY_NOTES
 #: Route families in order; group 1 is the method and group 2 the path.
 ROUTES = [r"Route::(get|post|put|patch|delete|any)\(['\"]([^'\"]+)['\"]", r"\.(GET|POST|PUT|PATCH|DELETE|Any)\(['\"]([^'\"]+)['\"]", r"@(Get|Post|Put|Patch|Delete|Request)Mapping\(['\"]([^'\"]+)['\"]", r"@(route)\(['\"]([^'\"]+)['\"]"]
 
@@ -34,9 +38,9 @@ def html_escape(text: Column) -> Column:
 
 
 def snippet(text: Column, most: int = 72) -> Column:
-    """One line of at most ``most`` characters, with an ellipsis if cut."""
+    """One line of at most ``most`` characters, and an ellipsis if it was cut."""
     line = F.trim(F.regexp_replace(F.replace(text, F.lit("`"), F.lit("'")), "[ \t\r\n]+", " "))
-    return F.when(F.length(line) > most, F.concat(F.substring(line, 1, most - 3), F.lit("..."))).otherwise(line)
+    return F.when(F.length(line) > most, F.concat(F.substring(line, 1, most), F.lit("..."))).otherwise(line)
 
 
 def occurrences(text: Column, pattern: str) -> Column:
@@ -72,20 +76,49 @@ def http_method(word: Column) -> Column:
     return out
 
 
-def method_intent(name: Column) -> Column:
+def method_intent(name: Column, path: Column | None = None) -> Column:
+    """What a method does, by its name; ``handle`` in a folder of commands runs one."""
+    path = F.lit("") if path is None else path
     plain = F.lower(name)
     out = F.lit("other")
-    for code, starts in reversed(INTENTS):
-        out = F.when(plain.rlike(f"^({starts})"), F.lit(code)).otherwise(out)
+    for code, words, names in reversed(INTENTS):
+        fits = F.lit(False)
+        for w in words:
+            fits = fits | plain.contains(w)
+        for n in names:
+            fits = fits | (plain == n)
+        out = F.when(fits & path.contains("/Commands/") if code == "command" else fits, F.lit(code)).otherwise(out)
     return out
 
 
+def body_notes(body: Column, most: int = 8) -> Column:
+    """Codes of what a method's body does, an entry first and a check last, at most ``most``; ``no_body`` where it was not found."""
+    found = [F.when(body.rlike(pattern), F.lit(code)) for code, pattern in BODY_NOTES.items()]
+    middle = F.array_compact(F.array(*found))
+    last = F.when(F.size(middle) > 0, F.lit("check_paths")).otherwise(F.lit("check_callers"))
+    return F.when(F.length(body) == 0, F.array(F.lit("no_body"))).otherwise(F.slice(F.concat(F.array(F.lit("entry")), middle, F.array(last)), 1, most))
+
+
+def snippets(found: Column, most: int) -> Column:
+    """The first ``most`` different pieces, each as one line."""
+    return F.slice(F.array_distinct(F.filter(F.transform(found, lambda x: snippet(x)), lambda x: x != "")), 1, most)
+
+
+def line_of(text: Column, most: int = 100) -> Column:
+    """The first line that is not blank, cut to ``most`` characters and an ellipsis."""
+    first = F.regexp_replace(F.regexp_extract(text, r"^\s*([^\r\n]*)", 1), r"\s+", " ")
+    return F.when(F.length(first) > most, F.concat(F.substring(first, 1, most), F.lit("..."))).otherwise(first)
+
+
+#: Words that stand for a type and no parameter.
+TYPE_WORDS = ["array", "bool", "boolean", "callable", "context", "float", "int", "integer", "mixed", "object", "request", "response", "string"]
+
+
 def parameter_names(params: Column, most: int = 6) -> Column:
-    """The names in a parameter list: defaults, types and sigils cut off."""
-    parts = F.split(params, ",")
-    bare = F.transform(parts, lambda p: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(p, "=.*$", ""), "[{}\\[\\]]", " "), ":.*$", "")))
-    last = F.transform(bare, lambda p: F.regexp_replace(F.regexp_extract(p, r"(\S*)$", 1), r"^[$&*.]+|\?$", ""))
-    return F.slice(F.filter(last, lambda p: p != ""), 1, most)
+    """The names in a parameter list, at most ``most``: defaults, types and sigils cut off, words for types left out."""
+    bare = F.transform(F.split(params, ","), lambda p: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(p, "(?s)=.*$", ""), "[{}\\[\\]]", " "), r"^\s*\.\.\.", ""), "(?s):.*$", "")))
+    last = F.transform(bare, lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_extract(p, r"(\S*)$", 1), r"^[&*$@]+", ""), r"[?:].*$", ""), r"[^A-Za-z0-9_$]", ""))
+    return F.slice(F.filter(last, lambda p: (p != "") & ~F.lower(p).isin(TYPE_WORDS)), 1, most)
 
 
 def import_kind(path: Column) -> Column:

@@ -38,14 +38,14 @@ def _by_language(table: dict[str, str]):
     return out
 
 
-def sources_once(source_files: DataFrame) -> DataFrame:
-    """Files without repeated deliveries. Only the key is shuffled with one copy of the text."""
-    return source_files.select("file_id", "repo_id", "file_path", "file_language", "content").dropDuplicates(["file_id"])
+def sources(source_files: DataFrame) -> DataFrame:
+    """The columns that extraction reads. Repeated deliveries are dropped from what is extracted, so texts are never shuffled."""
+    return source_files.select("file_id", "repo_id", "file_path", "file_language", "content")
 
 
 def imports(files: DataFrame) -> DataFrame:
     """Distinct imports of each file, in order, with their kind."""
-    found = files.select("repo_id", "file_path", "file_language", F.posexplode(F.array_distinct(_by_language(IMPORTS))).alias("ordinal", "import_path"))
+    found = files.select("repo_id", "file_path", "file_language", F.posexplode(F.array_distinct(_by_language(IMPORTS))).alias("ordinal", "import_path")).distinct()
     return found.withColumn("kind", import_kind(F.col("import_path")))
 
 
@@ -53,16 +53,16 @@ def symbols(files: DataFrame) -> DataFrame:
     """Distinct functions and types that each file declares."""
     functions = files.select("repo_id", "file_path", F.lit("function").alias("kind"), F.posexplode(F.array_distinct(_by_language(FUNCTIONS))).alias("ordinal", "name"))
     types = files.select("repo_id", "file_path", F.lit("class").alias("kind"), F.posexplode(F.array_distinct(F.regexp_extract_all("content", F.lit(TYPES), 1))).alias("ordinal", "name"))
-    return functions.unionByName(types)
+    return functions.unionByName(types).distinct()
 
 
 def calls(files: DataFrame) -> DataFrame:
     """Distinct names that each file calls on something."""
-    return files.select("repo_id", "file_path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(CALLS), 1))).alias("call"))
+    return files.select("repo_id", "file_path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(CALLS), 1))).alias("call")).distinct()
 
 
 def inheritance(files: DataFrame) -> DataFrame:
-    return files.select("repo_id", "file_path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(BASES), 1))).alias("base"))
+    return files.select("repo_id", "file_path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(BASES), 1))).alias("base")).distinct()
 
 
 def joined_path(folder, relative):
@@ -82,7 +82,7 @@ def resolved_imports(imported: DataFrame, files: DataFrame) -> DataFrame:
     suffixes = [x for e in IMPORT_EXTENSIONS for x in ((e,) if e == "" else (e, f"/index{e}"))]
     wanted = imported.where("kind = 'relative'").withColumn("base", base).where("base is not null")
     candidates = wanted.select("repo_id", "file_path", "import_path", "base", F.posexplode(F.array(*(F.lit(s) for s in suffixes))).alias("place", "suffix")).withColumn("low", F.lower(F.concat("base", "suffix")))
-    held = files.groupBy("repo_id", F.lower("file_path").alias("low")).agg(F.min("file_path").alias("to_file"))
+    held = files.select("repo_id", "file_path").groupBy("repo_id", F.lower("file_path").alias("low")).agg(F.min("file_path").alias("to_file"))
     found = candidates.join(held, ["repo_id", "low"]).groupBy("repo_id", "file_path", "import_path").agg(F.min_by("to_file", "place").alias("to_file"))
     return wanted.select("repo_id", "file_path", "import_path").distinct().join(found, ["repo_id", "file_path", "import_path"], "left")
 

@@ -2,45 +2,52 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from custodia.functions import text
-from custodia.functions.bodies import body_lengths
+from custodia.functions.bodies import declared_bodies
 from custodia.operators import relations, scope
 from custodia.plans import sql
 from custodia.sources.tables import table
 
 
 def _sources(spark, d):
-    return relations.sources_once(table(spark, d, "source_files"))
+    return relations.sources(table(spark, d, "source_files"))
 
 
 def source_signals(spark, d):
     """Lines, branches and what else the code of each file shows."""
     hits = {name: text.occurrences(F.col("content"), pattern) for name, pattern in text.DETECTORS.items()}
-    return _sources(spark, d).select("file_id", text.line_count(F.col("content")).alias("lines"), *(c.alias(n) for n, c in hits.items()))
+    return _sources(spark, d).select("file_id", text.line_count(F.col("content")).alias("lines"), *(c.alias(n) for n, c in hits.items())).dropDuplicates(["file_id"])
 
 
 def source_notes(spark, d):
     """What the code of each file does, as codes."""
-    return _sources(spark, d).select("file_id", F.array_join(text.logic_notes(F.col("content")), ",").alias("notes"))
+    return _sources(spark, d).select("file_id", F.array_join(text.logic_notes(F.col("content")), ",").alias("notes")).dropDuplicates(["file_id"])
 
 
 def function_bodies(spark, d):
-    """Characters in the body of each function of the languages with braces."""
-    declared = relations.symbols(_sources(spark, d).where("file_language in ('JavaScript', 'TypeScript', 'Go', 'Java', 'PHP')")).where("kind = 'function'")
-    joined = declared.join(_sources(spark, d).select("repo_id", "file_path", "content"), ["repo_id", "file_path"])
-    return joined.select("repo_id", "file_path", "name", body_lengths("content", "name").alias("chars"))
+    """Characters in the body of each function of the languages with braces, found from where its name is declared."""
+    patterns = {k: v for k, v in relations.FUNCTIONS.items() if k != "Python"}
+
+    def bodies(batches):
+        for batch in batches:
+            rows = [(repo, path, *found[1:]) for repo, path, language, content in zip(*(batch.column(k).to_pylist() for k in range(4))) for found in declared_bodies(content or "", patterns[language])]
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.string(), pa.string(), pa.int64()])], ["repo_id", "file_path", "name", "chars"])
+
+    files = _sources(spark, d).where(F.col("file_language").isin(list(patterns))).select("repo_id", "file_path", "file_language", "content")
+    return files.mapInArrow(bodies, "repo_id string, file_path string, name string, chars long").distinct()
 
 
 def source_routes(spark, d):
-    found = _sources(spark, d).select("repo_id", "file_path", F.posexplode(text.routes(F.col("content"))).alias("ordinal", "route"))
-    return found
+    return _sources(spark, d).select("repo_id", "file_path", F.posexplode(text.routes(F.col("content"))).alias("ordinal", "route")).distinct()
 
 
 def function_intents(spark, d):
     declared = relations.symbols(_sources(spark, d)).where("kind = 'function'")
-    return declared.groupBy("repo_id", text.method_intent(F.regexp_replace("name", "^_+", "")).alias("intent")).agg(F.count(F.lit(1)).alias("functions"))
+    return declared.groupBy("repo_id", text.method_intent(F.regexp_replace("name", "^_+", ""), F.col("file_path")).alias("intent")).agg(F.count(F.lit(1)).alias("functions"))
 
 
 def symbol_counts(spark, d):
@@ -145,7 +152,8 @@ _FUNCTIONS = _ordered("functions", "sources", _each(relations.FUNCTIONS), "name"
 _TYPES = _ordered("types", "sources", f"regexp_extract_all(content, {sql.quoted(relations.TYPES)}, 1)", "name")
 _CALLS = _ordered("calls", "sources", f"regexp_extract_all(content, {sql.quoted(relations.CALLS)}, 1)", "call")
 _BASES = _ordered("bases", "sources", f"regexp_extract_all(content, {sql.quoted(relations.BASES)}, 1)", "base")
-_INTENT = "CASE " + " ".join(f"WHEN regexp_matches(lower(regexp_replace(name, '^_+', '')), '^({starts})') THEN '{code}'" for code, starts in text.INTENTS) + " ELSE 'other' END"
+_PLAIN = "lower(regexp_replace(name, '^_+', ''))"
+_INTENT = "CASE " + " ".join("WHEN " + ("contains(file_path, '/Commands/') AND " if code == "command" else "") + "(" + " OR ".join([f"contains({_PLAIN}, '{w}')" for w in words] + [f"{_PLAIN} = '{n}'" for n in names]) + f") THEN '{code}'" for code, words, names in text.INTENTS) + " ELSE 'other' END"
 _ESCAPED = "text"
 for _plain, _entity in text.ENTITIES:
     _ESCAPED = f"replace({_ESCAPED}, {sql.quoted(_plain)}, {sql.quoted(_entity)})"
@@ -167,7 +175,7 @@ SELECT calls.repo_id, file_path, call, to_file FROM calls LEFT JOIN targets ON c
     "relation_counts": (relation_counts, f"WITH {sql.SOURCES}, {_IMPORTS}, {_CALLS}, {_BASES} SELECT repo_id, kind, count(*) AS edges FROM (SELECT repo_id, 'import' AS kind FROM imports UNION ALL SELECT repo_id, 'call' FROM calls UNION ALL SELECT repo_id, 'inheritance' FROM bases) GROUP BY ALL"),
     "analysis_totals": (analysis_totals, "WITH once AS (SELECT DISTINCT * FROM ast_files) SELECT repo_id, count(*) AS files, coalesce(sum(symbol_count), 0)::BIGINT AS symbols, count(DISTINCT lower(trim(file_language))) AS languages, max((engine = 'static-fallback')::INT)::BIGINT AS fallback FROM once GROUP BY ALL"),
     "html_escaped": (html_escaped, f"SELECT doc_id, {_ESCAPED} AS html FROM documents"),
-    "document_snippets": (document_snippets, f"SELECT doc_id, CASE WHEN length({_LINE}) > 72 THEN {_LINE}[1:69] || '...' ELSE {_LINE} END AS snippet, {_LINES.format('text')} AS lines FROM documents"),
+    "document_snippets": (document_snippets, f"SELECT doc_id, CASE WHEN length({_LINE}) > 72 THEN {_LINE}[1:72] || '...' ELSE {_LINE} END AS snippet, {_LINES.format('text')} AS lines FROM documents"),
     "clean_documents": (clean_documents, "SELECT doc_id, length(trim(regexp_replace(regexp_replace(text, '\x1b\\[[0-9;?]*[A-Za-z]', '', 'g'), '\\r\\n?', chr(10), 'g'))) AS chars FROM documents"),
     "property_counts": (property_counts, "SELECT event_type, coalesce(len(json_keys(props)), 0)::BIGINT AS keys, count(*) AS events FROM events GROUP BY ALL"),
     "union_precedence": (union_precedence, f"""WITH {sql.SOURCES}, joined AS (SELECT repo_id, unnest(routes) AS route, name AS found_in, 0 AS part FROM modules UNION ALL SELECT repo_id, unnest({_routes_sql('content')}), file_path, 1 FROM sources),

@@ -67,7 +67,7 @@ def test_risk(spark):
 
 def test_text_functions(spark):
     assert one(spark, text.html_escape(F.lit("<a b=\"c\">&'"))) == "&lt;a b=&quot;c&quot;&gt;&amp;&#39;"
-    assert one(spark, text.snippet(F.lit("a  `b`\n" + "x" * 100), 20)) == "a 'b' xxxxxxxxxxx..."
+    assert one(spark, text.snippet(F.lit("a  `b`\n" + "x" * 100), 20)) == "a 'b' xxxxxxxxxxxxxx..."
     assert [one(spark, text.line_count(F.lit(t))) for t in ("", "a", "a\n", "a\n\nb")] == [0, 1, 1, 3]
     assert one(spark, text.routes(F.lit("Route::get('/a', x)\nRoute::any('/a')\n@GetMapping(\"/b/{id}\")\nr.POST(\"/c\", h)\nRoute::get('/a')"))) == ["GET /a", "ANY /a", "POST /c", "GET /b/{id}"]
     assert [one(spark, text.repository_name(F.lit(u))) for u in ("https://x/y/a.git?z", "git@h:o/b c.git", "ssh://h/", "")] == ["a", "b-c", "h", "repository"]
