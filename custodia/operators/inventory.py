@@ -79,10 +79,3 @@ def path_flags(files: DataFrame) -> DataFrame:
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     flags = {"sensitive": paths.is_sensitive, "config": paths.is_config, "document": paths.is_document, "readme": paths.is_readme, "manifest": paths.is_manifest, "critical": paths.is_critical, "ignored": paths.in_ignored_directory, "source": paths.is_handover_source}
     return files.select("repo_id", "file_path", *(flag(f(path)).alias(name) for name, f in flags.items()))
-
-
-def any_marker(column: Column, markers: list[str]) -> Column:
-    out = F.lit(False)
-    for marker in markers:
-        out = out | column.contains(marker)
-    return out

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from custodia.plans import histories, reports, sources, structure, trees
+from custodia.plans import histories, overviews, reports, sources, structure, trees
 
 Query = Callable[[SparkSession, str], DataFrame]
-ALL = histories.QUERIES | trees.QUERIES | sources.QUERIES | structure.QUERIES | reports.QUERIES
+ALL = histories.QUERIES | trees.QUERIES | sources.QUERIES | structure.QUERIES | overviews.QUERIES | reports.QUERIES
 
 
 def _long(query: Query) -> Query:

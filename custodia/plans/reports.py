@@ -61,7 +61,7 @@ modules AS (SELECT repo_id, author, coalesce(nullif(trim(module_name), ''), 'Unk
 newest AS (SELECT *, row_number() OVER (PARTITION BY repo_id, {sql.key('author_email')} ORDER BY commit_seq DESC, hash) AS place FROM commits_once WHERE author_email IS NOT NULL),
 lines AS (SELECT repo_id, author, 1 AS section, '- `' || file_path || '` (' || risk || ')' AS line FROM ranked WHERE place <= 12 AND risk <> 'low'
  UNION ALL SELECT repo_id, author, 2, '- ' || name || ': ' || n || ' files, ' || c || ' changes' FROM best WHERE place <= 8
- UNION ALL SELECT repo_id, {sql.key('author_email')}, 3, '- ' || short_hash || ' ' || coalesce(CASE WHEN length({_LINE}) > 72 THEN {_LINE}[1:69] || '...' ELSE {_LINE} END, '') FROM newest WHERE place <= 12),
+ UNION ALL SELECT repo_id, {sql.key('author_email')}, 3, '- ' || short_hash || ' ' || coalesce(CASE WHEN length({_LINE}) > 72 THEN {_LINE}[1:72] || '...' ELSE {_LINE} END, '') FROM newest WHERE place <= 12),
 headed AS (SELECT * FROM lines UNION ALL SELECT DISTINCT repo_id, author, section, '## ' || section || '. ' || CASE section WHEN 1 THEN 'Files at risk' WHEN 2 THEN 'Modules' ELSE 'Commits' END FROM lines)
 SELECT repo_id, author, section::BIGINT AS section, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM headed GROUP BY ALL"""
 

@@ -68,11 +68,6 @@ def _merged(spark, d, files):
 
 
 def inventory_merge(spark, d):
-    """The inventory of files over 1,500 bytes, as its SQL has it, with the listed files that are not among them."""
-    return _merged(spark, d, _inventory(spark, d).where("size_bytes > 1500"))
-
-
-def inventory_merge_whole(spark, d):
     """The whole inventory with the listed files that it does not hold."""
     return _merged(spark, d, _inventory(spark, d))
 
@@ -156,10 +151,7 @@ SELECT coalesce(h.repo_id, u.repo_id) AS repo_id, coalesce(h.language, u.languag
     "path_flags": (path_flags, f"WITH {sql.FILES}, named AS (SELECT DISTINCT repo_id, file_path FROM files_once) SELECT repo_id, " + ", ".join(f"count(*) FILTER ({v}) AS {k}" for k, v in _FLAGS.items()) + " FROM named GROUP BY ALL"),
     "scanned_inventory": (scanned_inventory, f"WITH {sql.INVENTORY} SELECT repo_id, language, count(*) AS file_count, sum(size_bytes)::BIGINT AS size_bytes FROM inventory WHERE NOT {_BINARY} AND NOT {_IGNORED} AND NOT {_SENSITIVE} AND coalesce(size_bytes, 0) <= {rules.LARGEST_INVENTORY_FILE} GROUP BY ALL"),
     "shallow_scan": (shallow_scan, f"WITH {sql.INVENTORY} SELECT repo_id, file_path FROM inventory WHERE prefix(file_path, 'src/') AND len(string_split(file_path, '/')) - 2 <= 2 AND extension IN ('.ts', '.js', '.vue')"),
-    "inventory_merge": (inventory_merge, f"""WITH {sql.INVENTORY}, small AS (SELECT * FROM inventory WHERE size_bytes > 1500), listed AS (SELECT DISTINCT repo_id, unnest(files) AS file_path FROM modules), firsts AS (SELECT repo_id, lower(file_path) AS low, min(file_path) AS file_path FROM listed GROUP BY ALL),
-merged AS (SELECT repo_id, file_path, coalesce(language, 'Unknown') AS language, 'scanned' AS origin FROM small UNION ALL SELECT repo_id, file_path, 'Unknown', 'added' FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM small s WHERE s.repo_id = f.repo_id AND lower(s.file_path) = f.low))
-SELECT repo_id, origin, language, count(*) AS file_count, min(file_path) AS first_path FROM merged GROUP BY ALL"""),
-    "inventory_merge_whole": (inventory_merge_whole, f"""WITH {sql.INVENTORY}, listed AS (SELECT DISTINCT repo_id, unnest(files) AS file_path FROM modules), firsts AS (SELECT repo_id, lower(file_path) AS low, min(file_path) AS file_path FROM listed GROUP BY ALL),
+    "inventory_merge": (inventory_merge, f"""WITH {sql.INVENTORY}, listed AS (SELECT DISTINCT repo_id, unnest(files) AS file_path FROM modules), firsts AS (SELECT repo_id, lower(file_path) AS low, min(file_path) AS file_path FROM listed GROUP BY ALL),
 merged AS (SELECT repo_id, file_path, coalesce(language, 'Unknown') AS language, 'scanned' AS origin FROM inventory UNION ALL SELECT repo_id, file_path, 'Unknown', 'added' FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM inventory s WHERE s.repo_id = f.repo_id AND lower(s.file_path) = f.low))
 SELECT repo_id, origin, language, count(*) AS file_count, min(file_path) AS first_path FROM merged GROUP BY ALL"""),
     "key_files": (key_files, f"""WITH {sql.INVENTORY}, ranked AS (SELECT *, {sql.directory('file_path')} AS directory, row_number() OVER (PARTITION BY repo_id, {sql.directory('file_path')} ORDER BY size_bytes DESC, file_path) AS rank FROM inventory),

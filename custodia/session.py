@@ -8,18 +8,17 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(cpus: str | int = "*", **settings: str) -> SparkSession:
-    """A local session with the settings that the queries are tuned for."""
-    conf = {
+def build_session(cpus: str | int = "*", master: str | None = None, **settings: str) -> SparkSession:
+    """A session: a local one of ``cpus`` cores, or one of the cluster that ``master`` names, which sets its own number of partitions."""
+    conf = ({} if master else {"spark.sql.shuffle.partitions": "8"}) | {
         "spark.sql.session.timeZone": "UTC",
-        "spark.sql.shuffle.partitions": "8",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     } | settings
-    return SparkSession.builder.master(f"local[{cpus}]").appName("custodia").config(map=conf).getOrCreate()
+    return SparkSession.builder.master(master or f"local[{cpus}]").appName("custodia").config(map=conf).getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,7 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="custodia-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", made)

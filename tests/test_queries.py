@@ -59,5 +59,5 @@ def test_small_files_stay_in_the_whole_inventory(spark, tmp_path):
     sources = [(1, "r", "src/a.py", 20), (2, "r", "src/b.py", 9_000), (3, "r", "src/c.py", None)]
     spark.createDataFrame(sources, "file_id long, repo_id string, file_path string, size_bytes long").write.parquet(f"{tmp_path}/source_files.parquet")
     spark.createDataFrame([("r", ["src/A.py", "src/gone.py"]), ("r", None)], "repo_id string, files array<string>").write.parquet(f"{tmp_path}/modules.parquet")
-    got = {tuple(r) for r in QUERIES["inventory_merge_whole"](spark, str(tmp_path)).select("origin", "language", "file_count", "first_path").collect()}
+    got = {tuple(r) for r in QUERIES["inventory_merge"](spark, str(tmp_path)).select("origin", "language", "file_count", "first_path").collect()}
     assert got == {("scanned", "Python", 3, "src/a.py"), ("added", "Unknown", 1, "src/gone.py")}
