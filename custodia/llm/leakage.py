@@ -5,6 +5,9 @@ is bounded by twice the items' words, and that many items are taken at a time th
 Documents stream through it: the state after each word gives the length of the longest passage of
 the items that ends there. From ``min_words`` on, the state and its suffix-link ancestors that hold at
 least ``min_words`` words name every item in which these words stand, and how long its passage is.
+
+``cleaned_documents`` removes what was found: every passage of at least ``min_words`` words, and the whole text of a
+document of which such passages cover more than a given share.
 """
 
 from __future__ import annotations
@@ -17,10 +20,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from custodia.llm.arrays import LETTER, NUMBER, Texts, chunks, code_point_classes, texts_of, slices
+from custodia.llm.arrays import LETTER, NUMBER, Texts, chunks, code_point_classes, slices, texts_of
+from custodia.session import cut
 
 MIN_WORDS = 13
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 100_000
+MOST_COVERAGE = 0.5
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -101,8 +106,25 @@ class Automaton:
                     longest = self.length[at]
 
 
-def word_numbers(texts: Texts, automaton: Automaton) -> tuple[np.ndarray, np.ndarray]:
-    """The number of each word of ``texts`` in the automaton, or -1, and the text in which it stands.
+    def spans(self, words: list[int]) -> list[tuple[int, int]]:
+        """The places of the longest matches of at least the least length, as first word and word after the last; they may overlap."""
+        state, length, out = 0, 0, []
+        for at, word in enumerate(words):
+            while state and word not in self.next[state]:
+                state = self.link[state]
+                length = self.length[state]
+            if word in self.next[state]:
+                state, length = self.next[state][word], length + 1
+            if length >= self.min_words:
+                if out and out[-1][0] == at - length + 1:
+                    out[-1] = (out[-1][0], at + 1)
+                else:
+                    out.append((at - length + 1, at + 1))
+        return out
+
+
+def word_numbers(texts: Texts, automaton: Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each word of ``texts`` in the automaton, or -1, the text in which it stands, and the code points at which it begins and ends.
 
     Words are slices of the bytes; each distinct one is lower-cased and looked up once.
     """
@@ -120,36 +142,43 @@ def word_numbers(texts: Texts, automaton: Automaton) -> tuple[np.ndarray, np.nda
     get = automaton.number.get
     numbers = np.fromiter((get(w.decode("utf-8").lower(), -1) for w in coded.dictionary.to_pylist()), dtype=np.int64, count=len(coded.dictionary))
     rows = np.searchsorted(starts, cuts[:-1][word], side="right") - 1
-    return (numbers[coded.indices.to_numpy()] if len(numbers) else numbers), rows
+    return (numbers[coded.indices.to_numpy()] if len(numbers) else numbers), rows, cuts[:-1][word], cuts[1:][word]
+
+
+def _candidates(texts: Texts, automaton: Automaton) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of words in which every pair of neighbours is one of the items': the text, its first word there, and numbers, begins and ends of the words."""
+    size, least = len(automaton.number), automaton.min_words
+    if not len(texts.points):
+        return
+    numbers, rows, begins, ends = word_numbers(texts, automaton)
+    if len(numbers) < least:
+        return
+    # a match of the least length needs that many words less one pairs of the items in a row
+    pairs = (numbers[:-1] >= 0) & (numbers[1:] >= 0) & (rows[:-1] == rows[1:])
+    codes = np.where(pairs, numbers[:-1] * size + numbers[1:], -1)
+    places = np.minimum(np.searchsorted(automaton.pairs, codes), len(automaton.pairs) - 1)
+    held = np.concatenate([[0], (automaton.pairs[places] == codes).view(np.int8), [0]])
+    edges = np.flatnonzero(np.diff(held))
+    for a, b in zip(edges[::2], edges[1::2]):
+        if b - a >= least - 1:
+            yield int(rows[a]), int(a), numbers[a : b + 1], begins[a : b + 1], ends[a : b + 1]
 
 
 def _search(automaton: Automaton):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, least = len(automaton.number), automaton.min_words
         for batch in batches:
             for part in chunks(batch, 1):
                 docs, items, lengths = [], [], []
-                texts = texts_of(part.column(1))
-                numbers, rows = word_numbers(texts, automaton) if len(texts.points) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                if len(numbers) >= least:
-                    # a match of the least length needs that many words less one pairs of the items in a row
-                    pairs = (numbers[:-1] >= 0) & (numbers[1:] >= 0) & (rows[:-1] == rows[1:])
-                    codes = np.where(pairs, numbers[:-1] * size + numbers[1:], -1)
-                    places = np.minimum(np.searchsorted(automaton.pairs, codes), len(automaton.pairs) - 1)
-                    held = np.concatenate([[0], (automaton.pairs[places] == codes).view(np.int8), [0]])
-                    edges = np.flatnonzero(np.diff(held))
-                    found: dict[tuple[int, int], int] = {}
-                    for a, b in zip(edges[::2], edges[1::2]):
-                        if b - a >= least - 1:
-                            near: dict[int, int] = {}
-                            automaton.matches(numbers[a : b + 1].tolist(), near)
-                            for place, length in near.items():
-                                key = (int(rows[a]), place)
-                                found[key] = max(found.get(key, 0), length)
-                    for (row, place), length in found.items():
-                        docs.append(row)
-                        items.append(automaton.items[place])
-                        lengths.append(length)
+                found: dict[tuple[int, int], int] = {}
+                for row, _, numbers, _, _ in _candidates(texts_of(part.column(1)), automaton):
+                    near: dict[int, int] = {}
+                    automaton.matches(numbers.tolist(), near)
+                    for place, length in near.items():
+                        found[row, place] = max(found.get((row, place), 0), length)
+                for (row, place), length in found.items():
+                    docs.append(row)
+                    items.append(automaton.items[place])
+                    lengths.append(length)
                 yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), part.column(0).take(pa.array(docs, pa.int64())), pa.array(lengths, pa.int32())], ["item", "doc", "words"])
 
     return search
@@ -168,6 +197,25 @@ def _blocks(items: Iterator, block_words: int) -> Iterator[list[tuple[int, list[
         yield block
 
 
+def _automata(items: DataFrame, item_key: str, item_text: str, min_words: int, block_words: int) -> Iterator[Automaton]:
+    asked = items.where(items[item_key].isNotNull() & items[item_text].isNotNull()).select(items[item_key].cast("long").alias("item"), items[item_text].alias("text"))
+    for block in _blocks(((r["item"], r["text"]) for r in asked.orderBy("item").toLocalIterator()), block_words):
+        automaton = Automaton([x for x in block if len(x[1]) >= min_words], min_words)
+        if automaton.items:
+            yield automaton
+
+
+def _over_blocks(texts: DataFrame, automata: Iterator[Automaton], task, layout: str) -> DataFrame | None:
+    """The rows of all blocks. Those of a block are computed and kept before the next automaton is built, so the driver holds one or two."""
+    out, last = None, None
+    for automaton in automata:
+        if last is not None:
+            done = cut(last)
+            out = done if out is None else out.unionAll(done)
+        last = texts.mapInArrow(task(automaton), layout)
+    return last if out is None else out.unionAll(last)
+
+
 def leaked_items(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Each (item, document) of which ``min_words`` consecutive words of the item stand in the document.
 
@@ -182,37 +230,76 @@ def leaked_items(documents: DataFrame, key: str, text: str, items: DataFrame, it
     """
     kind = dict(documents.select(key).dtypes)[key]
     texts = documents.select(documents[key].alias("doc"), documents[text].cast("string").alias("text"))
-    asked = items.where(items[item_key].isNotNull() & items[item_text].isNotNull()).select(items[item_key].cast("long").alias("item"), items[item_text].alias("text"))
-    layout = f"item long, doc {kind}, words int"
-    parts = []
-    for block in _blocks(((r["item"], r["text"]) for r in asked.orderBy("item").toLocalIterator()), block_words):
-        automaton = Automaton([x for x in block if len(x[1]) >= min_words], min_words)
-        if automaton.items:
-            parts.append(texts.mapInArrow(_search(automaton), layout))
-    if not parts:
+    found = _over_blocks(texts, _automata(items, item_key, item_text, min_words, block_words), _search, f"item long, doc {kind}, words int")
+    if found is None:
         return documents.sparkSession.createDataFrame([], f"{item_key} long, {key} {kind}, matched_words int")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionAll(part)
     return found.select(F.col("item").alias(item_key), F.col("doc").alias(key), F.col("words").alias("matched_words"))
 
 
-def without_spans(text: str, automaton: Automaton) -> str:
-    """``text`` without the words of every passage of at least the automaton's least length."""
-    spans = [m.span() for m in _WORD.finditer(text)]
-    state, length, cuts = 0, 0, []
-    for at, (a, b) in enumerate(spans):
-        word = automaton.number.get(text[a:b].lower(), -1)
-        while state and word not in automaton.next[state]:
-            state = automaton.link[state]
-            length = automaton.length[state]
-        if word in automaton.next[state]:
-            state, length = automaton.next[state][word], length + 1
-        if length >= automaton.min_words:
-            cuts.append((spans[at - length + 1][0], b))
-    out, end = [], 0
-    for a, b in cuts:
-        if a > end:
-            out.append(text[end:a])
-        end = max(end, b)
-    return "".join(out) + text[end:]
+def _find_spans(automaton: Automaton):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, 1):
+                texts = texts_of(part.column(1))
+                docs, begins, ends = [], [], []
+                for row, _, numbers, starts, stops in _candidates(texts, automaton):
+                    for a, b in automaton.spans(numbers.tolist()):
+                        docs.append(row)
+                        begins.append(int(starts[a] - texts.starts[row]))
+                        ends.append(int(stops[b - 1] - texts.starts[row]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(docs, pa.int64())), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], ["doc", "a", "b"])
+
+    return find
+
+
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that do not touch, in order, which cover the same places."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _cleaned(most_coverage: float):
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, 1):
+                texts, removed, words, gone = [], [], [], []
+                for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    kept, at, lost = [], 0, 0
+                    for a, b in united([(s["a"], s["b"]) for s in spans or []]):
+                        kept.append(text[at:a])
+                        lost += len(words_of(text[a:b]))
+                        at = b
+                    total = len(words_of(text))
+                    drop = total > 0 and lost > most_coverage * total
+                    texts.append(None if text is None else "" if drop else "".join(kept) + text[at:])
+                    removed.append(lost)
+                    words.append(total)
+                    gone.append(drop)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(words, pa.int32()), pa.array(removed, pa.int32()), pa.array(gone)], ["doc", "text", "words", "leaked_words", "dropped"])
+
+    return cleaned
+
+
+def cleaned_documents(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = MIN_WORDS, most_coverage: float = MOST_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``key``, ``text`` without leaked passages, its ``words`` before, the ``leaked_words`` and whether it was ``dropped``.
+
+    A passage of at least ``min_words`` words of an item is cut out, from its first word to its last; what several
+    items or blocks find is united first. A document of which leaked words are more than ``most_coverage`` keeps an empty text.
+    The texts of all documents meet the spans in one join by key.
+
+    Defined cases: a null text stays null and an empty one empty; a text without such passage stays as it is. Keys are
+    unique; a null key keeps its text. Other columns are never read.
+    """
+    kind = dict(documents.select(key).dtypes)[key]
+    texts = documents.select(documents[key].alias("doc"), documents[text].cast("string").alias("text"))
+    found = _over_blocks(texts, _automata(items, item_key, item_text, min_words, block_words), _find_spans, f"doc {kind}, a int, b int")
+    if found is None:
+        found = documents.sparkSession.createDataFrame([], f"doc {kind}, a int, b int")
+    spans = found.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    out = texts.join(spans, "doc", "left").select("doc", "text", "spans").mapInArrow(_cleaned(most_coverage), f"doc {kind}, text string, words int, leaked_words int, dropped boolean")
+    return out.withColumnRenamed("doc", key)

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from custodia.llm.docpairs import documented_functions
 from custodia.llm.handwritten import unwritten_files
-from custodia.llm.leakage import leaked_items
+from custodia.llm.leakage import cleaned_documents, leaked_items
 from custodia.llm.names import name_entities, same_name_pairs
 from custodia.llm.spans import shared_share, shared_spans, shared_windows
 from custodia.llm.syntax import broken_files, broken_rates
-from custodia.llm.tokenise import token_ids
+from custodia.llm.tokenise import token_ids, token_offsets
 from custodia.llm.topn import top_n_per_group
 from custodia.session import cut
 from custodia.sources.tables import table
@@ -91,6 +91,12 @@ def p6_ids(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> Da
     return token_ids(documents, "doc_id", "text", f"{tokenizers}/byte_bpe_50k.tiktoken")
 
 
+def p6_offsets(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """The byte at which each token of every document begins."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_offsets(documents, "doc_id", "text", f"{tokenizers}/byte_bpe_50k.tiktoken").select("doc_id", "offsets")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents in which at least 13 consecutive words of an evaluation item stand."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -98,6 +104,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(documents, "doc_id", "text", items, "item_id", "text", 13).select("item_id", "doc_id")
 
 
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without leaked passages; those of which more than half leaked are emptied."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "eval_items").select("item_id", "text")
+    return cleaned_documents(documents, "doc_id", "text", items, "item_id", "text", 13)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that share at least 400 consecutive code points with another one."""
     return shared_windows(table(spark, sf_dir, "documents"), "doc_id", "text", 400).select("doc_id").distinct()
@@ -142,7 +155,9 @@ def queries() -> dict[str, Query]:
         "p5_found": p5_found,
         "p5_pairs": p5_pairs,
         "p6_ids": p6_ids,
+        "p6_offsets": p6_offsets,
         "p7_found": p7_found,
+        "p7_clean": p7_clean,
         "p8_found": p8_found,
         "p8_spans": p8_spans,
         "p8_shared_share": p8_shared_share,

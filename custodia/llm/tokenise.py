@@ -1,12 +1,15 @@
 """Encoding with a byte-level BPE vocabulary, pre-tokenised by array operations.
 
-A batch of texts is one array of code points. Each code point has a class (letter, number, white
-space, other); where a piece begins follows from the classes of a code point and its neighbours and
-from the place at which its run of equal class began. The transition functions of that automaton
-either keep the state or reset it, so composing them over the array is a running maximum over reset
-positions: no expression engine and no loop over characters is needed. The pieces, kept as offsets
-into the UTF-8 buffer, are coded through a dictionary so that the merges of a distinct piece run
-once a batch, and a cache carries them on to later batches.
+A batch of texts is one array of code points, and each has a class (letter, number, white space, other). The
+pre-tokeniser as an automaton reads a code point in one of few states, the class that the open piece has. Each transition
+function either keeps the state or resets it to the class of its own code point, whatever the state was. Composing such
+functions gives the last reset, which is the code point before; so the scan over them needs no carry, and where a piece
+begins is told by comparing neighbouring classes, for all positions at a time. Only the endings after an apostrophe look
+further, by two code points. No expression engine and no loop over characters is needed.
+
+The pieces are offsets into the UTF-8 buffer. They are coded through a dictionary so that the merges of a distinct piece
+run once a batch, and a cache carries them on to later batches. ``token_offsets`` keeps the offset of every token, by
+which any part of a text can be decoded by itself.
 """
 
 from __future__ import annotations
@@ -203,6 +206,29 @@ def _encode_batches(path: str):
     return encode
 
 
+def _offset_batches(path: str):
+    def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc = vocabulary(path)
+        lengths = np.zeros(max(voc.ranks.values()) + 1, np.int64)
+        for word, rank in voc.ranks.items():
+            lengths[rank] = len(word)
+        for batch in batches:
+            for part in chunks(batch, 1):
+                ids, bounds, _ = encode_texts(part.column(1), voc)
+                ends = np.concatenate([[0], np.cumsum(lengths[ids])])
+                begins = ends[:-1] - np.repeat(ends[bounds[:-1]], np.diff(bounds))
+                lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, pa.int32())) for x in (ids, begins)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["id", "ids", "offsets"])
+
+    return offsets
+
+
+def token_offsets(df: DataFrame, key: str, text: str, vocabulary_path: str) -> DataFrame:
+    """``key``, ``ids`` and ``offsets``, the byte of the UTF-8 text at which each token begins; cases as in ``token_ids``."""
+    kind = dict(df.select(key).dtypes)[key]
+    return df.select(df[key].alias("id"), df[text].cast("string").alias("text")).mapInArrow(_offset_batches(vocabulary_path), f"id {kind}, ids array<int>, offsets array<int>").withColumnRenamed("id", key)
+
+
 def token_ids(df: DataFrame, key: str, text: str, vocabulary_path: str) -> DataFrame:
     """``key`` and ``ids``, the token ids of ``text`` without special tokens, one row for each row of ``df``.
 

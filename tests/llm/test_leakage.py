@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 
-from custodia.llm.leakage import Automaton, leaked_items, without_spans, words_of
+import regex
+
+from custodia.llm.leakage import cleaned_documents, leaked_items, words_of
 
 
 def brute(docs, items, n):
@@ -50,6 +52,34 @@ def test_longest_match_and_empty_tables(spark):
     assert leaked_items(d.limit(0), "doc", "text", e, "item", "text", 3).collect() == []
 
 
-def test_spans_are_removed():
-    automaton = Automaton([(1, words_of("one two three four"))], 3)
-    assert without_spans("Zero One, two -- THREE five", automaton) == "Zero  five"
+def brute_clean(text, items, n, most):
+    words = [(m.group().lower(), m.start(), m.end()) for m in regex.finditer(r"[\p{L}\p{N}]+", text)]
+    grams = {tuple(w[k : k + n]) for _, t in items for w in [words_of(t)] for k in range(len(w) - n + 1)}
+    gone, lost = set(), set()
+    for k in range(len(words) - n + 1):
+        if tuple(w for w, _, _ in words[k : k + n]) in grams:
+            gone |= set(range(words[k][1], words[k + n - 1][2]))
+            lost |= set(range(k, k + n))
+    dropped = bool(words) and len(lost) > most * len(words)
+    return ("" if dropped else "".join(c for k, c in enumerate(text) if k not in gone)), len(words), len(lost), dropped
+
+
+def test_cleaned_documents_like_brute_force(spark):
+    random.seed(8)
+    text = lambda n: " ".join(random.choice(["a", "b.", "C", "(d", "é"]) for _ in range(n))
+    items = [(k, text(random.randint(0, 14))) for k in range(12)]
+    docs = [(k, text(random.randint(0, 40))) for k in range(60)] + [(100, ""), (101, "?!"), (102, "x" * 3)]
+    d = spark.createDataFrame([(*x, "clash") for x in docs], "doc long, text string, a string")
+    e = spark.createDataFrame(items, "item long, text string")
+    for options in ({}, {"block_words": 20}):
+        got = {r["doc"]: (r["text"], r["words"], r["leaked_words"], r["dropped"]) for r in cleaned_documents(d, "doc", "text", e, "item", "text", 6, 0.5, **options).collect()}
+        assert got == {k: brute_clean(t, items, 6, 0.5) for k, t in docs}
+
+
+def test_cleaned_documents_of_nulls_and_nothing(spark):
+    d = spark.createDataFrame([(1, None), (None, "Zero One, two -- THREE five and some more words"), (2, "one two three")], "doc long, text string")
+    e = spark.createDataFrame([(1, "one two three four")], "item long, text string")
+    got = {(r["doc"], r["text"], r["leaked_words"], r["dropped"]) for r in cleaned_documents(d, "doc", "text", e, "item", "text", 3).collect()}
+    assert got == {(1, None, 0, False), (None, "Zero One, two -- THREE five and some more words", 0, False), (2, "", 3, True)}
+    assert cleaned_documents(d, "doc", "text", e.limit(0), "item", "text", 3).count() == 3
+    assert cleaned_documents(d.limit(0), "doc", "text", e, "item", "text", 3).count() == 0

@@ -53,3 +53,13 @@ def test_rows_nulls_repeats_and_clashing_names(spark, both):
     got = T.token_ids(df, "doc", "text", PATH).collect()
     assert sorted((str(r["doc"]), list(r["ids"])) for r in got) == sorted((str(a), other.encode_ordinary(b or "")) for a, b, _ in rows)
     assert T.token_ids(df.limit(0), "doc", "text", PATH).collect() == []
+
+
+def test_every_token_by_its_offset(spark, both):
+    voc, _ = both
+    rows = [(1, "Übergabe — don't\r\n\tx  中文"), (2, None), (3, ""), (4, " "), (5, "a" * 5000), (None, "b c")]
+    words = {v: k for k, v in voc.ranks.items()}
+    for r in T.token_offsets(spark.createDataFrame(rows, "doc long, text string"), "doc", "text", PATH).collect():
+        held = (dict(rows)[r["doc"]] or "").encode()
+        cuts = [*r["offsets"], len(held)]
+        assert [held[a:b] for a, b in zip(cuts, cuts[1:])] == [words[i] for i in r["ids"]]
