@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from custodia.llm.docpairs import documented_functions
 from custodia.llm.handwritten import unwritten_files
 from custodia.llm.leakage import cleaned_documents, leaked_items
-from custodia.llm.names import name_entities, same_name_pairs
+from custodia.llm.names import entity_members, name_entities, same_name_pairs
 from custodia.llm.spans import shared_share, shared_spans, shared_windows
 from custodia.llm.syntax import broken_files, broken_rates
 from custodia.llm.tokenise import token_ids, token_offsets
@@ -28,6 +28,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_name_pairs(table(spark, sf_dir, "authors"), "author_id", "name", "email")
 
 
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The author rows by person or organisation: one row each with the least row of the same."""
+    return entity_members(table(spark, sf_dir, "authors"), "author_id", "name", "email")
+
+
 def p1_commit_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each spelling in the commits with its commits and the person or organisation it denotes."""
     commits = table(spark, sf_dir, "commits").select("hash", "author_name", "author_email").distinct()
@@ -146,6 +151,7 @@ SELECT DISTINCT doc_id FROM windows JOIN shared USING (h)
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
+        "p1_entities": p1_entities,
         "p1_commit_entities": p1_commit_entities,
         "p2_found": p2_found,
         "p2_rates": p2_rates,
