@@ -158,24 +158,47 @@ def clone_progress(line: Column) -> Column:
     return F.struct(stage.alias("stage"), percent.alias("percent"))
 
 
+def _section_entries(content: Column, *headers: str) -> Column:
+    """Entries of sections of a TOML text."""
+    out = F.lit(0)
+    for header in headers:
+        body = F.regexp_extract(content, rf"(?ms)^\[{header}\][ \t\r]*$(.*?)(?=^\[|\z)", 1)
+        out = out + F.regexp_count(body, F.lit(r"(?m)^[ \t]*[A-Za-z0-9_.-]+[ \t]*="))
+    return out
+
+
+def manifest_facts(content: Column, name: Column) -> Column:
+    """Ecosystem, dependencies, dependencies of development and manager of a manifest; null for other files and broken ones.
+
+    What is declared is counted, once each: a block of ``go.mod`` by its entries, ``pubspec.yaml`` by the packages below its two keys.
+    """
+    plain = F.lower(name)
+    keys = lambda field: F.coalesce(F.size(F.json_object_keys(F.get_json_object(content, f"$['{field}']"))), F.lit(0))
+    counted = lambda pattern, text=None: F.regexp_count(content if text is None else text, F.lit(pattern))
+    whole = F.json_object_keys(content).isNotNull()
+    lines = counted(r"(?m)^[ \t]*[^#\s].*$")
+    block = F.regexp_extract(content, r"(?s)\brequire\s*\((.*?)\)", 1)
+    go = counted(r"(?m)^[ \t]*[^/\s]\S*[ \t]+v\S+", block) + counted(r"(?m)^[ \t]*require[ \t]+[^(\s]\S*[ \t]+\S+")
+    listed = F.regexp_extract(content, r"(?ms)^\s*dependencies\s*=\s*\[(.*?)^?\s*\]", 1)
+    items = F.size(F.filter(F.split(listed, ","), lambda x: (F.trim(F.regexp_replace(x, r"\s", "")) != "") & ~F.ltrim(x).startswith("#")))
+    pub = lambda key: counted(r"(?m)^  [A-Za-z_][A-Za-z0-9_-]*:", F.regexp_extract(content, rf"(?ms)^{key}:[ \t\r]*$(.*?)(?=^\S|\z)", 1))
+    none = F.lit(None).cast("int")
+    rows = [
+        ((plain == "package.json") & whole, "Node.js", keys("dependencies"), keys("devDependencies"), None), ((plain == "composer.json") & whole, "PHP Composer", keys("require"), keys("require-dev"), "composer"), (plain == "go.mod", "Go Modules", go, none, "go"),
+        (plain == "pom.xml", "Java Maven", counted("<dependency>"), none, "maven"), (plain.isin("build.gradle", "build.gradle.kts"), "Java Gradle", counted(r"\b(?:api|implementation|compileOnly|runtimeOnly|testImplementation)\s*\(?"), none, "gradle"),
+        (plain == "requirements.txt", "Python pip", lines, none, "pip"), (plain == "pyproject.toml", "Python pyproject", items + _section_entries(content, r"project\.dependencies", r"tool\.poetry\.dependencies"), none, "python"),
+        (plain == "pipfile", "Python Pipenv", _section_entries(content, "packages"), _section_entries(content, "dev-packages"), "pipenv"), (plain == "gemfile", "Ruby Bundler", counted(r"(?m)^\s*gem\s+['\"]"), none, "bundler"),
+        (plain == "cargo.toml", "Rust Cargo", _section_entries(content, "dependencies"), _section_entries(content, "dev-dependencies"), "cargo"), (plain == "pubspec.yaml", "Dart / Flutter pub", pub("dependencies"), pub("dev_dependencies"), "flutter"),
+        (plain == "mix.exs", "Elixir Mix", counted(r"\{:\w+"), none, "mix"), (plain == "package.swift", "Swift Package Manager", counted(r"\.package\s*\("), none, "swift"), (plain == "podfile", "iOS CocoaPods", counted(r"(?m)^\s*pod\s+['\"]"), none, "cocoapods"),
+        (plain.rlike(r"\.(cs|fs|vb)proj$"), ".NET NuGet", counted(r"<PackageReference\b"), none, "dotnet"),
+    ]
+    out = F.lit(None).cast("struct<ecosystem:string,dependencies:int,dev_dependencies:int,manager:string>")
+    for fits, ecosystem, main, dev, manager in reversed(rows):
+        out = F.when(fits & content.isNotNull(), F.struct(F.lit(ecosystem).alias("ecosystem"), main.cast("int").alias("dependencies"), dev.cast("int").alias("dev_dependencies"), F.lit(manager).cast("string").alias("manager"))).otherwise(out)
+    return out
+
+
 def dependency_count(content: Column, name: Column) -> Column:
-    """Dependencies that a manifest declares, null for other files. Counts what is declared, once each."""
-    keys = lambda field: F.coalesce(F.size(F.json_object_keys(F.get_json_object(content, f"$.{field}"))), F.lit(0))
-    lines = F.split(content, "\n")
-    counted = lambda pattern: F.regexp_count(content, F.lit(pattern))
-    plain = F.size(F.filter(lines, lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#")))
-    block = F.coalesce(F.regexp_extract(content, r"(?s)require\s*\((.*?)\)", 1), F.lit(""))
-    go = F.size(F.filter(F.split(block, "\n"), lambda x: x.rlike(r"^\s*[^/\s]\S* v\S+"))) + counted(r"(?m)^require [^(\s]\S* v\S+")
-    return (
-        F.when(name == "package.json", keys("dependencies"))
-        .when(name == "composer.json", keys("require"))
-        .when(name == "requirements.txt", plain)
-        .when(name == "go.mod", go)
-        .when(name == "pom.xml", counted("<dependency>"))
-        .when(F.lower(name) == "gemfile", counted(r"(?m)^\s*gem ['\"]"))
-        .when(name.startswith("build.gradle"), counted(r"(?m)^\s*(implementation|api|compileOnly|runtimeOnly|testImplementation)\b"))
-        .when(name == "Podfile", counted(r"(?m)^\s*pod ['\"]"))
-        .when(name == "mix.exs", counted(r"\{:\w+,"))
-        .when(name == "Package.swift", counted(r"\.package\("))
-        .when(name.rlike(r"\.(cs|fs|vb)proj$"), counted("<PackageReference"))
-    )
+    """Dependencies that a manifest declares, 0 for a broken one, null for other files."""
+    json = F.lower(name).isin("package.json", "composer.json")
+    return F.coalesce(manifest_facts(content, name)["dependencies"], F.when(json, F.lit(0)))

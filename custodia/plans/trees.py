@@ -96,7 +96,26 @@ def author_hints(spark, d):
 
 def project_commands(spark, d):
     """Start commands that the files of each repository imply or its manifests declare."""
-    return projects.start_commands(table(spark, d, "source_files").select("file_id", "repo_id", "file_path", "content").dropDuplicates(["file_id"]))
+    return projects.start_commands(table(spark, d, "source_files").select("repo_id", "file_path", "content"))
+
+
+def manifest_counts(spark, d):
+    """What the manifests of each repository declare."""
+    files = table(spark, d, "source_files").select("repo_id", "file_path", "content")
+    return projects.manifests(files).select("repo_id", "file_path", "ecosystem", "dependencies", "dev_dependencies", "manager")
+
+
+def generic_modules(spark, d):
+    """Modules of the repositories in which no framework gives any."""
+    files = table(spark, d, "source_files").select("file_id", "repo_id", "file_path", "content")
+    found = frameworks.module_files(files, frameworks.framework_scores(files))
+    return frameworks.generic_modules(files.select("repo_id", "file_path"), found).groupBy("repo_id", "ordinal", "name", "kind").agg(F.count(F.lit(1)).alias("file_count"))
+
+
+def module_entries(spark, d):
+    """Routes, commands and tables by the rules of each repository's first framework."""
+    files = table(spark, d, "source_files").select("file_id", "repo_id", "file_path", "content")
+    return frameworks.module_entries(files, frameworks.framework_scores(files))
 
 
 def framework_score(spark, d):
@@ -140,6 +159,9 @@ scored AS (SELECT repo_id, framework, registry, least(sum(weight), 100)::BIGINT
 frameworks AS (SELECT repo_id, framework, confidence, evidence, row_number() OVER (PARTITION BY repo_id ORDER BY confidence DESC, registry) AS place FROM scored)"""
 
 QUERIES = {
+    "manifest_counts": (manifest_counts, None),
+    "generic_modules": (generic_modules, None),
+    "module_entries": (module_entries, None),
     "language_histogram": (language_histogram, f"""WITH {sql.INVENTORY}, counts AS (SELECT repo_id, language, count(*) AS file_count, string_agg(DISTINCT CASE WHEN extension = '' THEN name ELSE extension END, ',' ORDER BY CASE WHEN extension = '' THEN name ELSE extension END) AS extensions FROM inventory WHERE language IS NOT NULL GROUP BY ALL)
 SELECT *, file_count::DOUBLE * 100::DOUBLE / (sum(file_count) OVER (PARTITION BY repo_id))::DOUBLE AS percentage FROM counts"""),
     "raised_histogram": (raised_histogram, f"""WITH {sql.INVENTORY}, {sql.FILES}, held AS (SELECT repo_id, language, count(*) AS n FROM inventory WHERE language IS NOT NULL GROUP BY ALL), used AS (SELECT DISTINCT repo_id, file_language AS language FROM files_once WHERE file_language IS NOT NULL)

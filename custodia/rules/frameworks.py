@@ -54,6 +54,24 @@ Phoenix 35: mix.exs ∋ :phoenix|Phoenix +35; config/config.exs +15; lib/ +10; p
 Ktor 35: build.gradle.kts ∋ io.ktor +30; build.gradle ∋ io.ktor +30; pom.xml ∋ ktor-server +25; src/main/kotlin/ +10; src/main/resources/application.conf +10
 Tauri 35: src-tauri/Cargo.toml ∋ tauri +35; src-tauri/tauri.conf.json +20; src-tauri/src/ +10
 """
+# Indicators that name no single path: framework, pattern of the path, pattern of the content or none, weight. One file is enough.
+PATTERN_INDICATORS = [
+    ("Spring Boot", r"^src/main/resources/application-[^/]*\.yml$", "", 5), ("Spring Boot", r"^src/main/resources/application-[^/]*\.properties$", "", 5), ("Spring Boot", r"^src/main/java/.*\.java$", r"@SpringBootApplication", 20),
+    ("ASP.NET Core", r"^(?:[^/]+/){0,2}[^/]+\.(?:cs|fs|vb)proj$", r"(?i)Microsoft\.AspNetCore|Microsoft\.NET\.Sdk\.Web", 35), ("iOS", r"^[^/]+\.xcodeproj/", "", 35),
+]
+# Well-known directories of a project without a known framework, and what their files are.
+GENERIC_MODULES = [("src", "other"), ("app", "controller"), ("lib", "other"), ("config", "config"), ("routes", "route"), ("controllers", "controller"), ("services", "service"), ("models", "model"), ("middleware", "middleware"), ("commands", "command"), ("jobs", "job")]
+# What the lines of a module's files offer: kind, framework or none, pattern with the verb as group 1 and the path or name as group 2.
+ENTRIES = [
+    ("route", "Laravel", r"Route::(get|post|put|patch|delete|any|resource)\s*\(\s*['\"]([^'\"]+)"), ("route", "ThinkPHP", r"Route::(get|post|put|patch|delete|any|rule|resource)\s*\(\s*['\"]([^'\"]+)"), ("route", "Gin", r"\.(GET|POST|PUT|DELETE|PATCH|OPTIONS|HEAD|Any)\s*\(\s*\"([^\"]+)"),
+    ("route", "Go-Zero", r"^\s*(get|post|put|delete|patch)\s+(/\S*)"), ("route", "Spring Boot", r"@(Get|Post|Put|Delete|Patch|Request)Mapping\s*\(\s*(?:value\s*=\s*)?\"([^\"]+)"), ("route", "Flask", r"@\w+\.(route|get|post|put|delete|patch)\s*\(\s*['\"]([^'\"]+)"),
+    ("route", "FastAPI", r"@\w+\.(get|post|put|delete|patch|options|head)\s*\(\s*['\"]([^'\"]*)"), ("route", "Django", r"\b(path|re_path|url)\s*\(\s*r?['\"]([^'\"]*)"), ("route", "NestJS", r"@(Get|Post|Put|Delete|Patch|Controller)\s*\(\s*['\"]([^'\"]*)"),
+    ("route", "Express", r"\.(get|post|put|patch|delete|use|all)\s*\(\s*['\"]([^'\"]+)"), ("route", "Vue", r"(path):\s*['\"]([^'\"]+)"), ("route", "Rails", r"^\s*(get|post|put|patch|delete|resources|resource|root)\s+['\":]([^'\",\s]+)"), ("route", "Sinatra", r"^\s*(get|post|put|patch|delete)\s+['\"]([^'\"]+)"),
+    ("route", "ASP.NET Core", r"\[(HttpGet|HttpPost|HttpPut|HttpDelete|HttpPatch|Route)\s*\(\s*\"([^\"]+)"), ("route", "Phoenix", r"^\s*(get|post|put|patch|delete|resources)\s+\"([^\"]+)"), ("route", "Ktor", r"\b(get|post|put|patch|delete)\s*\(\s*\"([^\"]+)"),
+    ("route", "Symfony", r"#\[(Route)\s*\(\s*['\"]([^'\"]+)"), ("command", "Laravel", r"protected\s+\$(signature)\s*=\s*['\"]([^'\"\s{]+)"), ("table", "Laravel", r"protected\s+\$(table)\s*=\s*['\"]([^'\"]+)"), ("table", "Spring Boot", r"@(Table)\s*\(\s*name\s*=\s*\"([^\"]+)"), ("table", "ThinkPHP", r"protected\s+\$(name|table)\s*=\s*['\"]([^'\"]+)"),
+]
+#: Verbs that stand for any request.
+ANY_VERBS = ["request", "any", "route", "use", "all", "path", "re_path", "url", "rule", "controller", "resource", "resources", "root"]
 # Modules of frameworks, as name (kind): directories.
 _MODULES = """
 Laravel: Controllers (controller) app/Http/Controllers; Models (model) app/Models; Services (service) app/Services; Commands (command) app/Console/Commands; Jobs (job) app/Jobs; Middleware (middleware) app/Http/Middleware; Config (config) config; Migrations (other) database/migrations
