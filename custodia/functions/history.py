@@ -49,6 +49,12 @@ def risk_points(changes: Column, lines: Column, deleted: Column, renamed: Column
     return yes(changes >= 8) + yes(lines >= 500) + yes(deleted) + yes(renamed) + yes(critical)
 
 
+def risk_reasons(changes: Column, lines: Column, deleted: Column, renamed: Column, critical: Column) -> Column:
+    """The reasons for a risk that hold, as codes in order."""
+    tests = [("many_changes", changes >= 8), ("many_lines", lines >= 500), ("deleted", deleted), ("renamed", renamed), ("critical_path", critical)]
+    return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for code, c in tests)))
+
+
 def risk_level(points: Column, changes: Column, lines: Column) -> Column:
     high = (points >= 3) | (changes >= 12) | (lines >= 1000)
     medium = (points >= 1) | (changes >= 5) | (lines >= 300)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from custodia.functions.history import author_key, is_author, risk_level, risk_points, risk_weight
+from custodia.functions.history import author_key, is_author, risk_level, risk_points, risk_reasons, risk_weight
 from custodia.functions.paths import business_area, is_critical, normal_path
 from custodia.operators.history import delivered_once
 
@@ -32,6 +32,12 @@ def with_risk(files: DataFrame) -> DataFrame:
     return files.withColumn("risk_points", points).withColumn("risk", risk_level(F.col("risk_points"), F.col("change_count"), lines))
 
 
+def with_reasons(files: DataFrame) -> DataFrame:
+    """Changed files with the reasons for their risk."""
+    lines = F.coalesce("additions", F.lit(0)) + F.coalesce("deletions", F.lit(0))
+    return files.withColumn("reasons", risk_reasons(F.col("change_count"), lines, F.col("status") == "deleted", F.col("status") == "renamed", is_critical(F.col("file_path"))))
+
+
 def contributions(files: DataFrame, by: str) -> DataFrame:
     """Files, changes and lines of each author by one attribute; a missing value is Unknown."""
     key = F.coalesce(F.nullif(F.trim(by), F.lit("")), F.lit("Unknown"))

@@ -190,6 +190,11 @@ def commit_summaries(commits: DataFrame, file_changes: DataFrame) -> DataFrame:
     return joined.select("repo_id", "hash", "commit_seq", "author_name", "commit_date", F.size(listed).alias("file_count"), F.array_join(listed, "|").alias("files"))
 
 
+def commit_totals(changes: DataFrame) -> DataFrame:
+    """Files and added and deleted lines of each commit, from changes with line counts."""
+    return changes.groupBy("repo_id", "hash").agg(F.countDistinct("file_path").alias("files"), F.coalesce(F.sum("additions"), F.lit(0)).cast("long").alias("additions"), F.coalesce(F.sum("deletions"), F.lit(0)).cast("long").alias("deletions"))
+
+
 def recent_commits(commits: DataFrame, most: int = 20) -> DataFrame:
     """The newest commits of each repository."""
     newest = Window.partitionBy("repo_id").orderBy(F.desc("commit_seq"), "hash")

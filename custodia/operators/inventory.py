@@ -79,3 +79,23 @@ def path_flags(files: DataFrame) -> DataFrame:
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     flags = {"sensitive": paths.is_sensitive, "config": paths.is_config, "document": paths.is_document, "readme": paths.is_readme, "manifest": paths.is_manifest, "critical": paths.is_critical, "ignored": paths.in_ignored_directory, "source": paths.is_handover_source}
     return files.select("repo_id", "file_path", *(flag(f(path)).alias(name) for name, f in flags.items()))
+
+
+def sensitive_paths(files: DataFrame, most: int = 50) -> DataFrame:
+    """The first sensitive paths of each repository in order of their names; contents are not read."""
+    held = files.select("repo_id", "file_path").where(paths.is_sensitive(F.col("file_path"))).distinct()
+    order = Window.partitionBy("repo_id").orderBy("file_path")
+    return held.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def with_suffix(files: DataFrame, suffix: str) -> DataFrame:
+    """The top-level directories of each repository whose name ends with ``suffix``."""
+    top = paths.top_directory(F.col("file_path"))
+    return files.select("repo_id", top.alias("directory")).where(F.col("directory").endswith(suffix)).distinct()
+
+
+def first_below(files: DataFrame, directory: str, most: int = 50) -> DataFrame:
+    """The first files of each repository below a directory, by path; what ignored directories hold is left out."""
+    held = files.where(F.col("file_path").startswith(f"{directory}/") & ~paths.in_ignored_directory(F.col("file_path"))).select("repo_id", "file_path").distinct()
+    order = Window.partitionBy("repo_id").orderBy("file_path")
+    return held.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from custodia.rules.structure import CALL, COMMENT_LINE, IMPORT_RULES, NO_CALLS, NO_NAMES, RULES, TYPE_KINDS
+from custodia.rules.structure import CALL, COMMENT_LINE, DECLARES, IMPORT_RULES, NO_CALLS, NO_NAMES, RULES, TYPE_KINDS
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -22,23 +22,30 @@ def lines(files: DataFrame) -> DataFrame:
     return split.where(~F.col("line").rlike(COMMENT_LINE)).select("file_id", "repo_id", "file_path", "file_language", (F.col("place") + 1).alias("line_no"), "line")
 
 
-def _first_rule(line: Column) -> Column:
-    none = F.lit(None).cast("struct<kind:string,name:string,bases:string,interfaces:string>")
-    out = none
+def _rule_number(line: Column) -> Column:
+    """The place in the table of the first rule of the file's language that fits a line, from 1; null if none does."""
+    out = F.lit(None).cast("int")
     for language in sorted({r.language for r in RULES}):
-        chain = none
-        for rule in reversed([r for r in RULES if r.language == language]):
-            groups = re.compile(rule.pattern).groups
-            part = lambda g: F.nullif(F.trim(F.regexp_extract(line, rule.pattern, g)), F.lit("")) if g <= groups else F.lit(None).cast("string")  # noqa: E731, B023
-            named = F.struct(F.lit(rule.kind).alias("kind"), F.regexp_extract(line, rule.pattern, 1).alias("name"), part(2).alias("bases"), part(3).alias("interfaces"))
-            fits = line.rlike(rule.pattern)
-            if rule.kind in ("method", "constructor"):
-                fits = fits & ~F.regexp_extract(line, rule.pattern, 1).isin(NO_NAMES) & ~line.rlike(r"^\s*(?:return|throw|new|else|await|yield)\b")
-            chain = F.when(fits, named).otherwise(chain)
+        chain = F.lit(None).cast("int")
+        for place, rule in reversed([(k, r) for k, r in enumerate(RULES, 1) if r.language == language]):
+            chain = F.when(line.rlike(rule.pattern), F.lit(place)).otherwise(chain)
         out = F.when(F.col("file_language") == language, chain).otherwise(out)
     return out
 
 
+def _declaring(files: DataFrame) -> DataFrame:
+    """Lines that declare something, with ``kind``, ``name``, and the texts of ``bases`` and ``interfaces``."""
+    fitting = lines(files).withColumn("rule", _rule_number(F.col("line"))).where("rule is not null")
+    column = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), F.col("rule"))
+    kinds, patterns = column([r.kind for r in RULES]), column([r.pattern for r in RULES])
+    groups = column([re.compile(r.pattern).groups for r in RULES])
+    extracted = lambda g: F.call_function("regexp_extract", F.col("line"), patterns, F.lit(g))
+    part = lambda g: F.when(groups >= g, F.nullif(F.trim(extracted(g)), F.lit("")))
+    named = fitting.withColumns({"kind": kinds, "name": extracted(1), "bases": part(2), "interfaces": part(3)})
+    spoken = F.col("kind").isin("method", "constructor") & (F.col("name").isin(NO_NAMES) | F.col("line").rlike(r"^\s*(?:return|throw|new|else|await|yield)\b"))
+    return named.where(~spoken)
+
+
 def _names(text: Column) -> Column:
     """The types in a list of them, without arguments, key words and blanks; ``a=b`` is none."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^<>]*>|\\([^()]*\\)", "")
@@ -64,8 +71,8 @@ def declarations(files: DataFrame) -> DataFrame:
     In Go the parent of a method is the type of its receiver. A function inside a type is a method. Interfaces that extend
     others extend them; a C# name that begins with I and a capital is an interface.
     """
-    found = lines(files).withColumn("found", _first_rule(F.col("line"))).where("found is not null")
-    rows = found.select("file_id", "repo_id", "file_path", "file_language", "line_no", F.col("found.*"), F.length(F.regexp_extract("line", r"^(\s*)", 1)).alias("margin"), "line").distinct()
+    found = _declaring(files)
+    rows = found.select("file_id", "repo_id", "file_path", "file_language", "line_no", "kind", "name", "bases", "interfaces", F.length(F.regexp_extract("line", r"^(\s*)", 1)).alias("margin"), "line").distinct()
     holds = F.col("kind").isin(TYPE_KINDS)
     # the last type above if its margin is smaller, else the last one at the margin of the file
     above = Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -111,7 +118,7 @@ def imported(files: DataFrame) -> DataFrame:
 def called(files: DataFrame) -> DataFrame:
     """Distinct calls of each file, with what they are called on."""
     found = F.regexp_extract_all("line", F.lit(CALL), 1)
-    rows = lines(files).where(_first_rule(F.col("line")).isNull()).select("file_id", "repo_id", "file_path", F.explode(found).alias("call"))
+    rows = lines(files).where(~F.col("line").rlike(DECLARES)).select("file_id", "repo_id", "file_path", F.explode(found).alias("call"))
     return rows.where(~F.col("call").isin(NO_CALLS)).distinct()
 
 

@@ -128,7 +128,19 @@ def _contribution(column: str) -> str:
     return f"WITH {sql.FILES} SELECT repo_id, author, coalesce(nullif(trim({column}), ''), 'Unknown') AS name, count(*) AS file_count, coalesce(sum(change_count), 0)::BIGINT AS change_count, coalesce(sum(additions), 0)::BIGINT AS additions, coalesce(sum(deletions), 0)::BIGINT AS deletions FROM files_once GROUP BY ALL"
 
 
+def risk_reason_counts(spark, d):
+    """How often each reason for a risk holds in each repository."""
+    files = authors.with_reasons(authors.files_once(table(spark, d, "changed_files")))
+    return files.select("repo_id", F.explode("reasons").alias("reason")).groupBy("repo_id", "reason").agg(F.count(F.lit(1)).alias("files"))
+
+
+_REASONS = " UNION ALL ".join(
+    f"SELECT repo_id, '{code}' AS reason FROM files_once WHERE {test}"
+    for code, test in (("many_changes", "change_count >= 8"), ("many_lines", "coalesce(additions, 0) + coalesce(deletions, 0) >= 500"), ("deleted", "status = 'deleted'"), ("renamed", "status = 'renamed'"), ("critical_path", "regexp_matches(lower(file_path), '(auth|payment|order|billing|permission|security|migration|config|routes?/)')"))
+)
+
 QUERIES = {
+    "risk_reason_counts": (risk_reason_counts, f"WITH {sql.FILES} SELECT repo_id, reason, count(*) AS files FROM ({_REASONS}) GROUP BY ALL"),
     "author_commit_counts": (author_commit_counts, f"WITH {sql.COMMITS} SELECT repo_id, {sql.key('author_email')} AS author, count(*) AS commit_count, min(commit_seq) AS first_seq, max(commit_seq) AS last_seq FROM commits_once GROUP BY ALL"),
     "author_profile": (author_profile, f"WITH {sql.RISK}, ranked AS (SELECT *, {_RANK} AS place FROM risked) SELECT repo_id, author, place, file_path, change_count, status, risk, risk_points FROM ranked WHERE place <= 20"),
     "changed_file_profile": (changed_file_profile, _PROFILE),

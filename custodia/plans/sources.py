@@ -9,6 +9,7 @@ from custodia.functions import text
 from custodia.functions.bodies import declared_bodies
 from custodia.operators import relations, scope
 from custodia.plans import sql
+from custodia.rules.files import IMPORT_EXTENSIONS
 from custodia.sources.tables import table
 
 
@@ -160,6 +161,19 @@ for _plain, _entity in text.ENTITIES:
 _LINES = "CASE WHEN length({0}) = 0 THEN 0 ELSE length({0}) - length(replace({0}, chr(10), '')) + (NOT suffix({0}, chr(10)))::INT END::BIGINT"
 _LINE = "trim(regexp_replace(replace(text, '`', ''''), '[ \\t\\r\\n]+', ' ', 'g'))"
 
+_DIR = sql.directory("file_path")
+_UP = "'/' || {d} || '/' || import_path".format(d=_DIR)
+_BASE = f"regexp_replace({_UP}, '(/\\.)+(/|$)', '/', 'g')"
+for _ in range(6):  # one step up for each pair of dots
+    _BASE = f"regexp_replace({_BASE}, '/[^/]+/\\.\\.(/|$)', '/')"
+_BASE = f"regexp_replace(regexp_replace({_BASE}, '/+', '/', 'g'), '^/|/$', '', 'g')"
+_SUFFIXES = [x for e in IMPORT_EXTENSIONS for x in ((e,) if e == "" else (e, f"/index{e}"))]
+_RESOLVED = f"""WITH {sql.SOURCES}, {_IMPORTS}, wanted AS (SELECT DISTINCT repo_id, file_path, import_path, {_BASE} AS base FROM imports WHERE {_KIND} = 'relative'),
+suffixes AS (SELECT unnest([{', '.join(sql.quoted(x) for x in _SUFFIXES)}]) AS suffix, generate_subscripts([{', '.join(sql.quoted(x) for x in _SUFFIXES)}], 1) AS place),
+held AS (SELECT repo_id, lower(file_path) AS low, min(file_path) AS to_file FROM sources GROUP BY ALL),
+found AS (SELECT w.repo_id, w.file_path, w.import_path, arg_min(h.to_file, s.place) AS to_file FROM wanted w CROSS JOIN suffixes s JOIN held h ON h.repo_id = w.repo_id AND h.low = lower(w.base || s.suffix) GROUP BY ALL)
+SELECT w.repo_id, w.file_path, w.import_path, to_file FROM wanted w LEFT JOIN found USING (repo_id, file_path, import_path) WHERE NOT contains(base, '..')"""
+
 QUERIES = {
     "source_signals": (source_signals, f"WITH {sql.SOURCES} SELECT file_id, {_LINES.format('content')} AS lines, " + ", ".join(f"len(regexp_extract_all(content, {sql.quoted(p)}))::BIGINT AS {n}" for n, p in text.DETECTORS.items()) + " FROM sources"),
     "source_notes": (source_notes, f"WITH {sql.SOURCES} SELECT file_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(content, {sql.quoted(p)}) THEN '{n}' END" for n, p in text.DETECTORS.items()) + ") AS notes FROM sources"),
@@ -168,7 +182,7 @@ QUERIES = {
     "function_intents": (function_intents, f"WITH {sql.SOURCES}, {_FUNCTIONS} SELECT repo_id, {_INTENT} AS intent, count(*) AS functions FROM functions GROUP BY ALL"),
     "symbol_counts": (symbol_counts, f"WITH {sql.SOURCES}, {_FUNCTIONS}, {_TYPES} SELECT repo_id, kind, count(*) AS symbols, count(DISTINCT name) AS names FROM (SELECT *, 'function' AS kind FROM functions UNION ALL SELECT *, 'class' FROM types) GROUP BY ALL"),
     "import_edges": (import_edges, f"WITH {sql.SOURCES}, {_IMPORTS} SELECT repo_id, file_path, ordinal, import_path, {_KIND} AS kind FROM imports"),
-    "resolved_imports": (resolved_imports, None),
+    "resolved_imports": (resolved_imports, _RESOLVED),
     "unique_target_calls": (unique_target_calls, f"""WITH {sql.SOURCES}, {_FUNCTIONS}, {_CALLS}, targets AS (SELECT repo_id, lower(name) AS low, min(file_path) AS to_file FROM functions GROUP BY ALL HAVING count(DISTINCT file_path) = 1)
 SELECT calls.repo_id, file_path, call, to_file FROM calls LEFT JOIN targets ON calls.repo_id = targets.repo_id AND lower(call) = low"""),
     "inheritance_edges": (inheritance_edges, f"WITH {sql.SOURCES}, {_BASES} SELECT repo_id, file_path, base FROM bases"),

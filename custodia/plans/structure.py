@@ -68,19 +68,12 @@ lines AS (SELECT * FROM raw_lines WHERE NOT regexp_matches(line, {sql.quoted(rul
 _IN_DATA = ["Python", "JavaScript", "TypeScript", "Go", "Java", "PHP"]
 
 
-def _fits(rule: rules.Rule) -> str:
-    fits = f"regexp_matches(line, {sql.quoted(rule.pattern)})"
-    if rule.kind in ("method", "constructor"):
-        words = ", ".join(map(sql.quoted, rules.NO_NAMES))
-        fits += f" AND regexp_extract(line, {sql.quoted(rule.pattern)}, 1) NOT IN ({words}) AND NOT regexp_matches(line, '^\\s*(?:return|throw|new|else|await|yield)\\b')"
-    return fits
-
-
 def _of_first(value) -> str:
-    return "CASE " + " ".join(f"WHEN file_language = '{r.language}' AND {_fits(r)} THEN {value(r)}" for r in rules.RULES if r.language in _IN_DATA) + " END"
+    return "CASE " + " ".join(f"WHEN file_language = '{r.language}' AND regexp_matches(line, {sql.quoted(r.pattern)}) THEN {value(r)}" for r in rules.RULES if r.language in _IN_DATA) + " END"
 
 
-_DECLARED = f"declared AS (SELECT DISTINCT file_id, file_language, line_no, {_of_first(lambda r: sql.quoted(r.kind))} AS kind, {_of_first(lambda r: f'regexp_extract(line, {sql.quoted(r.pattern)}, 1)')} AS name FROM lines)"
+_SPOKEN = f"kind IN ('method', 'constructor') AND (name IN ({', '.join(map(sql.quoted, rules.NO_NAMES))}) OR regexp_matches(line, '^\\s*(?:return|throw|new|else|await|yield)\\b'))"
+_DECLARED = f"declared AS (SELECT DISTINCT file_id, file_language, line_no, line, {_of_first(lambda r: sql.quoted(r.kind))} AS kind, {_of_first(lambda r: f'regexp_extract(line, {sql.quoted(r.pattern)}, 1)')} AS name FROM lines)"
 _METHODS = {".php": [(methods.PHP, 3, 4)], ".go": [(methods.GO, 2, 3)], ".java .kt": [(methods.JAVA, 3, 4)], ".ts .tsx .js .jsx .vue": [(p, 2, 3) for p in methods.SCRIPT]}
 _FOUND = " UNION ALL ".join(
     f"SELECT file_id, file_path, unnest(regexp_extract_all(content, {sql.quoted(p)}, {n})) AS name, unnest(regexp_extract_all(content, {sql.quoted(p)}, {a})) AS raw FROM sources WHERE {sql.extension('file_path')} IN ({', '.join(map(sql.quoted, ends.split()))})" for ends, found in _METHODS.items() for p, n, a in found
@@ -89,7 +82,7 @@ _PARAMS = "trim(regexp_replace(raw, '\\s+', ' ', 'g'))"
 _INCLUDED = "CASE WHEN suffix(lower(file_path), '.php') THEN NOT starts_with(name, '__') OR name = '__construct' ELSE NOT starts_with(name, '__') AND name NOT IN ('if', 'for', 'while', 'switch', 'catch', 'function', 'return') AND NOT (suffix(lower(file_path), '.go') AND name = 'init') END"
 
 QUERIES = {
-    "declared_symbols": (declared_symbols, f"WITH {_LINES}, {_DECLARED} SELECT file_id, line_no, kind, name FROM declared WHERE kind IS NOT NULL"),
+    "declared_symbols": (declared_symbols, f"WITH {_LINES}, {_DECLARED} SELECT file_id, line_no, kind, name FROM declared WHERE kind IS NOT NULL AND NOT ({_SPOKEN})"),
     "symbol_parents": (symbol_parents, None),
     "type_edges": (type_edges, None),
     "import_lines": (import_lines, None),

@@ -90,3 +90,11 @@ def as_html(documents: DataFrame, keys: list[str]) -> DataFrame:
 
 def document_name(project: Column, ending: str) -> Column:
     return F.concat(F.lit("handover_"), F.regexp_replace(project, r'[\\/:*?"<>|\s]+', "_"), F.lit(ending))
+
+
+def written(documents: DataFrame, keys: list[str], folder: str, ending: str = ".md") -> None:
+    """Writes documents to ``folder``: ``.html`` gives pages, ``.pdf`` is refused, every other ending Markdown. One row of the text output is one document."""
+    if ending == ".pdf":
+        raise ValueError("PDF is not written; use .html")
+    pages = as_html(documents, keys).withColumnRenamed("html", "value") if ending == ".html" else documents.withColumnRenamed("markdown", "value")
+    pages.withColumn("name", document_name(F.concat_ws("_", *keys), ending)).select("name", "value").write.mode("overwrite").parquet(folder)

@@ -102,3 +102,5 @@ IMPORT_RULES = [
 CALL = r"((?:[A-Za-z_$][A-Za-z0-9_$]*(?:\.|->|::|\?\.))*[A-Za-z_$][A-Za-z0-9_$]*!?)\("
 NO_CALLS = [*NO_NAMES, "def", "class", "func", "fn", "elif", "except", "and", "or", "not", "in", "is", "lambda", "print", "print!", "len", "super", "array", "list", "isset", "empty", "unset", "echo", "select", "defer", "range", "make", "append", "function", "await", "typeof", "import", "from", "yield", "del"]
 COMMENT_LINE = r"^\s*(?://|\*|/\*|#[^!\[i]|#$)"
+#: Lines that declare a function, of which the name is no call.
+DECLARES = r"^\s*(?:(?:export|default|public|protected|private|static|final|abstract|async|override|pub|unsafe|virtual|internal)\s+)*(?:def|function|func|fn|class|interface|import|use|using|package)\b|^\s*(?:(?:public|protected|private|static|final|abstract|async|override|internal|virtual)\s+)+[^=;]*\([^;]*\{\s*$"
