@@ -105,6 +105,11 @@ def numbered(names: list[str]) -> int:
     return max(map(len, families.values()), default=0)
 
 
+def _solid(text: str) -> int:
+    """Characters that are no white space."""
+    return sum(map(len, text.split()))
+
+
 def reasons_of(path: str, text: str, owner: str) -> list[str]:
     """What the notices and the composition of one file tell: ``generated``, ``minified``, ``data`` or ``vendored``."""
     out = []
@@ -123,14 +128,14 @@ def reasons_of(path: str, text: str, owner: str) -> list[str]:
             if not first or not owner.lower().startswith(first[:5]):
                 out.append("vendored")
     code = _REMARK.sub("", text)
-    solid = len(re.sub(r"\s", "", text))
-    literals = sum(len(re.sub(r"\s", "", m.group())) for m in _LITERAL.finditer(code))
-    if solid and literals >= LITERAL_CHARS and literals >= LITERAL_SHARE * len(re.sub(r"\s", "", code)) and literals >= 0.5 * solid:
+    solid = _solid(text)
+    literals = sum(_solid(m.group()) for m in _LITERAL.finditer(code))
+    if solid and literals >= LITERAL_CHARS and literals >= LITERAL_SHARE * _solid(code) and literals >= 0.5 * solid:
         out.append("data")
     bare = _QUOTED.sub('""', code)
     lines = [line for line in bare.split("\n") if line.strip()]
     if lines and "data" not in out:
-        blanks = sum(c in " \t" for c in bare)
+        blanks = bare.count(" ") + bare.count("\t")
         if len(bare) >= CODE_LINE_CHARS * len(lines) and blanks <= BLANK_SHARE * len(bare):
             out.append("minified")
     return out

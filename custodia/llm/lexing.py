@@ -10,6 +10,7 @@ If that stands in an earlier chunk, the scan of the chunk stops there and goes o
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 import regex
@@ -32,20 +33,21 @@ class Token(NamedTuple):
 
 
 _BLANK = r"[ \t\r\f\v\u00a0\ufeff]*+"
-_BLANKS = regex.compile(_BLANK)
+_BLANKS = re.compile(_BLANK)
 
 
-def _compiled(strings: str, comments: str, word: str, multi: str, operators: str = _OPERATORS) -> regex.Pattern:
-    return regex.compile(rf"{_BLANK}(?:(?P<n>\n)|(?P<w>{word})|(?P<c>{comments})|(?P<m>{multi})|(?P<s>{strings})|(?P<d>{_NUMBER})|(?P<k>[()\[\]{{}}])|(?P<o>{operators}))")
+def _compiled(strings: str, comments: str, word: str, multi: str, operators: str = _OPERATORS) -> re.Pattern:
+    return re.compile(rf"{_BLANK}(?:(?P<n>\n)|(?P<w>{word})|(?P<c>{comments})|(?P<m>{multi})|(?P<s>{strings})|(?P<d>{_NUMBER})|(?P<k>[()\[\]{{}}])|(?P<o>{operators}))")
 
 
-_WORD = r"[\p{L}_$][\p{L}\p{N}\p{M}_$]*"
+_KINDS = " nwcmsdko"  #: by the groups of the rules
+_WORD = r"(?:[^\W\d]|\$)[\w$\u0300-\u036f]*"
 _RULES = {
-    "Python": _compiled(rf"{_FORMATTED}|{_PREFIX}?(?:{'|'.join(_SIMPLE.values())})", r"\#[^\n]*|\\\r?\n", rf"(?!{_PREFIX}['\"])[\p{{L}}_][\p{{L}}\p{{N}}\p{{M}}_]*", rf"{_PREFIX}?(?:'''|\"\"\")", _PYTHON_OPERATORS),
+    "Python": _compiled(rf"{_FORMATTED}|{_PREFIX}?(?:{'|'.join(_SIMPLE.values())})", r"\#[^\n]*|\\\r?\n", rf"(?!{_PREFIX}['\"])[^\W\d][\w\u0300-\u036f]*", rf"{_PREFIX}?(?:'''|\"\"\")", _PYTHON_OPERATORS),
     "JavaScript": _compiled("|".join(_SIMPLE.values()), r"//[^\n]*", rf"\#?{_WORD}", r"/\*|`"),
-    "Go": _compiled(_SIMPLE['"'] + r"|'(?:[^'\\\n]|\\(?:x[\da-fA-F]{2}|u[\da-fA-F]{4}|U[\da-fA-F]{8}|[0-7]{3}|[abfnrtv\\'\"]))'", r"//[^\n]*", r"[\p{L}_][\p{L}\p{N}_]*", r"/\*|`"),
+    "Go": _compiled(_SIMPLE['"'] + r"|'(?:[^'\\\n]|\\(?:x[\da-fA-F]{2}|u[\da-fA-F]{4}|U[\da-fA-F]{8}|[0-7]{3}|[abfnrtv\\'\"]))'", r"//[^\n]*", r"[^\W\d]\w*", r"/\*|`"),
     "Java": _compiled(_SIMPLE['"'] + r"|'(?:[^'\\\n]|\\(?:u+[\da-fA-F]{4}|[0-7]{1,3}|[btnfrs\"'\\]))'", r"//[^\n]*", _WORD, r'/\*|"""'),
-    "PHP": _compiled(r"(?!)", r"(?://|\#(?!\[))(?:(?!\?>)[^\n])*", r"\$?\\?[\p{L}_](?:[\p{L}\p{N}_]|\\(?=[\p{L}_]))*|\$(?=[\${])", r"/\*|'|\"|`|<<<[ \t]*(?:\w+|'\w+'|\"\w+\")[ \t]*\r?\n|\?>"),
+    "PHP": _compiled(r"(?!)", r"(?://|\#(?!\[))(?:(?!\?>)[^\n])*", r"\$?\\?[^\W\d](?:\w|\\(?=[^\W\d]))*|\$(?=[\${])", r"/\*|'|\"|`|<<<[ \t]*(?:\w+|'\w+'|\"\w+\")[ \t]*\r?\n|\?>"),
 }
 _RULES["TypeScript"] = _RULES["JavaScript"]
 _PATTERN = regex.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
@@ -125,8 +127,9 @@ def scan(language: str, text: str, state: str, out: list[Token], comments: list[
                 out.append(Token("!", text[at], at, fresh))
                 at, fresh = at + 1, False
             continue
-        kind = found.lastgroup
-        start, at = found.span(kind)
+        place = found.lastindex
+        start, at = found.span(place)
+        kind = _KINDS[place]
         token = text[start:at]
         if kind == "w" or (kind == "o" and token[0] != "/"):
             out.append(Token(kind, token, start, fresh))
