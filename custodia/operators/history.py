@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from custodia.functions.history import author_key, merged_status, stat_path, status_of
@@ -55,37 +55,64 @@ def authored_changes(commits: DataFrame, file_changes: DataFrame) -> DataFrame:
     return changes_once(file_changes).join(delivered_once(commits).withColumn("author", key), ["repo_id", "hash"])
 
 
+def _endings(path: Column) -> Column:
+    """What is left of a path without its first segment, its first two, and so on."""
+    parts = F.split(path, "/")
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "/"))).otherwise(F.array().cast("array<string>"))
+
+
 def with_line_stats(changes: DataFrame, stats: DataFrame) -> DataFrame:
     """Changes with their line counts: by path, else by previous path, else by a path that ends with the other; 0 if none fits.
 
-    Keys are ``repo_id`` and ``hash``. Of several that fit by ending, the first in the log counts. All
-    three steps share the partitioning by commit.
+    Keys are ``repo_id`` and ``hash``. Of several that fit by ending, the first in the log counts. Endings are
+    matched by joins on their text, so the files of a large commit never meet all at once.
     """
     commit = ["repo_id", "hash"]
     exact = stats.groupBy(*commit, "stat_path").agg(F.min_by(F.struct("additions", "deletions"), "stat_idx").alias("s"))
     first = changes.join(exact.select(*commit, F.col("stat_path").alias("file_path"), F.col("s").alias("s1")), [*commit, "file_path"], "left")
     second = first.join(exact.select(*commit, F.col("stat_path").alias("previous_path"), F.col("s").alias("s2")), [*commit, "previous_path"], "left")
     open_rows = second.where("s1 is null and s2 is null").select(*commit, "change_idx", "file_path")
-    ends = F.endswith("file_path", F.concat(F.lit("/"), F.col("stat_path"))) | F.endswith("stat_path", F.concat(F.lit("/"), F.col("file_path")))
-    third = open_rows.join(stats, commit).where(ends).groupBy(*commit, "change_idx").agg(F.min_by(F.struct("additions", "deletions"), "stat_idx").alias("s3"))
+    named = stats.select(*commit, "stat_idx", "stat_path", "additions", "deletions")
+    longer = open_rows.withColumn("stat_path", F.explode(_endings(F.col("file_path")))).join(named, [*commit, "stat_path"])
+    shorter = open_rows.join(named.withColumn("file_path", F.explode(_endings(F.col("stat_path")))), [*commit, "file_path"])
+    both = longer.select(*commit, "change_idx", "stat_idx", "additions", "deletions").unionByName(shorter.select(*commit, "change_idx", "stat_idx", "additions", "deletions"))
+    third = both.groupBy(*commit, "change_idx").agg(F.min_by(F.struct("additions", "deletions"), "stat_idx").alias("s3"))
     found = second.join(third, [*commit, "change_idx"], "left").withColumn("s", F.coalesce("s1", "s2", "s3"))
     zero = lambda name: F.coalesce(F.col(f"s.{name}"), F.lit(0)).cast("long").alias(name)
     return found.select(*commit, "change_idx", "status", "file_path", "previous_path", zero("additions"), zero("deletions"))
 
 
-def file_profiles(changes: DataFrame) -> DataFrame:
-    """What each author did to each file, by the path at that time; the status depends on the order of the changes."""
+BLOCK_COMMITS = 4_096
+
+
+def file_profiles(changes: DataFrame, block_commits: int = BLOCK_COMMITS) -> DataFrame:
+    """What each author did to each file, by the path at that time; the status depends on the order of the changes.
+
+    The changes of ``block_commits`` neighbouring commits become one map, from each status held before to the one held after
+    them. Maps are composed in order, so a file that one author changes very often is never held change by change in one row.
+    """
+    keys = ["repo_id", "author", "file_path"]
     order = F.struct("commit_seq", "hash", "change_idx")
-    grouped = changes.groupBy("repo_id", "author", "file_path").agg(
+    blocks = changes.withColumn("block", F.floor(F.col("commit_seq") / block_commits)).groupBy(*keys, "block").agg(
         F.count(F.lit(1)).alias("change_count"),
         F.countDistinct("hash").alias("commit_count"),
-        F.min_by("commit_date", order).alias("first_date"),
-        F.max_by("commit_date", order).alias("last_date"),
-        F.max_by("short_hash", order).alias("last_hash"),
+        F.min(F.struct(order.alias("at"), "commit_date")).alias("first"),
+        F.max(F.struct(order.alias("at"), "commit_date", "short_hash")).alias("last"),
         *(F.count_if(F.col("status") == s).alias(s) for s in STATUSES),
         F.array_sort(F.collect_list(F.struct("commit_seq", "hash", "change_idx", "status"))).alias("history"),
     )
-    return grouped.withColumn("status", F.aggregate("history", F.lit("other"), lambda held, row: merged_status(held, row["status"]))).drop("history")
+    held = F.array(*(F.lit(s) for s in STATUSES))
+    after = F.array(*(F.aggregate("history", F.lit(s), lambda state, row: merged_status(state, row["status"])) for s in STATUSES))
+    grouped = blocks.withColumn("after", after).groupBy(*keys).agg(
+        F.sum("change_count").alias("change_count"),
+        F.sum("commit_count").alias("commit_count"),
+        F.min("first")["commit_date"].alias("first_date"),
+        F.max("last").alias("last"),
+        *(F.sum(s).alias(s) for s in STATUSES),
+        F.array_sort(F.collect_list(F.struct("block", "after"))).alias("steps"),
+    )
+    status = F.aggregate("steps", F.lit("other"), lambda state, step: F.element_at(step["after"], F.array_position(held, state).cast("int")))
+    return grouped.select(*keys, "change_count", "commit_count", "first_date", F.col("last.commit_date").alias("last_date"), F.col("last.short_hash").alias("last_hash"), *STATUSES, status.alias("status"))
 
 
 def _components(edges: DataFrame) -> DataFrame:

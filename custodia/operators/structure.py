@@ -16,9 +16,12 @@ from custodia.rules.structure import CALL, COMMENT_LINE, DECLARES, IMPORT_RULES,
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """``line_no`` from 1 and ``line`` of each file that is written in a known language, comment lines left out."""
+    """``line_no`` from 1 and ``line`` of each file that is written in a known language, comment lines left out; in Vue files the lines of the scripts count."""
     known = files.where(F.col("file_language").isin(sorted({r.language for r in RULES})))
-    split = known.select("file_id", "repo_id", "file_path", "file_language", F.posexplode(F.split("content", "\r?\n")).alias("place", "line"))
+    # of a single-file component the script blocks, one after the other
+    scripts = F.array_join(F.regexp_extract_all("content", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), 1), "\n")
+    text = F.when(F.col("file_language") == "Vue", scripts).otherwise(F.col("content"))
+    split = known.select("file_id", "repo_id", "file_path", "file_language", F.posexplode(F.split(text, "\r?\n")).alias("place", "line"))
     return split.where(~F.col("line").rlike(COMMENT_LINE)).select("file_id", "repo_id", "file_path", "file_language", (F.col("place") + 1).alias("line_no"), "line")
 
 

@@ -32,7 +32,7 @@ def author_profile(spark, d):
 
 
 def changed_file_profile(spark, d):
-    return history.file_profiles(_authored(spark, d)).drop("history")
+    return history.file_profiles(_authored(spark, d))
 
 
 def status_merge_fold(spark, d):

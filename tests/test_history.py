@@ -81,3 +81,20 @@ def test_line_counts_by_path_previous_path_and_ending(spark):
     changes = spark.createDataFrame([("r", "h", 0, "modified", "a/x.py", None), ("r", "h", 1, "renamed", "b.py", "old.py"), ("r", "h", 2, "modified", "deep/z.py", None), ("r", "h", 3, "added", "none.py", None)], "repo_id string, hash string, change_idx int, status string, file_path string, previous_path string")
     stats = spark.createDataFrame([("r", "h", 0, "a/x.py", 1, 1), ("r", "h", 1, "old.py", 2, 2), ("r", "h", 2, "z.py", 3, 3), ("r", "h", 3, "q/deep/z.py", 9, 9)], "repo_id string, hash string, stat_idx int, stat_path string, additions long, deletions long")
     assert {(r["file_path"], r["additions"]) for r in history.with_line_stats(changes, stats).collect()} == {("a/x.py", 1), ("b.py", 2), ("deep/z.py", 3), ("none.py", 0)}
+
+
+def test_statuses_by_blocks_of_commits(spark):
+    random.seed(9)
+    codes = ["added", "modified", "deleted", "renamed", "copied", "other"]
+    rows = [("r", f"a{k % 3}", f"p{k % 4}", k, f"h{k}", 0, random.choice(codes), f"d{k}", f"s{k}") for k in range(120)]
+    df = spark.createDataFrame(rows, "repo_id string, author string, file_path string, commit_seq long, hash string, change_idx int, status string, commit_date string, short_hash string")
+    got = [sorted(map(tuple, history.file_profiles(df, block).collect())) for block in (1, 7, 10_000)]
+    assert got[0] == got[1] == got[2]
+    wanted = {}
+    for repo, author, path, _, _, _, status, date, short in rows:
+        held = wanted.setdefault((repo, author, path), ["other", 0, date, None, None])
+        held[0] = history._merged(held[0], status)
+        held[1] += 1
+        held[3:] = date, short
+    rows = {(r["repo_id"], r["author"], r["file_path"]): [r["status"], r["change_count"], r["first_date"], r["last_date"], r["last_hash"]] for r in history.file_profiles(df, 7).collect()}
+    assert rows == wanted
