@@ -131,5 +131,5 @@ def test_responsibility_and_file_facts(spark):
 def test_scripts_of_components(spark):
     text = "<template>\n  <a @click=\"go() {\"/>\n  function no() {\n</template>\n<script lang=\"ts\">\nexport class A extends B {}\n</script>\n<script setup>\nimport x from './x'\nconst go = () => run()\n</script>\n<style>\n.b() {\n</style>\n"
     df = spark.createDataFrame([(1, "r", "a.vue", "Vue", text), (2, "r", "b.vue", "Vue", "<template/>")], "file_id long, repo_id string, file_path string, file_language string, content string")
-    assert {(r["line_no"], r["kind"], r["name"]) for r in structure.declarations(df).collect()} == {(2, "class", "A"), (5, "function", "go")}
+    assert {(r["line_no"], r["kind"], r["name"]) for r in structure.declarations(df).collect()} == {(2, "class", "A"), (6, "function", "go")}
     assert [r["import_path"] for r in structure.imported(df).collect()] == ["./x"]
