@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from custodia.functions.paths import directory
+from custodia.functions.paths import directory, extension
 from custodia.rules.frameworks import ANY_VERBS, ENTRIES, GENERIC_MODULES, INDICATORS, MODULES, PATTERN_INDICATORS, REGISTRY, THRESHOLDS
 
 
@@ -15,7 +15,7 @@ def indicator_table(spark: SparkSession) -> DataFrame:
 
 
 def module_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([tuple(m) for m in MODULES], "framework string, ordinal int, name string, kind string, directory string")
+    return spark.createDataFrame([tuple(m) for m in MODULES], "framework string, ordinal int, name string, kind string, directory string, endings string")
 
 
 def parent_directories(files: DataFrame) -> DataFrame:
@@ -50,11 +50,12 @@ def module_files(files: DataFrame, frameworks: DataFrame) -> DataFrame:
     """The files of each module of each repository's first framework."""
     first = frameworks.where("place = 1").select("repo_id", "framework")
     wanted = first.join(F.broadcast(module_table(files.sparkSession)), "framework")
-    # a file lies in each of its parent directories, so the modules are joined on the directory
+    # a file lies in each of its parent directories, and in any directory, so the modules are joined on the directory
     parts = F.split(directory(F.col("file_path")), "/")
     every = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    placed = files.where(F.col("file_path").contains("/")).select("repo_id", "file_path", F.explode(every).alias("directory"))
-    return placed.join(wanted, ["repo_id", "directory"]).select("repo_id", "framework", "ordinal", "name", "kind", "file_path").distinct()
+    placed = files.select("repo_id", "file_path", F.explode(F.concat(F.array(F.lit("*")), every)).alias("directory")).where("directory <> ''")
+    fits = (F.col("endings") == "") | F.array_contains(F.split("endings", " "), extension(F.col("file_path")))
+    return placed.join(wanted, ["repo_id", "directory"]).where(fits).select("repo_id", "framework", "ordinal", "name", "kind", "file_path").distinct()
 
 
 def generic_modules(files: DataFrame, found: DataFrame | None = None) -> DataFrame:

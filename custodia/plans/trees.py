@@ -149,7 +149,7 @@ _HINTS = {
     "background_jobs": f"contains({_LOW}, 'jobs/') OR contains({_LOW}, 'commands/')", "deleted_files": "status = 'deleted'", "renamed_files": "status = 'renamed'",
 }
 _RULES = ", ".join(f"({sql.quoted(i.framework)}, {REGISTRY.index(i.framework)}, {i.ordinal}, {sql.quoted(i.path)}, [{', '.join(map(sql.quoted, i.needles))}]::VARCHAR[], {i.weight}, {THRESHOLDS[i.framework]})" for i in INDICATORS)
-_MODULES = ", ".join(f"({sql.quoted(m.framework)}, {m.ordinal}, {sql.quoted(m.name)}, {sql.quoted(m.kind)}, {sql.quoted(m.directory)})" for m in MODULES)
+_MODULES = ", ".join(f"({sql.quoted(m.framework)}, {m.ordinal}, {sql.quoted(m.name)}, {sql.quoted(m.kind)}, {sql.quoted(m.directory)}, {sql.quoted(m.endings)})" for m in MODULES)
 _SCORES = f"""{sql.SOURCES}, rules(framework, registry, ordinal, path, needles, weight, threshold) AS (VALUES {_RULES}),
 parts AS (SELECT DISTINCT repo_id, string_split({sql.directory('file_path')}, '/') AS p FROM sources WHERE contains(file_path, '/')),
 folders AS (SELECT DISTINCT repo_id, list_aggregate(p[1:n], 'string_agg', '/') || '/' AS path FROM (SELECT repo_id, p, unnest(range(1, len(p) + 1)) AS n FROM parts)),
@@ -185,7 +185,7 @@ SELECT repo_id, author, ordinal, name, module_type, count(*) AS file_count, stri
     "author_hints": (author_hints, f"WITH {sql.RISK} SELECT repo_id, author, concat_ws(',', " + ", ".join(f"CASE WHEN bool_or({t}) THEN '{n}' END" for n, t in _HINTS.items()) + ") AS hints FROM risked GROUP BY ALL"),
     "project_commands": (project_commands, None),
     "framework_score": (framework_score, f"WITH {_SCORES} SELECT repo_id, framework, confidence, evidence, place FROM frameworks"),
-    "module_scan": (module_scan, f"""WITH {_SCORES}, module_rules(framework, ordinal, name, kind, directory) AS (VALUES {_MODULES}), placed AS (SELECT DISTINCT repo_id, file_path, list_aggregate(p[1:n], 'string_agg', '/') AS directory FROM (SELECT repo_id, file_path, p, unnest(range(1, len(p) + 1)) AS n FROM (SELECT repo_id, file_path, string_split({sql.directory('file_path')}, '/') AS p FROM sources WHERE contains(file_path, '/')))),
-found AS (SELECT DISTINCT repo_id, framework, ordinal, name, kind, file_path FROM placed JOIN frameworks USING (repo_id) JOIN module_rules USING (framework, directory) WHERE place = 1)
+    "module_scan": (module_scan, f"""WITH {_SCORES}, module_rules(framework, ordinal, name, kind, directory, endings) AS (VALUES {_MODULES}), placed AS (SELECT DISTINCT repo_id, file_path, '*' AS directory FROM sources UNION SELECT DISTINCT repo_id, file_path, list_aggregate(p[1:n], 'string_agg', '/') AS directory FROM (SELECT repo_id, file_path, p, unnest(range(1, len(p) + 1)) AS n FROM (SELECT repo_id, file_path, string_split({sql.directory('file_path')}, '/') AS p FROM sources WHERE contains(file_path, '/')))),
+found AS (SELECT DISTINCT repo_id, framework, ordinal, name, kind, file_path FROM placed JOIN frameworks USING (repo_id) JOIN module_rules USING (framework, directory) WHERE place = 1 AND (endings = '' OR list_contains(string_split(endings, ' '), {sql.extension('file_path')})))
 SELECT repo_id, framework, name, kind, count(*) AS file_count, min(file_path) AS first_path FROM found GROUP BY ALL"""),
 }

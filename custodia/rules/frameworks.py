@@ -22,6 +22,7 @@ class ModuleRule(NamedTuple):
     name: str
     kind: str
     directory: str
+    endings: str = ""  #: extensions of its files, all if empty
 
 
 # Threshold and indicators of each framework, in the order in which they are tried.
@@ -112,3 +113,19 @@ for _line in _MODULES.strip().split("\n"):
         _title, _, _tail = _entry.partition(" (")
         _kind, _, _dirs = _tail.partition(") ")
         MODULES.extend(ModuleRule(_name, _k, _title, _kind, d.strip()) for d in _dirs.split(","))
+
+# Modules whose files have certain extensions: framework, name, kind, directories, extensions. ``*`` is any directory that holds such files.
+ENDED_MODULES = [
+    ("Django", "Views", "controller", ["*"], ".py"), ("Django", "Templates", "view", ["templates"], ".html"), ("Django", "Configuration", "config", ["config"], ".py .yaml .yml"), ("Flask", "Python Source", "service", ["*"], ".py"), ("Flask", "Templates", "view", ["templates"], ".html"),
+    ("Angular", "App Modules", "component", ["src/app"], ".ts .html .scss .css"), ("Angular", "Components", "component", ["src/app", "src/components"], ".ts .html"), ("Angular", "Services", "service", ["src/app", "src/services"], ".ts"), ("Angular", "Routing", "route", ["src/app"], ".ts"), ("Angular", "Configuration", "config", ["src/environments"], ".ts .json"),
+    ("Nuxt", "Pages", "view", ["pages", "src/pages"], ".vue .ts .js"), ("Nuxt", "Components", "component", ["components", "src/components"], ".vue .ts .js"), ("Nuxt", "Server Routes", "route", ["server/api", "server/routes"], ".ts .js"), ("Nuxt", "Composables", "util", ["composables", "src/composables"], ".ts .js"),
+    ("SvelteKit", "Routes", "route", ["src/routes"], ".svelte .js .ts"), ("SvelteKit", "Library", "component", ["src/lib"], ".svelte .js .ts"), ("Sinatra", "Ruby Source", "service", ["*", "routes", "controllers", "services"], ".rb"), ("Sinatra", "Views", "view", ["views"], ".erb .haml .slim"),
+    ("ASP.NET Core", "Controllers", "controller", ["Controllers", "src/Controllers"], ".cs .fs .vb"), ("ASP.NET Core", "Pages", "view", ["Pages", "Views"], ".cshtml .razor"), ("ASP.NET Core", "Models", "model", ["Models", "Data", "Entities"], ".cs .fs .vb"), ("ASP.NET Core", "Services", "service", ["Services"], ".cs .fs .vb"),
+    ("Android", "Activities / Kotlin", "controller", ["app/src/main/kotlin"], ".kt .java"), ("Android", "Activities / Java", "controller", ["app/src/main/java"], ".java .kt"), ("Android", "Resources", "view", ["app/src/main/res"], ".xml"), ("Android", "Configuration", "config", ["app"], ".gradle .kts .xml"),
+    ("iOS", "Swift Sources", "service", ["Sources", "ios", "App"], ".swift .m .mm"), ("iOS", "Resources", "view", ["Resources", "Assets.xcassets", "ios"], ".storyboard .xib .plist"), ("Ktor", "Kotlin Source", "service", ["src/main/kotlin"], ".kt .kts"),
+    ("Flutter", "Android Shell", "config", ["android"], ".gradle .kt .java .xml"), ("Flutter", "iOS Shell", "config", ["ios"], ".swift .m .mm .plist .pbxproj"), ("Rails", "Configuration", "config", ["config"], ".rb .yml .yaml"), ("Phoenix", "Contexts", "service", ["lib"], ".ex"),
+]
+_numbers: dict[str, int] = {}
+for _framework, _title, _kind, _dirs, _endings in ENDED_MODULES:
+    _numbers[_framework] = _numbers.get(_framework, 9) + 1  # behind the modules above
+    MODULES.extend(ModuleRule(_framework, _numbers[_framework], _title, _kind, d, _endings) for d in _dirs)

@@ -74,3 +74,19 @@ def test_commands_that_manifests_and_files_imply(spark):
     assert got == {
         "rails": ["cd x && bundle install", "cd x && bundle exec rails server"], "phx": ["mix deps.get", "mix phx.server", "mix run"], "mix": ["mix deps.get", "mix run"], "boot": ["mvn spring-boot:run"], "net": ["dotnet run --project a/b.csproj"], "dart": ["flutter pub get", "flutter run"], "gradle": ["./gradlew bootRun"], "make": ["make"],
     }
+
+
+def test_modules_by_directory_and_extension(spark):
+    held = {
+        "Django": {"shop/views.py": "", "templates/a.html": "", "templates/b.txt": ""}, "Nuxt": {"pages/a.vue": "", "server/api/b.ts": "", "pages/c.md": ""}, "ASP.NET Core": {"Controllers/A.cs": "", "Pages/a.razor": ""}, "Android": {"app/src/main/res/a/b.xml": ""}, "iOS": {"Sources/a.swift": "", "ios/b.plist": ""}, "Ktor": {}, "Sinatra": {"lib/x.rb": ""},
+    }
+    rows = [(name, path, content) for name, extra in held.items() for path, content in (PROJECTS[name][0] | extra).items()]
+    df = spark.createDataFrame(rows, "repo_id string, file_path string, content string")
+    got = {}
+    for r in frameworks.module_files(df, frameworks.framework_scores(df)).collect():
+        got.setdefault(r["repo_id"], set()).add((r["name"], r["file_path"]))
+    assert got == {
+        "Django": {("Views", "manage.py"), ("Views", "shop/views.py"), ("Templates", "templates/a.html")}, "Nuxt": {("Pages", "pages/a.vue"), ("Server Routes", "server/api/b.ts")}, "ASP.NET Core": {("Controllers", "Controllers/A.cs"), ("Pages", "Pages/a.razor")},
+        "Android": {("Activities / Kotlin", "app/src/main/kotlin/A.kt"), ("Resources", "app/src/main/res/a/b.xml"), ("Configuration", "app/build.gradle"), ("Configuration", "app/src/main/res/a/b.xml"), ("Configuration", "app/src/main/kotlin/A.kt")} - {("Configuration", "app/src/main/kotlin/A.kt")},
+        "iOS": {("Swift Sources", "Sources/a.swift"), ("Resources", "ios/b.plist")}, "Ktor": {("Kotlin Source", "src/main/kotlin/A.kt")}, "Sinatra": {("Ruby Source", "app.rb"), ("Ruby Source", "lib/x.rb")},
+    }
