@@ -267,31 +267,31 @@ def _operator(language: str, text: str) -> str:
     return _OPERATORS.get(text) or (text if text in _KEPT else "=" if text.endswith("=") and text not in ("==", "===", "!=", "!==", "<=", ">=") else "o")
 
 
-@functools.lru_cache(maxsize=10_000)
-def _operator_code(language: str, text: str) -> str:
-    return _operator(language, text) + text
+#: Codes of words and operators that are fixed in each language; operators are added as they are met.
+_CODES: dict[str, dict[str, str]] = {language: {word: symbol + word for word, symbol in words.items()} for language, words in WORDS.items()}
+for _soft in ("match", "case", "type"):
+    _CODES["Python"][_soft] = "i" + _soft
 
 
 def code_of(language: str, token: Token, margin: str = "") -> str:
     """The code of a token that is no closing bracket."""
-    if token.kind == "w":
-        text = token.text
-        symbol = WORDS[language].get(text.lower() if language == "PHP" else text)
-        if symbol is not None:
-            code = symbol + text
-        elif text[0] == "$" and language == "PHP":
-            code = "V"
-        else:
-            code = "i" + text if language == "Python" and text in ("match", "case", "type") else "i"
-    elif token.kind == "o":
-        code = _operator_code(language, token.text)
-    elif token.kind == "(":
-        code = _OPEN[token.text] + token.text
-    elif token.kind == "s" and language == "Python" and token.text[-3:] not in ("'''", '"""') and "f" in token.text[:2].lower().split(token.text[-1])[0]:
-        code = "s" if _braces_match(token.text) else "\0"
+    kind, text, _, fresh = token
+    codes = _CODES[language]
+    if kind == "w":
+        code = codes.get(text.lower() if language == "PHP" else text)
+        if code is None:
+            code = "V" if text[0] == "$" and language == "PHP" else "i"
+    elif kind == "o":
+        code = codes.get(text)
+        if code is None:
+            code = codes[text] = _operator(language, text) + text
+    elif kind == "(":
+        code = _OPEN[text] + text
+    elif kind == "s" and language == "Python" and text[-3:] not in ("'''", '"""') and "f" in text[:2].lower().split(text[-1])[0]:
+        code = "s" if _braces_match(text) else "\0"
     else:
-        code = token.kind if token.kind in "nsr" else "\0"
-    if not token.fresh:
+        code = kind if kind in "nsr" else "\0"
+    if not fresh:
         return code
     return f"\n{margin}\n{code}" if language == "Python" else "\n" + code
 

@@ -69,21 +69,24 @@ def _extend(language: str, parts: list, more: list) -> bool:
 def _gathered(language: str, text: str, tokens: list[Token]) -> tuple[list, bool]:
     """The parts of these tokens, and whether something in them is broken."""
     parts: list = [[]]
+    held = parts[-1]
+    python = language == "Python"
     for token in tokens:
-        if token.kind == ")":
+        kind = token.kind
+        if kind == ")":
             if not _close(language, parts, "\n" + token.text if token.fresh else token.text):
                 return parts, True
-        elif token.kind == "!":
+            held = parts[-1]
+        elif kind == "!":
             return parts, True
         else:
-            margin = ""
-            if token.fresh and language == "Python":
-                margin = text[text.rfind("\n", 0, token.at) + 1 : token.at].replace("﻿", "").rpartition("\f")[2]
+            margin = text[text.rfind("\n", 0, token.at) + 1 : token.at].replace("\ufeff", "").rpartition("\f")[2] if python and token.fresh else ""
             code = code_of(language, token, margin)
-            if token.kind == "(":
-                parts.extend((code, []))
+            if kind == "(":
+                held = []
+                parts.extend((code, held))
             else:
-                parts[-1].append(code)
+                held.append(code)
     return parts, False
 
 
