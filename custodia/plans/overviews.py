@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from custodia.functions import paths
 from custodia.functions.text import snippet
 from custodia.operators import authors, frameworks, history, inventory, methods, overview, projects, relations, scope
-from custodia.plans import sql
+from custodia.plans import histories, sql
 from custodia.render import documents
 from custodia.sources.tables import table
 
@@ -168,14 +168,17 @@ def project_prompts(spark, d):
 _LABEL = "CASE " + " ".join(f"WHEN contains(lower(file_language), '{part}') THEN '{label}'" for part, label in overview.LABELS) + " ELSE coalesce(nullif(upper(file_language[1:2]), ''), '?') END"
 _ORDER = "coalesce(file_exists, true) DESC, change_count DESC NULLS LAST, CASE risk WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, file_path, status NULLS FIRST, additions NULLS FIRST, deletions NULLS FIRST, last_commit_date NULLS FIRST, module_name NULLS FIRST, file_language NULLS FIRST, file_exists NULLS FIRST"
 
+_KIND = "CASE " + " ".join(f"WHEN {dict(contains='contains', startswith='prefix', endswith='suffix')[t]}(file_path, {sql.quoted(n)}) THEN '{c}'" for c, t, n in paths.CATEGORIES) + " ELSE 'other' END"
+_DUTY = "CASE kind " + " ".join(f"WHEN '{code}' THEN " + (f"{sql.quoted(duty.partition('{}')[0])} || area || {sql.quoted(duty.partition('{}')[2])}" if "{}" in duty else sql.quoted(duty)) for code, duty in paths.DUTIES.items()) + " ELSE 'belongs to ' || area END"
+
 QUERIES = {
     "language_labels": (language_labels, f"SELECT label, count(*) AS files FROM (SELECT DISTINCT file_id, {_LABEL} AS label FROM source_files) GROUP BY ALL"),
     "visible_directories": (visible_directories, f"WITH {sql.INVENTORY}, counts AS (SELECT repo_id, string_split(file_path, '/')[1] AS directory, count(*) AS file_count FROM inventory WHERE contains(file_path, '/') AND NOT starts_with(file_path, '.') GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY file_count DESC, directory) AS place FROM counts) SELECT * FROM ranked WHERE place <= 50"),
     "fallback_histogram": (fallback_histogram, f"WITH {sql.INVENTORY}, counts AS (SELECT repo_id, language, count(*) AS file_count FROM inventory WHERE language IS NOT NULL AND language <> 'Unknown' GROUP BY ALL) SELECT *, round(file_count * 100 / sum(file_count) OVER (PARTITION BY repo_id))::BIGINT AS percent FROM counts"),
     "personal_order": (personal_order, f"WITH {sql.RISK}, ranked AS (SELECT *, row_number() OVER (PARTITION BY repo_id, author ORDER BY {_ORDER}) AS place FROM risked WHERE author IS NOT NULL) SELECT repo_id, author, place, file_path, change_count, risk FROM ranked WHERE place <= 60"),
-    "responsibilities": (responsibilities, None),
+    "responsibilities": (responsibilities, f"WITH {sql.FILES}, named AS (SELECT DISTINCT repo_id, file_path FROM files_once), told AS (SELECT repo_id, {_KIND} AS kind, {sql.business_area('file_path')} AS area FROM named) SELECT repo_id, {_DUTY} AS duty, count(*) AS files FROM told GROUP BY ALL"),
     "config_files": (config_files, f"WITH {sql.FILES}, held AS (SELECT DISTINCT repo_id, unnest(files) AS file_path, 0 AS part FROM modules WHERE module_type = 'config' UNION SELECT DISTINCT repo_id, file_path, 1 FROM files_once WHERE regexp_matches(lower(file_path), '(^|/)config/|\\.(ya?ml|toml|ini|conf|cfg|properties)$')), best AS (SELECT repo_id, min(part) AS best FROM held GROUP BY ALL) SELECT repo_id, file_path, part::BIGINT AS part FROM held JOIN best USING (repo_id) WHERE part = best"),
-    "commit_windows": (commit_windows, None),
+    "commit_windows": (commit_windows, f"SELECT repo_id, author, CASE WHEN first_date IS NULL AND last_date IS NULL THEN '-' WHEN coalesce(first_date = last_date, true) THEN coalesce(first_date, last_date) ELSE first_date || ' to ' || last_date END AS dates FROM ({histories.QUERIES['author_details'][1]}) WHERE author IS NOT NULL"),
     "project_reports": (project_reports, None),
     "full_personal_sizes": (full_personal_sizes, None),
     "project_prompts": (project_prompts, None),

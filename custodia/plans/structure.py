@@ -74,6 +74,8 @@ def _of_first(value) -> str:
 
 _SPOKEN = f"kind IN ('method', 'constructor') AND (name IN ({', '.join(map(sql.quoted, rules.NO_NAMES))}) OR regexp_matches(line, '^\\s*(?:return|throw|new|else|await|yield)\\b'))"
 _DECLARED = f"declared AS (SELECT DISTINCT file_id, file_language, line_no, line, {_of_first(lambda r: sql.quoted(r.kind))} AS kind, {_of_first(lambda r: f'regexp_extract(line, {sql.quoted(r.pattern)}, 1)')} AS name FROM lines)"
+_CALLS = f"""WITH {_LINES}, found AS (SELECT DISTINCT repo_id, file_id, unnest(regexp_extract_all(line, {sql.quoted(rules.CALL)}, 1)) AS call FROM lines WHERE file_language IN ({', '.join(map(sql.quoted, _IN_DATA))}) AND NOT regexp_matches(line, {sql.quoted(rules.DECLARES)}))
+SELECT repo_id, regexp_extract(call, '([A-Za-z0-9_$]*)!?$', 1) AS callee, count(DISTINCT file_id) AS files FROM found WHERE call NOT IN ({', '.join(map(sql.quoted, rules.NO_CALLS))}) GROUP BY ALL"""
 _METHODS = {".php": [(methods.PHP, 3, 4)], ".go": [(methods.GO, 2, 3)], ".java .kt": [(methods.JAVA, 3, 4)], ".ts .tsx .js .jsx .vue": [(p, 2, 3) for p in methods.SCRIPT]}
 _FOUND = " UNION ALL ".join(
     f"SELECT file_id, file_path, unnest(regexp_extract_all(content, {sql.quoted(p)}, {n})) AS name, unnest(regexp_extract_all(content, {sql.quoted(p)}, {a})) AS raw FROM sources WHERE {sql.extension('file_path')} IN ({', '.join(map(sql.quoted, ends.split()))})" for ends, found in _METHODS.items() for p, n, a in found
@@ -86,7 +88,7 @@ QUERIES = {
     "symbol_parents": (symbol_parents, None),
     "type_edges": (type_edges, None),
     "import_lines": (import_lines, None),
-    "call_names": (call_names, None),
+    "call_names": (call_names, _CALLS),
     "structure_totals": (structure_totals, None),
     "source_methods": (source_methods, None),
     "method_names": (method_names, f"WITH {sql.SOURCES}, found AS ({_FOUND}) SELECT DISTINCT file_id, name, CASE WHEN length({_PARAMS}) > 100 THEN {_PARAMS}[1:100] || '...' ELSE {_PARAMS} END AS params FROM found WHERE {_INCLUDED}"),
