@@ -148,6 +148,29 @@ SELECT DISTINCT doc_id FROM windows JOIN shared USING (h)
 """
 
 
+_P8_HITS = """
+WITH windows AS (
+  SELECT doc_id, i - 1 AS start, hash(substring(text, i, 400)) AS h
+  FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400)
+), shared AS (SELECT h FROM windows GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+hits AS (SELECT DISTINCT doc_id, start FROM windows JOIN shared USING (h)),
+marked AS (SELECT *, coalesce(start - lag(start) OVER (PARTITION BY doc_id ORDER BY start) > 400, true)::INT AS begins FROM hits),
+numbered AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY start) AS span FROM marked),
+spans AS (SELECT doc_id, min(start)::BIGINT AS span_start, (max(start) - min(start) + 400)::BIGINT AS span_chars FROM numbered GROUP BY doc_id, span)
+"""
+
+P8_SPANS = _P8_HITS + "SELECT doc_id, span_start, span_chars FROM spans"
+
+P8_SHARED_SHARE = (
+    _P8_HITS
+    + """, sums AS (SELECT doc_id, sum(span_chars)::BIGINT AS n FROM spans GROUP BY doc_id)
+SELECT doc_id, length(text)::BIGINT AS chars, CASE WHEN text IS NOT NULL THEN coalesce(n, 0) END AS shared_chars,
+  CASE WHEN length(text) > 0 THEN coalesce(n, 0) / length(text) WHEN length(text) = 0 THEN 0.0 END AS share
+FROM documents LEFT JOIN sums USING (doc_id)
+"""
+)
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -175,4 +198,6 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": P3_FOUND,
         "p7_found": P7_FOUND,
         "p8_found": P8_FOUND,
+        "p8_spans": P8_SPANS,
+        "p8_shared_share": P8_SHARED_SHARE,
     }
