@@ -1,7 +1,4 @@
-"""Indicators and modules of frameworks, as data.
-
-An indicator is ``path +weight`` or ``path ∋ needle|needle +weight``; a path that ends in ``/`` is a directory.
-"""
+"""Indicators and modules of frameworks, as data. A path that ends in ``/`` is a directory."""
 
 from __future__ import annotations
 
@@ -25,36 +22,40 @@ class ModuleRule(NamedTuple):
     endings: str = ""  #: extensions of its files, all if empty
 
 
-# Threshold and indicators of each framework, in the order in which they are tried.
-_INDICATORS = """
-Laravel 30: artisan +20; composer.json +15; app/Http/Controllers/ +15; routes/api.php +10; routes/web.php +10; config/app.php +10; phpunit.xml +5; database/migrations/ +10
-Gin 30: go.mod ∋ module +20; main.go +15; go.mod ∋ gin-gonic/gin +25; go.sum ∋ gin-gonic/gin +10
-ThinkPHP 30: composer.json ∋ topthink/framework +30; think +20; app/controller/ +15; app/model/ +10; route/ +10; config/ +10
-Symfony 30: composer.json ∋ symfony/framework-bundle|symfony/skeleton|symfony/runtime +30; bin/console +15; src/Controller/ +15; config/routes/ +10; config/bundles.php +10; templates/ +5
-Go-Zero 30: go.mod ∋ zeromicro/go-zero|tal-tech/go-zero +30; etc/ +10; internal/handler/ +15; internal/logic/ +15; internal/svc/ +10; internal/types/ +10
-Spring Boot 30: pom.xml ∋ spring-boot +15; build.gradle ∋ spring-boot +15; build.gradle.kts ∋ spring-boot +15; src/main/java/ +10; src/main/resources/application.yml +10; src/main/resources/application.properties +10
-Django 30: manage.py +25; requirements.txt ∋ Django|django +20; pyproject.toml ∋ django +20; Pipfile ∋ django +15; templates/ +5
-Flask 25: requirements.txt ∋ Flask|flask +25; pyproject.toml ∋ flask +20; app.py +15; wsgi.py +10; templates/ +5
-FastAPI 25: requirements.txt ∋ fastapi|FastAPI +25; pyproject.toml ∋ fastapi +20; main.py +10; routers/ +10; app/routers/ +10
-NestJS 30: package.json ∋ @nestjs/core +35; src/main.ts +15; nest-cli.json +20; src/modules/ +10
-Express 25: package.json ∋ "express"|'express' +30; app.js +10; server.js +10; routes/ +10; controllers/ +10
-React 25: package.json ∋ "react" +30; src/App.jsx +10; src/App.tsx +10; src/components/ +10
-Vue 25: package.json ∋ "vue" +15; vite.config.js +15; vite.config.ts +15; vue.config.js +10; src/main.js +10; src/main.ts +10; src/components/ +10; src/views/ +10; src/pages/ +10
-Next.js 30: package.json ∋ "next" +35; next.config.js +15; next.config.mjs +15; pages/ +10; app/ +10
-Angular 35: package.json ∋ @angular/core +35; angular.json +25; src/app/ +15
-Nuxt 35: package.json ∋ "nuxt"|"nuxt3"|@nuxt/ +35; nuxt.config.ts +20; nuxt.config.js +20; pages/ +10; server/ +10
-SvelteKit 35: package.json ∋ @sveltejs/kit +35; svelte.config.js +20; src/routes/ +20
-Electron 35: package.json ∋ "electron" +35; electron/ +20; electron/main.ts +10; main.js +10
-Rails 35: Gemfile ∋ rails +35; config/application.rb +20; config/routes.rb +15; app/controllers/ +15; app/models/ +10
-Sinatra 30: Gemfile ∋ sinatra +30; app.rb +15; config.ru +15
-ASP.NET Core 35: Program.cs ∋ WebApplication.CreateBuilder|CreateHostBuilder +20; Controllers/ +15; appsettings.json +10
-Flutter 35: pubspec.yaml ∋ flutter: +35; lib/ +15; android/ +10; ios/ +10
-Android 35: settings.gradle +15; settings.gradle.kts +15; app/build.gradle +20; app/src/main/AndroidManifest.xml +25; app/src/main/java/ +10; app/src/main/kotlin/ +10
-iOS 35: Podfile +25; Package.swift +20; Sources/ +10
-Phoenix 35: mix.exs ∋ :phoenix|Phoenix +35; config/config.exs +15; lib/ +10; priv/repo/ +10
-Ktor 35: build.gradle.kts ∋ io.ktor +30; build.gradle ∋ io.ktor +30; pom.xml ∋ ktor-server +25; src/main/kotlin/ +10; src/main/resources/application.conf +10
-Tauri 35: src-tauri/Cargo.toml ∋ tauri +35; src-tauri/tauri.conf.json +20; src-tauri/src/ +10
-"""
+# The threshold of each framework, in the order in which they are tried.
+THRESHOLDS = {"Laravel": 30, "Gin": 30, "ThinkPHP": 30, "Symfony": 30, "Go-Zero": 30, "Spring Boot": 30, "Django": 30, "Flask": 25, "FastAPI": 25, "NestJS": 30, "Express": 25, "React": 25, "Vue": 25, "Next.js": 30, "Angular": 35, "Nuxt": 35, "SvelteKit": 35, "Electron": 35, "Rails": 35, "Sinatra": 30, "ASP.NET Core": 35, "Flutter": 35, "Android": 35, "iOS": 35, "Phoenix": 35, "Ktor": 35, "Tauri": 35}
+REGISTRY = list(THRESHOLDS)
+# The indicators of each framework in order: path, what its content must hold one of, weight.
+_INDICATORS = {
+    "Laravel": [("artisan", (), 20), ("composer.json", (), 15), ("app/Http/Controllers/", (), 15), ("routes/api.php", (), 10), ("routes/web.php", (), 10), ("config/app.php", (), 10), ("phpunit.xml", (), 5), ("database/migrations/", (), 10)],
+    "Gin": [("go.mod", ("module",), 20), ("main.go", (), 15), ("go.mod", ("gin-gonic/gin",), 25), ("go.sum", ("gin-gonic/gin",), 10)],
+    "ThinkPHP": [("composer.json", ("topthink/framework",), 30), ("think", (), 20), ("app/controller/", (), 15), ("app/model/", (), 10), ("route/", (), 10), ("config/", (), 10)],
+    "Symfony": [("composer.json", ("symfony/framework-bundle", "symfony/skeleton", "symfony/runtime",), 30), ("bin/console", (), 15), ("src/Controller/", (), 15), ("config/routes/", (), 10), ("config/bundles.php", (), 10), ("templates/", (), 5)],
+    "Go-Zero": [("go.mod", ("zeromicro/go-zero", "tal-tech/go-zero",), 30), ("etc/", (), 10), ("internal/handler/", (), 15), ("internal/logic/", (), 15), ("internal/svc/", (), 10), ("internal/types/", (), 10)],
+    "Spring Boot": [("pom.xml", ("spring-boot",), 15), ("build.gradle", ("spring-boot",), 15), ("build.gradle.kts", ("spring-boot",), 15), ("src/main/java/", (), 10), ("src/main/resources/application.yml", (), 10), ("src/main/resources/application.properties", (), 10)],
+    "Django": [("manage.py", (), 25), ("requirements.txt", ("Django", "django",), 20), ("pyproject.toml", ("django",), 20), ("Pipfile", ("django",), 15), ("templates/", (), 5)],
+    "Flask": [("requirements.txt", ("Flask", "flask",), 25), ("pyproject.toml", ("flask",), 20), ("app.py", (), 15), ("wsgi.py", (), 10), ("templates/", (), 5)],
+    "FastAPI": [("requirements.txt", ("fastapi", "FastAPI",), 25), ("pyproject.toml", ("fastapi",), 20), ("main.py", (), 10), ("routers/", (), 10), ("app/routers/", (), 10)],
+    "NestJS": [("package.json", ("@nestjs/core",), 35), ("src/main.ts", (), 15), ("nest-cli.json", (), 20), ("src/modules/", (), 10)],
+    "Express": [("package.json", ("\"express\"", "'express'",), 30), ("app.js", (), 10), ("server.js", (), 10), ("routes/", (), 10), ("controllers/", (), 10)],
+    "React": [("package.json", ("\"react\"",), 30), ("src/App.jsx", (), 10), ("src/App.tsx", (), 10), ("src/components/", (), 10)],
+    "Vue": [("package.json", ("\"vue\"",), 15), ("vite.config.js", (), 15), ("vite.config.ts", (), 15), ("vue.config.js", (), 10), ("src/main.js", (), 10), ("src/main.ts", (), 10), ("src/components/", (), 10), ("src/views/", (), 10), ("src/pages/", (), 10)],
+    "Next.js": [("package.json", ("\"next\"",), 35), ("next.config.js", (), 15), ("next.config.mjs", (), 15), ("pages/", (), 10), ("app/", (), 10)],
+    "Angular": [("package.json", ("@angular/core",), 35), ("angular.json", (), 25), ("src/app/", (), 15)],
+    "Nuxt": [("package.json", ("\"nuxt\"", "\"nuxt3\"", "@nuxt/",), 35), ("nuxt.config.ts", (), 20), ("nuxt.config.js", (), 20), ("pages/", (), 10), ("server/", (), 10)],
+    "SvelteKit": [("package.json", ("@sveltejs/kit",), 35), ("svelte.config.js", (), 20), ("src/routes/", (), 20)],
+    "Electron": [("package.json", ("\"electron\"",), 35), ("electron/", (), 20), ("electron/main.ts", (), 10), ("main.js", (), 10)],
+    "Rails": [("Gemfile", ("rails",), 35), ("config/application.rb", (), 20), ("config/routes.rb", (), 15), ("app/controllers/", (), 15), ("app/models/", (), 10)],
+    "Sinatra": [("Gemfile", ("sinatra",), 30), ("app.rb", (), 15), ("config.ru", (), 15)],
+    "ASP.NET Core": [("Program.cs", ("WebApplication.CreateBuilder", "CreateHostBuilder",), 20), ("Controllers/", (), 15), ("appsettings.json", (), 10)],
+    "Flutter": [("pubspec.yaml", ("flutter:",), 35), ("lib/", (), 15), ("android/", (), 10), ("ios/", (), 10)],
+    "Android": [("settings.gradle", (), 15), ("settings.gradle.kts", (), 15), ("app/build.gradle", (), 20), ("app/src/main/AndroidManifest.xml", (), 25), ("app/src/main/java/", (), 10), ("app/src/main/kotlin/", (), 10)],
+    "iOS": [("Podfile", (), 25), ("Package.swift", (), 20), ("Sources/", (), 10)],
+    "Phoenix": [("mix.exs", (":phoenix", "Phoenix",), 35), ("config/config.exs", (), 15), ("lib/", (), 10), ("priv/repo/", (), 10)],
+    "Ktor": [("build.gradle.kts", ("io.ktor",), 30), ("build.gradle", ("io.ktor",), 30), ("pom.xml", ("ktor-server",), 25), ("src/main/kotlin/", (), 10), ("src/main/resources/application.conf", (), 10)],
+    "Tauri": [("src-tauri/Cargo.toml", ("tauri",), 35), ("src-tauri/tauri.conf.json", (), 20), ("src-tauri/src/", (), 10)],
+}
+INDICATORS = [Indicator(name, k, *row) for name, rows in _INDICATORS.items() for k, row in enumerate(rows)]
 # Indicators that name no single path: framework, pattern of the path, pattern of the content or none, weight. One file is enough.
 PATTERN_INDICATORS = [
     ("Spring Boot", r"^src/main/resources/application-[^/]*\.yml$", "", 5), ("Spring Boot", r"^src/main/resources/application-[^/]*\.properties$", "", 5), ("Spring Boot", r"^src/main/java/.*\.java$", r"@SpringBootApplication", 20),
@@ -73,46 +74,27 @@ ENTRIES = [
 ]
 #: Verbs that stand for any request.
 ANY_VERBS = ["request", "any", "route", "use", "all", "path", "re_path", "url", "rule", "controller", "resource", "resources", "root"]
-# Modules of frameworks, as name (kind): directories.
-_MODULES = """
-Laravel: Controllers (controller) app/Http/Controllers; Models (model) app/Models; Services (service) app/Services; Commands (command) app/Console/Commands; Jobs (job) app/Jobs; Middleware (middleware) app/Http/Middleware; Config (config) config; Migrations (other) database/migrations
-Gin: Handlers (controller) handler; Services (service) service; Models (model) model; Config (config) config; Workers (job) worker; Cron (command) cron
-ThinkPHP: Controllers (controller) app/controller; Models (model) app/model; Services (service) app/service; Middleware (middleware) app/middleware; Configuration (config) config
-Symfony: Controllers (controller) src/Controller; Services (service) src/Service; Entities (model) src/Entity; Commands (command) src/Command; Templates (view) templates
-Go-Zero: Handlers (controller) internal/handler; Logic (service) internal/logic; Service Context (service) internal/svc; Models (model) internal/model, model; Configuration (config) etc
-Spring Boot: Controllers (controller) src/main/java; Configuration (config) src/main/resources
-FastAPI: Routers (route) routers, app/routers; Services (service) services, app/services; Models (model) models, schemas, app/models, app/schemas; Configuration (config) config, app/config
-NestJS: Controllers (controller) src; Modules (service) src/modules; Services (service) src/services; Entities (model) src/entities, src/models
-Express: Routes (route) routes, src/routes; Controllers (controller) controllers, src/controllers; Services (service) services, src/services; Models (model) models, src/models; Middleware (middleware) middleware, src/middleware
-React: Pages (view) src/pages, src/views, pages, app; Components (component) src/components, components; Hooks (util) src/hooks, hooks; API (util) src/api, api
-Vue: Components (component) src/components; Store (store) src/store, src/stores; Views (view) src/views, src/pages; API (util) src/api; Utils (util) src/utils; Layouts (component) src/layouts
-Next.js: Pages (view) pages, app, src/pages, src/app; Components (component) components, src/components; API Routes (route) pages/api, app/api
-Electron: Main Process (service) electron, src/main, main; Preload (service) src/preload, preload; Renderer (view) src, renderer
-Rails: Controllers (controller) app/controllers; Models (model) app/models; Services (service) app/services; Jobs (job) app/jobs; Views (view) app/views
-Flutter: Dart Source (view) lib; Tests (other) test, integration_test
-Phoenix: Web Layer (controller) lib; Migrations (migration) priv/repo/migrations; Configuration (config) config
-Tauri: Rust Backend (service) src-tauri/src; Configuration (config) src-tauri; Frontend (view) src, app, pages
-"""
-
-THRESHOLDS: dict[str, int] = {}
-REGISTRY: list[str] = []
-INDICATORS: list[Indicator] = []
-MODULES: list[ModuleRule] = []
-for _line in _INDICATORS.strip().split("\n"):
-    _head, _rest = _line.split(": ", 1)
-    _name, _threshold = _head.rsplit(" ", 1)
-    THRESHOLDS[_name] = int(_threshold)
-    REGISTRY.append(_name)
-    for _k, _entry in enumerate(_rest.split("; ")):
-        _what, _weight = _entry.rsplit(" +", 1)
-        _path, _, _needles = _what.partition(" ∋ ")
-        INDICATORS.append(Indicator(_name, _k, _path, tuple(_needles.split("|")) if _needles else (), int(_weight)))
-for _line in _MODULES.strip().split("\n"):
-    _name, _rest = _line.split(": ", 1)
-    for _k, _entry in enumerate(_rest.split("; ")):
-        _title, _, _tail = _entry.partition(" (")
-        _kind, _, _dirs = _tail.partition(") ")
-        MODULES.extend(ModuleRule(_name, _k, _title, _kind, d.strip()) for d in _dirs.split(","))
+# The modules of frameworks in order: name, kind, directories.
+_MODULES = {
+    "Laravel": [("Controllers", "controller", ["app/Http/Controllers"]), ("Models", "model", ["app/Models"]), ("Services", "service", ["app/Services"]), ("Commands", "command", ["app/Console/Commands"]), ("Jobs", "job", ["app/Jobs"]), ("Middleware", "middleware", ["app/Http/Middleware"]), ("Config", "config", ["config"]), ("Migrations", "other", ["database/migrations"])],
+    "Gin": [("Handlers", "controller", ["handler"]), ("Services", "service", ["service"]), ("Models", "model", ["model"]), ("Config", "config", ["config"]), ("Workers", "job", ["worker"]), ("Cron", "command", ["cron"])],
+    "ThinkPHP": [("Controllers", "controller", ["app/controller"]), ("Models", "model", ["app/model"]), ("Services", "service", ["app/service"]), ("Middleware", "middleware", ["app/middleware"]), ("Configuration", "config", ["config"])],
+    "Symfony": [("Controllers", "controller", ["src/Controller"]), ("Services", "service", ["src/Service"]), ("Entities", "model", ["src/Entity"]), ("Commands", "command", ["src/Command"]), ("Templates", "view", ["templates"])],
+    "Go-Zero": [("Handlers", "controller", ["internal/handler"]), ("Logic", "service", ["internal/logic"]), ("Service Context", "service", ["internal/svc"]), ("Models", "model", ["internal/model", "model"]), ("Configuration", "config", ["etc"])],
+    "Spring Boot": [("Controllers", "controller", ["src/main/java"]), ("Configuration", "config", ["src/main/resources"])],
+    "FastAPI": [("Routers", "route", ["routers", "app/routers"]), ("Services", "service", ["services", "app/services"]), ("Models", "model", ["models", "schemas", "app/models", "app/schemas"]), ("Configuration", "config", ["config", "app/config"])],
+    "NestJS": [("Controllers", "controller", ["src"]), ("Modules", "service", ["src/modules"]), ("Services", "service", ["src/services"]), ("Entities", "model", ["src/entities", "src/models"])],
+    "Express": [("Routes", "route", ["routes", "src/routes"]), ("Controllers", "controller", ["controllers", "src/controllers"]), ("Services", "service", ["services", "src/services"]), ("Models", "model", ["models", "src/models"]), ("Middleware", "middleware", ["middleware", "src/middleware"])],
+    "React": [("Pages", "view", ["src/pages", "src/views", "pages", "app"]), ("Components", "component", ["src/components", "components"]), ("Hooks", "util", ["src/hooks", "hooks"]), ("API", "util", ["src/api", "api"])],
+    "Vue": [("Components", "component", ["src/components"]), ("Store", "store", ["src/store", "src/stores"]), ("Views", "view", ["src/views", "src/pages"]), ("API", "util", ["src/api"]), ("Utils", "util", ["src/utils"]), ("Layouts", "component", ["src/layouts"])],
+    "Next.js": [("Pages", "view", ["pages", "app", "src/pages", "src/app"]), ("Components", "component", ["components", "src/components"]), ("API Routes", "route", ["pages/api", "app/api"])],
+    "Electron": [("Main Process", "service", ["electron", "src/main", "main"]), ("Preload", "service", ["src/preload", "preload"]), ("Renderer", "view", ["src", "renderer"])],
+    "Rails": [("Controllers", "controller", ["app/controllers"]), ("Models", "model", ["app/models"]), ("Services", "service", ["app/services"]), ("Jobs", "job", ["app/jobs"]), ("Views", "view", ["app/views"])],
+    "Flutter": [("Dart Source", "view", ["lib"]), ("Tests", "other", ["test", "integration_test"])],
+    "Phoenix": [("Web Layer", "controller", ["lib"]), ("Migrations", "migration", ["priv/repo/migrations"]), ("Configuration", "config", ["config"])],
+    "Tauri": [("Rust Backend", "service", ["src-tauri/src"]), ("Configuration", "config", ["src-tauri"]), ("Frontend", "view", ["src", "app", "pages"])],
+}
+MODULES = [ModuleRule(framework, k, name, kind, d) for framework, rows in _MODULES.items() for k, (name, kind, directories) in enumerate(rows) for d in directories]
 
 # Modules whose files have certain extensions: framework, name, kind, directories, extensions. ``*`` is any directory that holds such files.
 ENDED_MODULES = [
