@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from custodia.llm.arrays import chunks
 from custodia.llm.lexing import FIRST, Token, scan
 from custodia.llm.summaries import tokens_stand
 from custodia.llm.syntax import spoken
@@ -422,9 +423,9 @@ _LAYOUT = "id long, language string, kind int, at long, place int, name_place in
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for part in (part for batch in batches for part in chunks(batch, 2)):
         rows: list[tuple] = []
-        for key, language, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for key, language, text in zip(*(part.column(k).to_pylist() for k in range(3))):
             spans = spans_of(language, text)
             if spans is None:
                 continue

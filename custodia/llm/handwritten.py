@@ -21,10 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from custodia.llm.arrays import chunks
+
 CONTAINMENT = 0.8
 LEAST_LINES = 5
 LINES_TOGETHER = 3
 LEAST_CHARS = 40
+CHUNK_BYTES = 32_000_000  #: of texts that are read together
 RARE = 16  #: repositories that hold a rare hash, at most
 ACCESSOR_SHARE = 0.4
 NUMBERED = 8
@@ -159,9 +162,9 @@ _TAGGED = "key long, repository long, id long, kind int, number int"
 
 def _read(rare: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (part for batch in batches for part in chunks(batch, 3, CHUNK_BYTES)):
             files, lines = [], []
-            for key, repository, path, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for key, repository, path, text in zip(*(part.column(k).to_pylist() for k in range(4))):
                 reasons = sum(1 << REASONS.index(r) for r in set(reasons_of(path or "", text, (repository or "").split("/")[0])))
                 hashes = np.fromiter(line_hashes(text), np.int64)
                 files.append((key, reasons, len(hashes)))
@@ -172,7 +175,7 @@ def _read(rare: int):
             ids = np.concatenate([np.full(len(h), key, np.int64) for h, key, _ in lines])
             repositories = np.concatenate([np.full(len(h), r, np.int64) for h, _, r in lines])
             kinds = np.zeros(len(hashes), np.int32)
-            # what is common within this batch is settled here; one line of each of a few repositories tells the others
+            # what is common within this chunk is settled here; one line of each of a few repositories tells the others
             order = np.lexsort((repositories, hashes))
             h, r = hashes[order], repositories[order]
             new_hash = np.ones(len(h), bool)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from custodia.llm.arrays import chunks as parts_of
 from custodia.llm.lexing import FIRST, LANGUAGES, pieces, states_of
 from custodia.llm.summaries import Summary, joined, packed, stands, summarise, unpacked
 
@@ -34,8 +35,8 @@ def parses(language: str, text: str, chunk_chars: int = CHUNK_CHARS) -> bool:
 
 def _cut(chunk_chars: int, run_chunks: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, language, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for part in (part for batch in batches for part in parts_of(batch, 2)):
+            for key, language, text in zip(*(part.column(k).to_pylist() for k in range(3))):
                 chunks = pieces(text, chunk_chars) or [""]
                 size = len(chunks)
                 states = states_of(language, text)
@@ -64,10 +65,11 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
         last = None
         for batch in batches:
-            for key, run, n, language, states, text in zip(*(batch.column(k).to_pylist() for k in range(6))):
-                if (key, n) != last:
-                    yield key, run, n, language, summarise(language, text, states)
-                last = (key, n)
+            for part in parts_of(batch, 5):
+                for key, run, n, language, states, text in zip(*(part.column(k).to_pylist() for k in range(6))):
+                    if (key, n) != last:
+                        yield key, run, n, language, summarise(language, text, states)
+                    last = (key, n)
 
     for key, run, _, language, summary in _folded(rows()):
         yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([run], pa.int32()), pa.array([language]), pa.array([packed(summary)], pa.binary())], ["id", "run", "language", "summary"])
